@@ -1,0 +1,88 @@
+"""Pairing each left row with the right row nearest in time for the same entity, within a tolerance.
+
+Time is cut into slices; rows meet by (entity, slice, salt).  A right row is copied into every slice from
+which it can be reached, so that slices are independent and a hot entity is spread over as many tasks as
+its slices and salts need.  Inside a partition, rows are sorted by time and one pass of two pointers
+merges them: the state is the current right neighbour, which carries the time of the next one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .. import skew
+
+
+def _merge(tolerance: int):
+    """Sorted rows (group, t, next_t, record) in, right rows having no record; out (record, right_t) for each left row with a neighbour."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group_now, here, ahead = None, None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            groups = batch.column(0).to_numpy(zero_copy_only=False)
+            t = batch.column(1).to_numpy(zero_copy_only=False)
+            following = batch.column(2)
+            next_t = following.fill_null(0).to_numpy(zero_copy_only=False)
+            has_next = np.asarray(following.is_valid())
+            right = np.asarray(batch.column(3).is_null())
+            # Where the last right row before each row is, in this batch or carried from the one before (0).
+            at = np.maximum.accumulate(np.where(right, np.arange(1, n + 1), 0))
+            carried = here is not None
+            r_group = np.concatenate([[group_now if carried else ""], groups])[at]
+            r_t = np.concatenate([[here if carried else 0], t])[at]
+            r_next = np.concatenate([[ahead if carried and ahead is not None else 0], next_t])[at]
+            r_has = np.concatenate([[carried and ahead is not None], has_next])[at]
+            ok = ((at > 0) | carried) & (r_group == groups) & ~right
+            # A group's first right row is led in by a sentinel of its own time at minus infinity, whose next is that row.
+            far = np.iinfo(np.int64).max
+            back = np.where(ok & (r_t > np.iinfo(np.int64).min), t - r_t, far)
+            forth = np.where(ok & r_has, r_next - t, far)
+            best = np.minimum(back, forth)
+            take = ok & (best <= tolerance)
+            if take.any():
+                chosen = np.where(back <= forth, r_t, r_next)[take]
+                yield pa.RecordBatch.from_arrays([batch.column(3).filter(pa.array(take)), pa.array(chosen, pa.int64())], names=["record", "right_t"])
+            if right.any():
+                last = int(np.flatnonzero(right)[-1])
+                group_now, here, ahead = groups[last], int(t[last]), int(next_t[last]) if has_next[last] else None
+
+    return run
+
+
+def nearest(left: DataFrame, entity: Column, t: Column, record: Column, right: DataFrame, right_entity: Column, right_t: Column, tolerance: int, slice_width: int | None = None) -> DataFrame:
+    """(record, right_t): for each left row the nearest right time at most ``tolerance`` away; of two equally near the earlier.
+
+    Times are whole numbers (days, microseconds).  Null entities or times match nothing, repeated right rows
+    count once, and a left row without a neighbour gives no row.  ``record`` must not be null.
+    """
+    width = slice_width or max(16 * tolerance, 16)
+    lefts = left.select(entity.cast("string").alias("e"), t.cast("long").alias("t"), record.cast("string").alias("record")).where("e is not null and t is not null and record is not null")
+    lefts = lefts.withColumn("s", F.floor(F.col("t") / width).cast("long"))
+    parts = skew.partitions(left)
+    hot = skew.hot_slots(lefts, [F.col("e"), F.col("s")], parts)
+    place = skew.slot(F.col("e"), F.col("s"))
+    lefts = lefts.withColumn("salt", skew.salt(place, hot, F.col("record")))
+
+    rights = right.select(right_entity.cast("string").alias("e"), right_t.cast("long").alias("t")).where("e is not null and t is not null")
+    reach = F.sequence(F.floor((F.col("t") - tolerance) / width).cast("long"), F.floor((F.col("t") + tolerance) / width).cast("long"))
+    rights = rights.distinct().withColumn("s", F.explode(reach))
+    order = W.partitionBy("e", "s").orderBy("t")
+    rights = rights.withColumn("next_t", F.lead("t").over(order)).withColumn("first", F.row_number().over(order) == 1)
+    # The sentinel before a group's first right row.
+    lead_in = F.when(F.col("first"), F.array(F.struct(F.lit(-(1 << 63)).cast("long").alias("t"), F.col("t").alias("next_t")), F.struct("t", "next_t"))).otherwise(F.array(F.struct("t", "next_t")))
+    rights = rights.select("e", "s", F.explode(lead_in).alias("x")).select("e", "s", "x.t", "x.next_t")
+    rights = rights.withColumn("salt", F.explode(F.sequence(F.lit(0), (skew.salts_of(place, hot) - 1).cast("int"))))
+
+    both = lefts.select("e", "s", "salt", "t", F.lit(None).cast("long").alias("next_t"), "record").unionByName(rights.select("e", "s", "salt", "t", "next_t", F.lit(None).cast("string").alias("record")))
+    merged = both.repartition(parts, "e", "s", "salt").select(F.concat_ws("\u0001", "e", "s", "salt").alias("g"), "t", "next_t", "record")
+    # Right rows sort before left rows of their time: an exact hit is then the current neighbour.
+    return merged.sortWithinPartitions("g", "t", F.asc_nulls_first("record")).mapInArrow(_merge(tolerance), "record string, right_t long")
