@@ -32,13 +32,13 @@ def changes(feed: DataFrame, key: str, seq: str, op: str, payload: list[str], us
     """
     rows = feed if usable is None else feed.where(usable)
     rows = rows.where(F.col(key).isNotNull() & F.col(seq).isNotNull() & F.col(op).isin(*WRITES, *DELETES))
-    return rows.select(F.col(key).cast("string").alias("key"), F.col(seq).cast("long").alias("cdc_seq"), F.col(op).isin(*DELETES).alias("cdc_deleted"), (F.col(tie).cast("string") if tie else F.lit("~")).alias("cdc_tie"), *[F.col(c) for c in payload])
+    return rows.select(F.col(key).cast("string").alias("cdc_key"), F.col(seq).cast("long").alias("cdc_seq"), F.col(op).isin(*DELETES).alias("cdc_deleted"), (F.col(tie).cast("string") if tie else F.lit("~")).alias("cdc_tie"), *[F.col(c) for c in payload])
 
 
 def stored(table: DataFrame, key: str, seq: str, deleted: str, payload: list[str]) -> DataFrame:
     """A stored state as changes; its rows win over equal sequences of the feed."""
     rows = table.where(F.col(key).isNotNull() & F.col(seq).isNotNull())
-    return rows.select(F.col(key).cast("string").alias("key"), F.col(seq).cast("long").alias("cdc_seq"), F.coalesce(F.col(deleted), F.lit(False)).alias("cdc_deleted"), F.lit("").alias("cdc_tie"), *[F.col(c) for c in payload])
+    return rows.select(F.col(key).cast("string").alias("cdc_key"), F.col(seq).cast("long").alias("cdc_seq"), F.coalesce(F.col(deleted), F.lit(False)).alias("cdc_deleted"), F.lit("").alias("cdc_tie"), *[F.col(c) for c in payload])
 
 
 def _folder(columns: list[str], memory_mb: int):
@@ -60,14 +60,14 @@ def _folder(columns: list[str], memory_mb: int):
                 con.register("incoming", incoming)
                 schema = batch.schema
                 con.execute(f"create table state as select {names} from incoming limit 0")
-                con.execute('alter table state add primary key ("key")')
+                con.execute('alter table state add primary key ("cdc_key")')
             else:
                 con.register("incoming", incoming)
-            sets = ", ".join(f'"{c}" = excluded."{c}"' for c in columns if c != "key")
+            sets = ", ".join(f'"{c}" = excluded."{c}"' for c in columns if c != "cdc_key")
             # One command may touch a key once: the batch is reduced to its winners before it meets the state.
             con.execute(
-                f'insert into state select {names} from incoming qualify row_number() over (partition by "key" order by {order}) = 1 '
-                f'on conflict ("key") do update set {sets} where excluded.cdc_seq > state.cdc_seq or '
+                f'insert into state select {names} from incoming qualify row_number() over (partition by "cdc_key" order by {order}) = 1 '
+                f'on conflict ("cdc_key") do update set {sets} where excluded.cdc_seq > state.cdc_seq or '
                 f"(excluded.cdc_seq = state.cdc_seq and (excluded.cdc_tie < state.cdc_tie or (excluded.cdc_tie = state.cdc_tie and excluded.cdc_deleted and not state.cdc_deleted)))"
             )
             con.unregister("incoming")
@@ -87,16 +87,16 @@ def fold(all_changes: DataFrame, memory_mb: int = 320) -> DataFrame:
     """
     columns = all_changes.columns
     parts = skew.partitions(all_changes)
-    hot = skew.hot_slots(all_changes, [F.col("key")], parts)
-    where = skew.slot(F.col("key"))
+    hot = skew.hot_slots(all_changes, [F.col("cdc_key")], parts)
+    where = skew.slot(F.col("cdc_key"))
     task = _folder(columns, memory_mb)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in all_changes.schema.fields])
     if not hot:
-        return all_changes.repartition(parts, "key").mapInArrow(task, schema)
+        return all_changes.repartition(parts, "cdc_key").mapInArrow(task, schema)
     salted = all_changes.withColumn("__salt", skew.salt(where, hot, F.col("cdc_seq"), F.col("cdc_tie")))
-    first = salted.repartition(parts, "key", "__salt").drop("__salt").mapInArrow(task, schema)
+    first = salted.repartition(parts, "cdc_key", "__salt").drop("__salt").mapInArrow(task, schema)
     winners = storage.staged(first.withColumn("__hot", skew.is_hot(where, hot)), "fold")
-    again = winners.where("__hot").drop("__hot").repartition(parts, "key").mapInArrow(task, schema)
+    again = winners.where("__hot").drop("__hot").repartition(parts, "cdc_key").mapInArrow(task, schema)
     return winners.where("not __hot").drop("__hot").unionByName(again)
 
 
