@@ -203,6 +203,17 @@ class Names:
                 return n if words[k + n - 1][0][:1].isupper() or "'" in _fold(words[k + n - 1][0])[:2] else 0
         return 0
 
+    def _forward(self, words: list[re.Match], k: int, text: str, given: Callable[[int], bool], gap: Callable[[int], str]) -> int:
+        """The word after a full name in natural order that starts at given name k; nought where none does."""
+        i = k + 1
+        while i < len(words) and i - k <= 3 and (gap(i - 1) in (" ", "\n", "\r\n") or len(words[i - 1][0]) == 1 and gap(i - 1) in (". ", ".", ".\n")):
+            if n := self._family(words, i, text):
+                return i + n
+            if not (given(i) or len(words[i][0]) == 1 and words[i][0].isupper()):
+                return 0
+            i += 1
+        return 0
+
     def find(self, text: str) -> Iterator[tuple[int, int]]:
         words = list(_WORD.finditer(text))
         gap = lambda i: text[words[i].end() : words[i + 1].start()]  # noqa: E731 - between word i and the next
@@ -214,18 +225,10 @@ class Names:
             if not (first.isupper() or _fold(w[0]) in self.starts):
                 k += 1
                 continue
-            if given(k):
-                i = k + 1
-                while i < len(words) and i - k <= 3 and (gap(i - 1) in (" ", "\n", "\r\n") or len(words[i - 1][0]) == 1 and gap(i - 1) in (". ", ".", ".\n")):
-                    if n := self._family(words, i, text):
-                        yield w.start(), words[i + n - 1].end()
-                        i += n
-                        k = i - 1
-                        break
-                    if not (given(i) or len(words[i][0]) == 1 and words[i][0].isupper()):
-                        break
-                    i += 1
-                k += 1
+            end = self._forward(words, k, text, given, gap) if given(k) else 0
+            if end:
+                yield w.start(), words[end - 1].end()
+                k = end
                 continue
             if (n := self._family(words, k, text)) and k + n < len(words) and re.fullmatch(r",[ \n]", gap(k + n - 1)) and given(k + n):
                 end = k + n

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encoding, pii, tokenizer
+from . import encoding, leakage, pii, tokenizer
 
 
 def _restored(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,6 +35,12 @@ def p8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.lower(F.trim("lang")), F.lit("none")).alias("lang"), F.coalesce("n_chars", F.lit(0)).alias("n_chars")).join(ids, "doc_id").groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n").cast("long").alias("tokens"), F.sum("n_chars").cast("long").alias("chars"))
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "eval_items")
+    found = leakage.leaks(docs, F.col("doc_id"), F.col("text"), items, "item_id", "text")
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     names = pii.learn_names(docs, F.col("text"))
@@ -47,5 +53,5 @@ def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return pii.redacted(docs, F.col("doc_id"), F.col("text"), pii.learn_names(docs, F.col("text"))).select(F.col("key").alias("doc_id"), "text", "places")
 
 
-QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p8_ids": p8_ids, "p8_token_counts": p8_token_counts, "p10_found": p10_found, "p10_redacted": p10_redacted}
+QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p8_ids": p8_ids, "p8_token_counts": p8_token_counts, "p9_found": p9_found, "p10_found": p10_found, "p10_redacted": p10_redacted}
 SQL: dict[str, str] = {}
