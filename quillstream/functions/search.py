@@ -181,3 +181,12 @@ def prompt(question: Column, cards: Column) -> Column:
     """Numbered sources and the question; ``cards`` is an array of card texts in rank order."""
     numbered = F.array_join(F.transform(cards, lambda c, i: F.concat(F.lit("[S"), (i + 1).cast("string"), F.lit("] "), c)), "\n\n")
     return F.concat(F.lit("Sources:\n"), numbered, F.lit("\n\nQuestion: "), question)
+
+
+def exclusive_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
+    """(value): a quantile by the exclusive method, which interpolates at rank q (n + 1); the ends are clamped. One count fixes where the exact percentile is taken."""
+    n = df.where(F.col(column).isNotNull()).count()
+    if n < 2:
+        return df.agg(F.max(column).cast("double").alias("value"))
+    place = min(max((q * (n + 1) - 1) / (n - 1), 0.0), 1.0)
+    return df.agg(F.percentile(column, place).alias("value"))

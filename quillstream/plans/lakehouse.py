@@ -244,7 +244,7 @@ def q49_latest_batches(spark, sf):
 
 def q50_projection(spark, sf):
     rows = table(spark, sf, "lineitem").where(F.col("l_returnflag").isin("A", "R") & (F.col("l_quantity") > 40)).drop("l_tax", "l_shipdate", "l_linestatus")
-    parts = table(spark, sf, "part").where(F.col("p_type").like("%BRASS%") | F.col("p_type").like("%STEEL%")).select(F.col("p_partkey").alias("l_partkey"))
+    parts = table(spark, sf, "part").where(F.col("p_name").like("%ring%") | F.col("p_type").like("%PROMO")).select(F.col("p_partkey").alias("l_partkey"))
     return rows.join(parts, "l_partkey", "left_semi")
 
 
@@ -356,7 +356,7 @@ SQL = {
     "q21_row_checks": f"select *, case when failing = 0 then 'PASS' when severity = 'warn' then 'WARN' else 'BLOCK' end as status from ({_CHECKS})",
     "q48_naive_month": f"select count(*) as events, sum({_whole(_at('$.data.object.amount'))})::bigint as naive_minor from bronze_payments where json_valid(_raw) and {_at('$.type')} = 'charge.succeeded' and strftime(to_timestamp({_whole(_at('$.created'))}) at time zone 'UTC', '%Y-%m') = '{MONTH}'",
     "q49_latest_batches": "select source, batch_seq, count(*) as files, epoch_us(max(ingested_at)) as ingested_us from manifest where batch_id is not null group by 1, 2 order by batch_seq desc, source limit 6",
-    "q50_projection": "select * exclude (l_tax, l_shipdate, l_linestatus) from lineitem where l_returnflag in ('A', 'R') and l_quantity > 40 and l_partkey in (select p_partkey from part where p_type like '%BRASS%' or p_type like '%STEEL%')",
+    "q50_projection": "select * exclude (l_tax, l_shipdate, l_linestatus) from lineitem where l_returnflag in ('A', 'R') and l_quantity > 40 and l_partkey in (select p_partkey from part where p_name like '%ring%' or p_type like '%PROMO')",
 }
 QUERIES = {n: f for n, f in list(globals().items()) if n[:1] == "q" and n[1:3].isdigit()}
 assert reduce(lambda a, b: a and b in QUERIES, SQL, True)
