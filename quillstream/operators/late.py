@@ -26,7 +26,7 @@ def judged(events: DataFrame, built: DataFrame, period: str, seq: str, arrived:
     """Events with ``standing``: 'in_base' (its batch is within the built figures), 'late' (after them, arrived before the
     period's cut-off ``closes``) or 'too_late'.  Events of a period without built figures, and events with a null period,
     sequence or arrival, have no standing and are dropped.  ``built`` has one row per period: (period, built_seq)."""
-    joined = events.join(built, period)
+    joined = events.where(F.col(seq).isNotNull() & F.col(arrived).isNotNull()).join(built, period)
     standing = F.when(F.col(seq) <= F.col("built_seq"), "in_base").when(F.col(arrived) < closes, "late").when(F.col(arrived) >= closes, "too_late")
     return joined.withColumn("standing", standing).where(F.col("standing").isNotNull())
 

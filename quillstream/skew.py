@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLOTS = 1 << 16
+#: A slot with fewer rows than this is never hot.
+LEAST_ROWS = 20_000
 
 
 def slot(*keys: Column) -> Column:
@@ -19,17 +21,17 @@ def slot(*keys: Column) -> Column:
 
 
 def partitions(df: DataFrame, target_mb: int = 64) -> int:
-    """Shuffle partitions for ``df`` by its estimated size, at least the session's number."""
+    """Shuffle partitions for ``df`` by its estimated size, at least the session's number, which also serves where the size isn't known (the estimate is then beyond a petabyte)."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(least, min(1 << 17, estimate // (target_mb << 20)))
+    return least if estimate > 1 << 50 else max(least, estimate // (target_mb << 20))
 
 
-def hot_slots(df: DataFrame, keys: list[Column], parts: int, share: float = 1.0, least_rows: int = 20_000) -> dict[int, int]:
+def hot_slots(df: DataFrame, keys: list[Column], parts: int, share: float = 1.0) -> dict[int, int]:
     """Slots with more rows than ``share`` of an even partition, and into how many salts each must be split."""
     counted = df.select(slot(*keys).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
     total = F.sum("n").over(_all())
-    even = F.greatest(total * F.lit(share / parts), F.lit(float(least_rows)))
+    even = F.greatest(total * F.lit(share / parts), F.lit(float(LEAST_ROWS)))
     rows = counted.withColumn("even", even).where(F.col("n") > F.col("even")).select("slot", F.ceil(F.col("n") / F.col("even")).alias("salts")).collect()
     return {r["slot"]: int(r["salts"]) for r in rows}
 

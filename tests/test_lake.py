@@ -1,0 +1,181 @@
+"""The lake end to end: idempotent ingest, crash safety, drift and replay, daily runs against one run, publish or refuse."""
+
+import json
+from datetime import datetime, timedelta, timezone
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillstream.pipeline import Config, Pipeline, when
+
+START = datetime(2026, 8, 3, tzinfo=timezone.utc)
+DAYS = 3
+
+
+def _order(n, op, lsn, status, at):
+    row = {"order_id": f"ord_{n:03d}", "customer_id": f"cus_{n % 7}", "status": status, "currency": "cad" if n % 3 else "usd", "total_minor": 1000 + n, "ship_region": ["NS", "ON", "QC"][n % 3], "created_at": (START + timedelta(hours=n)).isoformat(), "updated_at": at.isoformat()}
+    return json.dumps({"op": op, "ts_ms": 1, "source": {"lsn": lsn}, "before": row if op == "d" else None, "after": None if op == "d" else row})
+
+
+def _payment(n, kind, version, at, suffix=""):
+    cur = "cad" if n % 3 else "usd"
+    base = {"id": f"evt_{n:03d}{suffix}", "type": f"charge.{kind}", "api_version": version, "created": int(at.timestamp())}
+    if version == "2025-11-01":
+        obj = {"id": f"ch_{n:03d}", "object": "charge", "order_id": f"ord_{n:03d}", "amount": 1000 + n, "currency": cur}
+        if kind == "refunded":
+            obj["refund"] = {"id": f"re_{n:03d}", "amount": 500}
+    else:
+        obj = {"id": f"ch_{n:03d}" if kind == "succeeded" else f"re_{n:03d}", "object": "charge" if kind == "succeeded" else "refund", "charge": f"ch_{n:03d}", "amount": {"value": 1000 + n if kind == "succeeded" else 500, "currency": cur.upper()}, "metadata": {"order_id": f"ord_{n:03d}"}}
+    return json.dumps(base | {"data": {"object": obj}})
+
+
+def _put(root: Path, source: str, at: datetime, text: str, resend=False, ext="jsonl"):
+    p = root / "landing" / source / f"{at:%Y-%m-%d}" / f"{source}-{at:%Y%m%dT%H}00{'-resend' if resend else ''}.{ext}"
+    p.parent.mkdir(parents=True, exist_ok=True)
+    p.write_text(text)
+
+
+def season(root: Path) -> Path:
+    """Orders, payments of two versions, repeats, a truncated line, a file sent twice, late changes, a correction of a rate, settlements."""
+    money: dict = {}
+    for d in range(DAYS):
+        day = START + timedelta(days=d)
+        for h in (6, 18):
+            at = day + timedelta(hours=h)
+            ns = range(d * 20 + h, d * 20 + h + 8)
+            orders = [_order(n, "c", n * 10, "placed", at) for n in ns] + [_order(n, "u", n * 10 + 1, "paid", at) for n in ns]
+            orders += [_order(n, "d", n * 10 + 5, "paid", at) for n in list(ns)[:1]]
+            if d:
+                orders.append(_order(d * 20 + h - 20, "u", (d * 20 + h - 20) * 10 - 3, "late", at))  # an old change, late
+            version = "2026-08-01" if d == 2 else "2025-11-01"
+            pays = [_payment(n, "succeeded", version, at - timedelta(minutes=5)) for n in ns] + [_payment(n, "refunded", version, at - timedelta(minutes=4), "r") for n in list(ns)[:2]]
+            for n in ns:
+                cur = "cad" if n % 3 else "usd"
+                g = money.setdefault((f"{at:%Y-%m-%d}", cur), [0, 0, 0, 0])
+                g[0] += 1000 + n
+                g[2] += 1
+                if n in list(ns)[:2]:
+                    g[1] += 500
+                    g[3] += 1
+            text = "\n".join(pays + [pays[0], pays[3][:40]]) + "\n"
+            _put(root, "orders", at, "\n".join(orders) + "\n")
+            _put(root, "payments", at, text)
+            if d == 1 and h == 6:
+                _put(root, "payments", at + timedelta(hours=2), text, resend=True)
+        _put(root, "fx_rates", day + timedelta(hours=1), f"rate_date,base,quote,rate\n{day - timedelta(days=1):%Y-%m-%d},USD,CAD,1.{35 + d}0000\n", ext="csv")
+    for (day, cur), (g, r, n, m) in sorted(money.items()):
+        at = datetime.fromisoformat(day).replace(tzinfo=timezone.utc) + timedelta(days=1, hours=5 if cur == "cad" else 6)
+        _put(root, "settlements", at, f"settlement_date,currency,gross_minor,refunds_minor,net_minor,charge_count,refund_count\n{day},{cur},{g},{r},{g - r},{n},{m}\n", ext="csv")
+    return root
+
+
+END = START + timedelta(days=DAYS + 1)
+
+
+@pytest.fixture
+def lake(tmp_path):
+    return season(tmp_path)
+
+
+def rows(df):
+    return sorted(tuple(map(str, r)) for r in df.collect())
+
+
+def test_when():
+    assert when("2026-08-31") == datetime(2026, 8, 31, 23, 59, 59, tzinfo=timezone.utc)
+    assert when("2026-08-31T12:00") == datetime(2026, 8, 31, 12, tzinfo=timezone.utc)
+
+
+def test_ingest_twice_takes_in_nothing_new_and_skips_resent_files(spark, lake):
+    pipe = Pipeline(spark, Config(lake=str(lake)))
+    first = pipe.lake.ingest(END)
+    assert {b.source for b in first} == {"orders", "payments", "fx_rates", "settlements"}
+    assert sum(b.duplicates for b in first) == 1
+    assert pipe.lake.ingest(END) == []
+    log = pipe.lake.manifest()
+    assert log.count() == log.select("file").distinct().count()
+    assert log.where("batch_id is null").count() == 1
+    bronze = pipe.lake.bronze("payments")
+    assert bronze.count() == bronze.select("_bronze_row").distinct().count()
+    assert pipe.lake.bronze("nothing").count() == 0
+
+
+def test_uncommitted_batches_are_invisible_and_swept(spark, lake):
+    pipe = Pipeline(spark, Config(lake=str(lake)))
+    pipe.lake.ingest(END)
+    n = pipe.lake.bronze("orders").count()
+    orphan = lake / "bronze" / "orders" / "ingest_date=2026-08-09" / "feedfeedfeedfeed"
+    pipe.lake.bronze("orders").drop("_bronze_row").write.parquet(str(orphan))
+    assert pipe.lake.bronze("orders").count() == n
+    assert pipe.lake.sweep_orphans() == 1 and not orphan.exists()
+
+
+def test_drift_blocks_until_replayed(spark, lake):
+    old = Pipeline(spark, Config(lake=str(lake), parsers=("2025-11-01",)))
+    assert old.run(START + timedelta(days=2)) is True
+    before = rows(old.published("mart_daily_cash"))
+    assert old.run(END) is False, old.results
+    assert rows(old.published("mart_daily_cash")) == before
+    new = Pipeline(spark, Config(lake=str(lake)))
+    assert new.run(END, replay=True) is True, new.results
+    held = {r["quarantine_reason"] for r in new.tables["quarantine"].collect()}
+    assert held == {"unparseable_json"}
+    assert new.history().count() == 2
+
+
+def test_daily_runs_equal_one_run(spark, lake, tmp_path_factory):
+    daily = Pipeline(spark, Config(lake=str(lake)))
+    for d in range(DAYS + 2):
+        daily.run(START + timedelta(days=d, hours=12))
+    once = Pipeline(spark, Config(lake=str(season(tmp_path_factory.mktemp("once")))))
+    assert once.run(START + timedelta(days=DAYS + 1, hours=12)) is True, once.results
+    for name in ("fct_payments", "mart_daily_cash", "mart_order_revenue", "mart_waiting"):
+        drop = [c for c in ("_built_through_seq", "_batch_seq", "_ingested_at") if c in once.tables[name].columns]
+        assert rows(daily.published(name).drop(*drop)) == rows(once.published(name).drop(*drop)), name
+    state = once.tables["silver_orders"]
+    assert state.where("status = 'late'").count() == 0
+    assert state.where("is_deleted").count() == 2 * DAYS
+    assert all(r["status"] != "BLOCK" for r in once.checks().collect())
+
+
+def test_index_is_published_only_if_whole(spark, tmp_path):
+    from quillstream import pipeline
+    from quillstream.sources import corpus
+
+    src, lake = tmp_path / "src", str(tmp_path / "lake")
+    src.mkdir()
+    (src / "alpha.txt").write_text("[The Alpha Book]\n\nThe quick brown fox.\n\nÉtude of an œuvre, very quick.\n")
+    (src / "beta.txt").write_bytes("Beta\n\nUn café très fort.\n".encode("latin-1"))
+    assert corpus.reading_list(spark, str(src), lake) == 5
+    can = tmp_path / "can.tsv"
+    can.write_text("café\tbeta:2\nœuvre\talpha:3\n")
+    pipeline.build_index(spark, lake, "b1")
+    assert pipeline.publish_index(spark, lake, "b1", str(can))
+    ask = spark.createDataFrame([(1, "quick CAFE")], "query_id long, text string")
+    hits = pipeline.search_index(spark, lake, ask).orderBy("rank").collect()
+    assert [h["passage_id"] for h in hits][0] == "beta:2" and hits[0]["title"] == "Beta"
+    # One shard or many: the same scores. By letter as well, for scores are added per passage.
+    pipeline.build_index(spark, lake, "b2", shards=7, by_letter=True)
+    assert pipeline.publish_index(spark, lake, "b2", str(can))
+    again = pipeline.search_index(spark, lake, ask).orderBy("rank").collect()
+    assert [(h["passage_id"], round(h["score"], 9)) for h in hits] == [(h["passage_id"], round(h["score"], 9)) for h in again]
+    # Lossy decoding is caught, and readers keep the last good build.
+    corpus.reading_list(spark, str(src), lake, assume_utf8=True)
+    pipeline.build_index(spark, lake, "b3")
+    assert not pipeline.publish_index(spark, lake, "b3", str(can))
+    assert (tmp_path / "lake" / "CURRENT").read_text() == "builds/b2"
+    assert dict((n, ok) for n, ok, _ in pipeline.audit_index(spark, lake, "b3", str(can)))["encoding"] is False
+
+
+def test_archive_and_repo_lines(spark, tmp_path):
+    from quillstream.sources import corpus
+
+    (tmp_path / "a.md").write_text("---\nid: a\ntitle: One: two\nchapel: x\nkind: photo\ndated: 1712\nsuperseded_by: b\n---\n# T\n\n## Part\nline\n")
+    (tmp_path / "b.md").write_text("---\nid: b\ntitle: B\nchapel: x\nkind: photo\ndated: 1713\n---\nbody\n")
+    got = {r["id"]: r for r in corpus.archive(spark, str(tmp_path)).collect()}
+    assert got["a"]["title"] == "One: two" and got["a"]["dated"] == 1712 and not got["a"]["current"] and got["b"]["current"]
+    repo = spark.createDataFrame([("f.py", i, f"line {i}") for i in range(1, 301)], "path string, line_no int, line string")
+    assert corpus.read_lines(repo, "f.py", 10).count() == 200
+    assert [r["line_no"] for r in corpus.find_text(repo, "line 30").collect()] == [30, 300]
+    assert F.col("x") is not None
