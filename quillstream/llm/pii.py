@@ -41,7 +41,8 @@ def _digits(m: re.Match) -> str:
             times = 2 if w == "double" else 3
         else:
             out, times = out + DIGIT_WORDS[w] * times, 1
-    return out
+    # Ten digits are said as a phone number; written so, they are read so.
+    return re.sub(r"^(1?)(\d{3})(\d{3})(\d{4})$", lambda m: "-".join(filter(None, m.groups())), out)
 
 
 def _plain_char(m: re.Match) -> str:
