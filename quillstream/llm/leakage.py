@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import storage
+from .. import skew, storage
 
 #: Hashed features, dimensions kept, extra directions of the randomised range finder, its passes.
 FEATURES, DIMENSIONS, EXTRA, PASSES = 1 << 14, 96, 16, 2
@@ -37,6 +37,7 @@ SHARE, SURE, ANSWER_ITEMS = 0.5, 0.6, 2
 BLOCK = 8_192
 
 _INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]")
+_MARKS = re.compile("[" + "".join(chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))) + "]+")
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|[nrt])")
 _TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,60}>")
 _WORD = re.compile(r"[^\W_]+")
@@ -51,8 +52,7 @@ def words(text: str) -> list[str]:
     if "<" in text:
         text = _TAG.sub("", text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", _INVISIBLE.sub("", text))
-        text = "".join(c for c in text if not unicodedata.combining(c))
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", _INVISIBLE.sub("", text)))
     return _WORD.findall(text.casefold())
 
 
@@ -86,7 +86,7 @@ def tokenised(texts: DataFrame, key: Column, text: Column, name: str) -> DataFra
                 part = batch.slice(at, 1024)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([ids(t) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))], names=["key", "words"])
 
-    return storage.staged(texts.select(key.cast("long").alias("key"), text.alias("text")).where("text is not null").mapInArrow(run, "key long, words array<long>"), name)
+    return storage.staged(skew.spread(texts.select(key.cast("long").alias("key"), text.alias("text")).where("text is not null")).mapInArrow(run, "key long, words array<long>"), name)
 
 
 def feature_weights(tokens: DataFrame) -> np.ndarray:

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import skew, storage
+
 # Transducers ----------------------------------------------------------------------------------
 #: Cyrillic and Greek letters and the Latin ones they look like (fixed values).
 LOOKALIKES = str.maketrans("авеёкмнорстухісјѕԁԛԝһАВЕКМНОРСТУХІЈЅαεικνορτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "abeekmhopctyxicjsdqwhABEKMHOPCTYXIJSaeikvoptuxABEZHIKMNOPTYX")
@@ -145,8 +147,8 @@ CUES = (
     "[Pp]acco di", "[Ii]eri", "affidato a", "[Ff]irmato:", "[Ss]igned:?", "assigned_to:", "owner,", "[Cc]ontact:", "Herrn?", "Frau", "Mr\\.?", "Mrs\\.?", "Ms\\.?", "M\\.", "Mme", "[Ss]ignor[ae]?",
 )
 CUE = rf"(?:^|[^\p{{L}}])(?:{'|'.join(CUES)})\s?({_JAVA_FULL})(?= \p{{Ll}}|[.,;\r\n]|  |$)"
-#: Names that the gazetteers hold at most, those seen most often first; documents that must show a name.
-GAZETTEER, LEAST = 100_000, 1
+#: Names that the gazetteers hold at most, those seen most often first; the share of all announced persons that a name must make, once at least.
+GAZETTEER, LEAST = 100_000, 0.001
 
 
 #: Words that begin sentences and are no names (fixed values).
@@ -184,7 +186,9 @@ def learn_names(texts: DataFrame, text: Column) -> tuple[frozenset[str], frozens
             yield pd.DataFrame(rows, columns=["name", "kind", "n"])
 
     counted = found.mapInPandas(parts, "name string, kind string, n long").groupBy("name").agg(F.sum(F.when(F.col("kind") == "given", F.col("n")).otherwise(0)).alias("g"), F.sum(F.when(F.col("kind") == "family", F.col("n")).otherwise(0)).alias("f"))
-    top = counted.where(F.col("g") + F.col("f") >= LEAST).orderBy((F.col("g") + F.col("f")).desc(), "name").limit(GAZETTEER).collect()
+    counted = storage.staged(counted, "names")
+    least = LEAST * (counted.agg(F.sum("f")).first()[0] or 0)
+    top = counted.where(F.col("g") + F.col("f") >= least).orderBy((F.col("g") + F.col("f")).desc(), "name").limit(GAZETTEER).collect()
     # A name announced in both places counts where it is more at home, by a fifth at least.
     top = [r for r in top if not COMMON.intersection(r["name"].split()[:1])]
     return frozenset(r["name"] for r in top if 5 * r["g"] >= r["f"] and r["g"]), frozenset(r["name"] for r in top if 5 * r["f"] >= r["g"] and r["f"])
@@ -280,7 +284,7 @@ def found_places(texts: DataFrame, key: Column, text: Column, names: tuple[froze
             rows = [(k, kind, a, b) for k, t in zip(pdf["key"], pdf["text"], strict=True) for a, b, kind in places(t, known)]
             yield pd.DataFrame(rows, columns=["key", "kind", "char_start", "char_end"])
 
-    return texts.select(key.cast("long").alias("key"), text.alias("text")).where("text is not null").mapInPandas(run, "key long, kind string, char_start long, char_end long")
+    return skew.spread(texts.select(key.cast("long").alias("key"), text.alias("text")).where("text is not null")).mapInPandas(run, "key long, kind string, char_start long, char_end long")
 
 
 def redacted(texts: DataFrame, key: Column, text: Column, names: tuple[frozenset[str], frozenset[str]]) -> DataFrame:
@@ -292,4 +296,4 @@ def redacted(texts: DataFrame, key: Column, text: Column, names: tuple[frozenset
             spots = [[] if t is None else places(t, known) for t in pdf["text"]]
             yield pd.DataFrame({"key": pdf["key"], "text": [None if t is None else replaced(t, s) for t, s in zip(pdf["text"], spots, strict=True)], "places": [len(s) for s in spots]})
 
-    return texts.select(key.cast("long").alias("key"), text.alias("text")).mapInPandas(run, "key long, text string, places long")
+    return skew.spread(texts.select(key.cast("long").alias("key"), text.alias("text"))).mapInPandas(run, "key long, text string, places long")

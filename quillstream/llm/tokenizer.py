@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
+from .. import skew
+
 #: The vocabulary and the pattern that cuts text before merging (fixed values of the public vocabulary).
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -123,4 +125,4 @@ def encoded(texts: DataFrame, key: Column, text: Column, ranks_path: str = DEFAU
                 ids = pa.array([encoder.encode(t) for t in part.column(1).to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["key", "ids"])
 
-    return texts.select(key.cast("long").alias("key"), text.alias("text")).mapInArrow(run, "key long, ids array<int>")
+    return skew.spread(texts.select(key.cast("long").alias("key"), text.alias("text"))).mapInArrow(run, "key long, ids array<int>")
