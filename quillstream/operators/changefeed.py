@@ -79,14 +79,14 @@ def _folder(columns: list[str], memory_mb: int):
     return fold
 
 
-def fold(all_changes: DataFrame, memory_mb: int = 320) -> DataFrame:
+def fold(all_changes: DataFrame, memory_mb: int = 512) -> DataFrame:
     """The highest change of each key, tombstones included, by the buckets' embedded upserts.
 
     Equal sequences: the stored row wins, then the smaller ``tie`` as text, then the delete.
     An empty feed gives an empty state.
     """
     columns = all_changes.columns
-    parts = skew.partitions(all_changes)
+    parts = skew.partitions(all_changes, target_mb=16)  # compressed; a bucket's state is held in memory
     hot = skew.hot_slots(all_changes, [F.col("cdc_key")], parts)
     where = skew.slot(F.col("cdc_key"))
     task = _folder(columns, memory_mb)

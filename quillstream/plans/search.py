@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import skew, storage
 from ..functions import scan, search, text
 from ..session import table
 
@@ -16,13 +17,18 @@ def documents(spark, sf):
 
 
 def tokenised(spark: SparkSession, sf: str) -> DataFrame:
-    return text.with_tokens(documents(spark, sf).select("doc_id", "text", "lang"), "text")
+    return text.with_tokens(skew.spread(documents(spark, sf).select("doc_id", "text", "lang")), "text")
 
 
 def corpus_terms(spark, sf):
     return search.slips(tokenised(spark, sf), "doc_id")
 
 
+def stored_terms(spark, sf):
+    """Words and counts as a table, for plans that read them more than once."""
+    return storage.staged(corpus_terms(spark, sf), "terms")
+
+
 def queries_of(spark, sf, remainder: int = 0):
     """The search's queries: every twentieth held-out item."""
     items = table(spark, sf, "eval_items").where(F.col("item_id") % 20 == remainder).select(F.col("item_id").alias("query_id"), "text")
@@ -61,8 +67,9 @@ def q25_postings(spark, sf):
 
 def q26_shard_df_conservation(spark, sf):
     """Words whose frequencies in the shards don't add up to the corpus's; a word that one side lacks counts."""
-    shards = index(spark, sf).groupBy("word").agg(F.sum("df").alias("in_shards"))
-    stats = search.document_frequencies(corpus_terms(spark, sf))
+    terms = stored_terms(spark, sf)
+    shards = search.inverted_index(terms, "doc_id", F.pmod("doc_id", F.lit(SHARDS)).cast("int")).groupBy("word").agg(F.sum("df").alias("in_shards"))
+    stats = search.document_frequencies(terms)
     both = shards.join(stats, "word", "full_outer")
     return both.agg(F.count("*").alias("words"), F.coalesce(F.sum((~F.col("in_shards").eqNullSafe(F.col("df"))).cast("bigint")), F.lit(0)).alias("disagree"))
 
@@ -72,8 +79,8 @@ def q27_letter_shards(spark, sf):
     return terms.groupBy(text.letter_shard(F.col("word"), SHARDS).alias("shard")).agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"))
 
 
-def scored(spark, sf):
-    return search.bm25_scores(corpus_terms(spark, sf), "doc_id", n_docs(spark, sf), queries_of(spark, sf))
+def scored(spark, sf, terms=None):
+    return search.bm25_scores(terms or stored_terms(spark, sf), "doc_id", n_docs(spark, sf), queries_of(spark, sf))
 
 
 def _shown(hits):
@@ -88,7 +95,7 @@ def q29_bm25_local_idf(spark, sf):
     """Each shard scores with statistics of its own; the shards' bests are merged."""
     shard = F.pmod("doc_id", F.lit(SHARDS)).cast("int").alias("shard")
     per = documents(spark, sf).groupBy(shard).agg(F.count("*").alias("n"))
-    return _shown(search.best(search.bm25_scores(corpus_terms(spark, sf).withColumn("shard", shard), "doc_id", per, queries_of(spark, sf), by=["shard"]), "query_id", "doc_id", K))
+    return _shown(search.best(search.bm25_scores(stored_terms(spark, sf).withColumn("shard", shard), "doc_id", per, queries_of(spark, sf), by=["shard"]), "query_id", "doc_id", K))
 
 
 def q30_hits_with_text(spark, sf):
@@ -154,16 +161,18 @@ def q38_cosine_top5(spark, sf):
 
 def q39_rank_fusion(spark, sf):
     """BM25 fused with the number of shared words, both cut at 50."""
-    keyword = search.best(scored(spark, sf), "query_id", "doc_id", 50)
+    terms = stored_terms(spark, sf)
+    keyword = search.best(scored(spark, sf, terms), "query_id", "doc_id", 50)
     asked = queries_of(spark, sf).select("query_id", F.explode(F.array_distinct("tokens")).alias("word"))
-    shared = corpus_terms(spark, sf).join(asked, "word").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
+    shared = terms.join(asked, "word").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
     fused = search.fused(keyword, search.best(shared, "query_id", "doc_id", 50), "query_id", "doc_id", K)
     return fused.select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 9).alias("score"))
 
 
 def q40_gate_table(spark, sf):
-    good = search.best(scored(spark, sf), "query_id", "doc_id", 1)
-    bad = search.best(search.bm25_scores(corpus_terms(spark, sf), "doc_id", n_docs(spark, sf), queries_of(spark, sf, 10)), "query_id", "doc_id", 1)
+    terms = stored_terms(spark, sf)
+    good = search.best(scored(spark, sf, terms), "query_id", "doc_id", 1)
+    bad = search.best(search.bm25_scores(terms, "doc_id", n_docs(spark, sf), queries_of(spark, sf, 10)), "query_id", "doc_id", 1)
     return search.gate_table(good, bad, [20.0, 40.0, 60.0, 80.0, 100.0, 150.0])
 
 

@@ -56,3 +56,9 @@ def salt(slot_col: Column, hot: dict[int, int], *spread: Column) -> Column:
 
 def is_hot(slot_col: Column, hot: dict[int, int]) -> Column:
     return slot_col.isin(list(hot)) if hot else F.lit(False)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, where its few files would leave cores idle in a Python stage."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
