@@ -1,4 +1,4 @@
-"""Commands over a lake: ingest, build, grade, run, query, status, and over a text lake: reading-list, index, publish, search."""
+"""Commands over a lake: season, ingest, build, grade, run, naive, query, status, and over a text lake: reading-list, index, publish, search."""
 
 from __future__ import annotations
 
@@ -18,6 +18,11 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--lake", required=True)
         p.add_argument("--through", required=True)
         p.add_argument("--replay", action="store_true")
+    sub.add_parser("season").add_argument("lake")
+    p = sub.add_parser("naive")
+    p.add_argument("--lake", required=True)
+    p.add_argument("--through", required=True)
+    p.add_argument("--month", required=True)
     p = sub.add_parser("query")
     p.add_argument("--lake", required=True)
     p.add_argument("sql")
@@ -42,6 +47,16 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("words")
     p.add_argument("--local-idf", action="store_true")
     a = parser.parse_args(argv)
+    if a.command == "season":
+        from pathlib import Path
+
+        from .sources.season import season
+
+        if (Path(a.lake) / "landing").exists():
+            print("there is a season already", file=sys.stderr)
+            return 1
+        season(Path(a.lake))
+        return 0
     spark = local_session()
     if a.command == "reading-list":
         print(reading_list(spark, a.folder, a.lake, a.assume_utf8), "passages")
@@ -66,6 +81,10 @@ def main(argv: list[str] | None = None) -> int:
         spark.sql(a.sql).show(a.rows, truncate=False)
         return 0
     through = when(a.through)
+    if a.command == "naive":
+        pipe.naive_month(through, a.month).show()
+        pipe.naive_waiting(through).show()
+        return 0
     if a.command == "ingest":
         for b in pipe.lake.ingest(through):
             print(b)

@@ -149,3 +149,15 @@ def review(spark, diff: str, tools: Tools, step: Callable[[list[dict]], dict], l
 
 def to_json(found: list[dict]) -> str:
     return json.dumps({"findings": found})
+
+
+def token_estimate(text: Column) -> Column:
+    """A model's tokens, at three characters each."""
+    return F.floor(F.length(text) / 3).cast("bigint")
+
+
+def review_scores(runs: DataFrame) -> DataFrame:
+    """(caught, missed, false_blocks, clean_runs, median_s) of runs (expected boolean, blocked boolean, seconds double)."""
+    n = lambda test: F.coalesce(F.sum(test.cast("bigint")), F.lit(0))
+    e, b = F.col("expected"), F.col("blocked")
+    return runs.agg(n(e & b).alias("caught"), n(e & ~b).alias("missed"), n(~e & b).alias("false_blocks"), n(~e).alias("clean_runs"), F.median("seconds").alias("median_s"))

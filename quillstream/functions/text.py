@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Ligatures that don't decompose (fixed values).
 LIGATURES = {"æ": "ae", "Æ": "Ae", "œ": "oe", "Œ": "Oe", "ß": "ss"}
 #: Letters, digits and marks beyond the Latin blocks, and symbols that decompose into letters: these need full decomposition.
-_BEYOND = r"[\p{L}\p{N}&&[^\x{0}-\x{24F}]]|[\x{2100}-\x{214F}\x{2460}-\x{24FF}\x{3200}-\x{33FF}\x{FB00}-\x{FB4F}\x{FF00}-\x{FFEF}\x{A8}\x{B4}\x{B8}\x{BC}-\x{BE}\x{132}\x{133}\x{13F}\x{140}\x{149}\x{17F}\x{1C4}-\x{1CC}\x{1F1}-\x{1F3}]"
+_BEYOND = r"[[\p{L}\p{N}&&[^\x{0}-\x{24F}]]\x{2100}-\x{214F}\x{2460}-\x{24FF}\x{3200}-\x{33FF}\x{FB00}-\x{FB4F}\x{FF00}-\x{FFEF}\x{A8}\x{B4}\x{B8}\x{BC}-\x{BE}\x{132}\x{133}\x{13F}\x{140}\x{149}\x{17F}\x{1C4}-\x{1CC}\x{1F1}-\x{1F3}]"
 
 
 def _latin() -> tuple[str, str]:
@@ -30,11 +30,11 @@ _FROM, _TO = _latin()
 
 
 def fold(text: Column) -> Column:
-    """Accents and ligatures of Latin text folded, marks dropped."""
+    """Accents and ligatures of Latin text folded."""
     out = F.translate(text, _FROM, _TO)
     for a, b in LIGATURES.items():
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.regexp_replace(out, r"\p{M}+", "")
+    return out
 
 
 def python_tokens(text: str) -> list[str]:
@@ -44,14 +44,17 @@ def python_tokens(text: str) -> list[str]:
 
 
 def with_tokens(df: DataFrame, text: str, name: str = "tokens") -> DataFrame:
-    """Rows with their words. Latin text stays on the JVM side; only rows in other scripts go through Python. A null text has no words."""
-    plain = df.where(F.col(text).isNull() | ~F.col(text).rlike(_BEYOND)).withColumn(name, F.coalesce(F.regexp_extract_all(F.lower(fold(F.col(text))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.array()))
+    """Rows with their words. Latin text stays on the JVM side; of texts in other scripts alone anything but a null goes through Python. A null text has no words."""
 
     @F.pandas_udf("array<string>")
     def tokens(s: pd.Series) -> pd.Series:
-        return s.map(python_tokens)
+        return s.map(lambda t: None if t is None else python_tokens(t))
 
-    return plain.unionByName(df.where(F.col(text).rlike(_BEYOND)).withColumn(name, tokens(F.col(text))))
+    beyond = F.col(text).rlike(_BEYOND)
+    words = F.regexp_extract_all(F.regexp_replace(F.lower(F.col(text)), r"\p{M}+", ""), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    plain = F.transform(words, lambda w: F.when(w.rlike("^[a-z0-9]+$"), w).otherwise(fold(w)))
+    rows = df.withColumn("__beyond", F.coalesce(beyond, F.lit(False))).withColumn("__foreign", tokens(F.when(F.col("__beyond"), F.col(text))))
+    return rows.withColumn(name, F.coalesce(F.col("__foreign"), F.when(~F.col("__beyond"), plain), F.array())).drop("__beyond", "__foreign")
 
 
 #: Words that the stemming tokenizer leaves out (fixed values).

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: A right side estimated at no more than this is broadcast; a larger one is cut into slices of time.
+#: A right side estimated at no more than this is broadcast.
 BROADCAST_BYTES = 16 << 20
 
 
@@ -14,30 +16,25 @@ def asof_left(left: DataFrame, right: DataFrame, on: tuple[str, str], by: list[s
     """Left rows with ``carry`` of the right row whose time is the latest at or before theirs; null where there is none.
 
     ``on`` names the time columns (dates or whole numbers), ``by`` columns of both sides that must be equal.  Rights must
-    be unique by ``by`` and time; null times match nothing.  Each right row holds until the next one, so that the join is
-    a range join: broadcast where the right side is small by its estimate, otherwise on slices of time, into which each
-    right row is copied as far as it holds and lefts exist.
+    be unique by ``by`` and time; null times match nothing.  Each right row holds until the next one.  Rows that hold for
+    a closed time are copied into the slices of time that they cover and joined by slice; the last row of each ``by``
+    holds for ever and is joined by ``by`` alone.  Both are equi-joins: hashed and broadcast where the right side is small
+    by its estimate, shuffled otherwise, and never a comparison of all rows with all.
     """
     lt, rt = on
     number = lambda df, c: F.unix_date(c).cast("long") if dict(df.dtypes)[c] == "date" else F.col(c).cast("long")
-    l = left.withColumn("__t", number(left, lt))
-    r = right.where(F.col(rt).isNotNull()).select(*by, *[F.col(c).alias(f"__c_{c}") for c in carry], number(right, rt).alias("__from"))
-    r = r.withColumn("__to", F.lead("__from").over(W.partitionBy(*(by or [F.lit(1)])).orderBy("__from")))
-    held = (F.col("__t") >= F.col("__from")) & (F.col("__to").isNull() | (F.col("__t") < F.col("__to")))
-    if int(right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= BROADCAST_BYTES:
-        small = r.select(*[F.col(b).alias(f"__b_{b}") for b in by], *[c for c in r.columns if c not in by])
-        condition = held
-        for b in by:
-            condition = (l[b] == small[f"__b_{b}"]) & condition
-        joined = l.join(F.broadcast(small), condition, "left")
-    else:
-        last = l.agg(F.max("__t")).first()[0] or 0  # one number
-        end = F.greatest(F.coalesce(F.col("__to") - 1, F.lit(last)), F.col("__from"))
-        sliced = r.withColumn("__s", F.explode(F.sequence(F.floor(F.col("__from") / slice_width).cast("long"), F.floor(end / slice_width).cast("long"))))
-        sliced = sliced.select(*[F.col(b).alias(f"__b_{b}") for b in by], *[c for c in sliced.columns if c not in by and c != "__s"], F.col("__s").alias("__rs"))
-        l = l.withColumn("__s", F.floor(F.col("__t") / slice_width).cast("long"))
-        condition = (l["__s"] == sliced["__rs"]) & held
-        for b in by:
-            condition = (l[b] == sliced[f"__b_{b}"]) & condition
-        joined = l.join(sliced, condition, "left")
-    return joined.select(*[l[c] for c in left.columns], *[F.col(f"__c_{c}").alias(c) for c in carry])
+    small = int(right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= BROADCAST_BYTES
+    sent = F.broadcast if small else lambda df: df
+    keys = [f"__k{i}" for i in range(len(by))]
+    l = left.withColumns({"__t": number(left, lt), "__s": F.floor(number(left, lt) / slice_width).cast("long"), "__one": F.lit(1)} | {k: F.col(b) for k, b in zip(keys, by, strict=True)})
+    r = right.where(F.col(rt).isNotNull()).select(*[F.col(b).alias(k) for k, b in zip(keys, by, strict=True)], F.struct(*[F.col(c).alias(c) for c in carry]).alias("__c"), number(right, rt).alias("__from"))
+    r = r.withColumn("__to", F.lead("__from").over(W.partitionBy(*(keys or [F.lit(1)])).orderBy("__from")))
+    covered = F.sequence(F.floor(F.col("__from") / slice_width).cast("long"), F.floor((F.col("__to") - 1) / slice_width).cast("long"))
+    closed = r.where("__to is not null").select(*[F.col(k).alias(f"{k}c") for k in keys], F.explode(covered).alias("__sc"), "__from", "__to", F.col("__c").alias("__closed"))
+    last = r.where("__to is null").select(*[F.col(k).alias(f"{k}l") for k in keys], F.lit(1).alias("__onel"), F.col("__from").alias("__since"), F.col("__c").alias("__last"))
+    same = lambda names, end: [F.col(k) == F.col(f"{k}{end}") for k in names]
+    on_slice = [*same([*keys, "__s"], "c"), (F.col("__t") >= F.col("__from")) & (F.col("__t") < F.col("__to"))]
+    on_last = [*same([*keys, "__one"], "l"), F.col("__t") >= F.col("__since")]
+    joined = l.join(sent(closed), reduce(lambda x, y: x & y, on_slice), "left").join(sent(last), reduce(lambda x, y: x & y, on_last), "left")
+    held = F.coalesce("__last", "__closed")
+    return joined.select(*left.columns, *[held[c].alias(c) for c in carry])

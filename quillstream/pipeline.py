@@ -188,6 +188,22 @@ class Pipeline:
         storage.write_text_atomically(self.spark, f"{self.config.lake}/gold/history/{version}.json", json.dumps(entry) + "\n")
         return True
 
+    # What somebody in a hurry would say -----------------------------------------------------------
+    def naive_month(self, through: datetime, month: str) -> DataFrame:
+        """A month's captures added up straight from the landing files: repeats, re-sent files and foreign amounts included."""
+        rows = self.lake.naive_lines("payments", through)
+        taken = rows.where((parsing.at("json", "$.type") == "charge.succeeded") & (F.date_format(F.timestamp_seconds(parsing.whole(parsing.at("json", "$.created"))), "yyyy-MM") == month))
+        return taken.agg(F.count("*").alias("events"), F.format_number(F.sum(parsing.whole(parsing.at("json", "$.data.object.amount"))) / 100, 2).alias("amount"))
+
+    def naive_waiting(self, through: datetime) -> DataFrame:
+        """Paid orders by the change that arrived last, and those that waited 72 hours or more in elapsed time."""
+        rows = self.lake.naive_lines("orders", through).where("json is not null")
+        image = F.coalesce(parsing.at("json", "$.after"), parsing.at("json", "$.before"))
+        rows = rows.select(F.get_json_object(image, "$.order_id").alias("order_id"), F.struct("file", "line").alias("arrival"), F.get_json_object(image, "$.status").alias("status"), F.get_json_object(image, "$.updated_at").try_cast("timestamp").alias("updated_at"))
+        last = rows.groupBy("order_id").agg(F.max_by("status", "arrival").alias("status"), F.max_by("updated_at", "arrival").alias("updated_at")).where("status = 'paid'")
+        old = F.unix_timestamp(F.lit(through).cast("timestamp")) - F.unix_timestamp("updated_at") >= 72 * 3600
+        return last.agg(F.count("*").alias("waiting"), F.coalesce(F.sum(old.cast("bigint")), F.lit(0)).alias("over_72h"))
+
     def run(self, through: datetime, replay: bool = False) -> bool:
         """ingest, build, grade, publish."""
         self.lake.ingest(through)

@@ -1,73 +1,12 @@
 """The lake end to end: idempotent ingest, crash safety, drift and replay, daily runs against one run, publish or refuse."""
 
-import json
 from datetime import datetime, timedelta, timezone
-from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillstream.pipeline import Config, Pipeline, when
-
-START = datetime(2026, 8, 3, tzinfo=timezone.utc)
-DAYS = 3
-
-
-def _order(n, op, lsn, status, at):
-    row = {"order_id": f"ord_{n:03d}", "customer_id": f"cus_{n % 7}", "status": status, "currency": "cad" if n % 3 else "usd", "total_minor": 1000 + n, "ship_region": ["NS", "ON", "QC"][n % 3], "created_at": (START + timedelta(hours=n)).isoformat(), "updated_at": at.isoformat()}
-    return json.dumps({"op": op, "ts_ms": 1, "source": {"lsn": lsn}, "before": row if op == "d" else None, "after": None if op == "d" else row})
-
-
-def _payment(n, kind, version, at, suffix=""):
-    cur = "cad" if n % 3 else "usd"
-    base = {"id": f"evt_{n:03d}{suffix}", "type": f"charge.{kind}", "api_version": version, "created": int(at.timestamp())}
-    if version == "2025-11-01":
-        obj = {"id": f"ch_{n:03d}", "object": "charge", "order_id": f"ord_{n:03d}", "amount": 1000 + n, "currency": cur}
-        if kind == "refunded":
-            obj["refund"] = {"id": f"re_{n:03d}", "amount": 500}
-    else:
-        obj = {"id": f"ch_{n:03d}" if kind == "succeeded" else f"re_{n:03d}", "object": "charge" if kind == "succeeded" else "refund", "charge": f"ch_{n:03d}", "amount": {"value": 1000 + n if kind == "succeeded" else 500, "currency": cur.upper()}, "metadata": {"order_id": f"ord_{n:03d}"}}
-    return json.dumps(base | {"data": {"object": obj}})
-
-
-def _put(root: Path, source: str, at: datetime, text: str, resend=False, ext="jsonl"):
-    p = root / "landing" / source / f"{at:%Y-%m-%d}" / f"{source}-{at:%Y%m%dT%H}00{'-resend' if resend else ''}.{ext}"
-    p.parent.mkdir(parents=True, exist_ok=True)
-    p.write_text(text)
-
-
-def season(root: Path) -> Path:
-    """Orders, payments of two versions, repeats, a truncated line, a file sent twice, late changes, a correction of a rate, settlements."""
-    money: dict = {}
-    for d in range(DAYS):
-        day = START + timedelta(days=d)
-        for h in (6, 18):
-            at = day + timedelta(hours=h)
-            ns = range(d * 20 + h, d * 20 + h + 8)
-            orders = [_order(n, "c", n * 10, "placed", at) for n in ns] + [_order(n, "u", n * 10 + 1, "paid", at) for n in ns]
-            orders += [_order(n, "d", n * 10 + 5, "paid", at) for n in list(ns)[:1]]
-            if d:
-                orders.append(_order(d * 20 + h - 20, "u", (d * 20 + h - 20) * 10 - 3, "late", at))  # an old change, late
-            version = "2026-08-01" if d == 2 else "2025-11-01"
-            pays = [_payment(n, "succeeded", version, at - timedelta(minutes=5)) for n in ns] + [_payment(n, "refunded", version, at - timedelta(minutes=4), "r") for n in list(ns)[:2]]
-            for n in ns:
-                cur = "cad" if n % 3 else "usd"
-                g = money.setdefault((f"{at:%Y-%m-%d}", cur), [0, 0, 0, 0])
-                g[0] += 1000 + n
-                g[2] += 1
-                if n in list(ns)[:2]:
-                    g[1] += 500
-                    g[3] += 1
-            text = "\n".join(pays + [pays[0], pays[3][:40]]) + "\n"
-            _put(root, "orders", at, "\n".join(orders) + "\n")
-            _put(root, "payments", at, text)
-            if d == 1 and h == 6:
-                _put(root, "payments", at + timedelta(hours=2), text, resend=True)
-        _put(root, "fx_rates", day + timedelta(hours=1), f"rate_date,base,quote,rate\n{day - timedelta(days=1):%Y-%m-%d},USD,CAD,1.{35 + d}0000\n", ext="csv")
-    for (day, cur), (g, r, n, m) in sorted(money.items()):
-        at = datetime.fromisoformat(day).replace(tzinfo=timezone.utc) + timedelta(days=1, hours=5 if cur == "cad" else 6)
-        _put(root, "settlements", at, f"settlement_date,currency,gross_minor,refunds_minor,net_minor,charge_count,refund_count\n{day},{cur},{g},{r},{g - r},{n},{m}\n", ext="csv")
-    return root
+from quillstream.sources.season import DAYS, START, season
 
 
 END = START + timedelta(days=DAYS + 1)
@@ -179,3 +118,32 @@ def test_archive_and_repo_lines(spark, tmp_path):
     assert corpus.read_lines(repo, "f.py", 10).count() == 200
     assert [r["line_no"] for r in corpus.find_text(repo, "line 30").collect()] == [30, 300]
     assert F.col("x") is not None
+
+
+def test_a_lost_file_is_noticed(spark, tmp_path):
+    from quillstream import pipeline
+    from quillstream.sources import corpus
+
+    src, lake, hurt = tmp_path / "src", str(tmp_path / "lake"), str(tmp_path / "hurt")
+    src.mkdir()
+    for b in "abc":
+        (src / f"{b}.txt").write_text(f"{b} title\n\nsome words of {b}.\n\nmore of {b}.\n")
+    n = corpus.reading_list(spark, str(src), lake)
+    can = tmp_path / "can.tsv"
+    can.write_text("words\tb:2\n")
+    assert corpus.without_file_of(spark, lake, hurt, "b:2") < n
+    pipeline.build_index(spark, hurt, "b1")
+    assert not pipeline.publish_index(spark, hurt, "b1", str(can))
+    failed = {name for name, ok, _ in pipeline.audit_index(spark, hurt, "b1", str(can)) if not ok}
+    assert failed == {"passages", "canaries"}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quillstream.__main__ import main
+
+    assert main(["season", str(tmp_path)]) == 0
+    assert main(["run", "--lake", str(tmp_path), "--through", "2026-08-04T12:00"]) == 0
+    assert main(["status", "--lake", str(tmp_path)]) == 0
+    assert main(["query", "--lake", str(tmp_path), "select count(*) as n from fct_payments"]) == 0
+    assert "quarantine rate: " in capsys.readouterr().out
+    assert main(["naive", "--lake", str(tmp_path), "--through", "2026-08-04T12:00", "--month", "2026-08"]) == 0

@@ -196,3 +196,9 @@ def test_embedder(spark):
 
     df = spark.createDataFrame([("a", "xxx"), ("b", "")], "k string, t string")
     assert {r["k"]: r["vector"] for r in answers.embedded(df, "k", "t", Fake).collect()} == {"a": [1.0, 0.0], "b": [0.0, 0.0]}
+
+
+def test_review_scores(spark):
+    df = spark.createDataFrame([(True, True, 1.0), (True, False, 3.0), (False, True, 2.0), (False, False, 9.0)], "expected boolean, blocked boolean, seconds double")
+    assert tuple(answers.review_scores(df).first()) == (1, 1, 1, 2, 2.5)
+    assert spark.range(1).select(answers.token_estimate(F.lit("abcdefg"))).first()[0] == 2
