@@ -29,10 +29,14 @@ _INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]+")
 _WIDE = re.compile("[  -   　]|[‐-―−]|[！-～]|[٠-٩۰-۹०-९]|[①-⑨⁰-⁹₀-₉]|[\U0001d400-\U0001d7ff]")
 _MIXED = re.compile(r"(?=[^\W_]*[a-zA-Z0-9])(?=[^\W_]*[Ͱ-ϿЀ-ӿԀ-ԯ])[^\W_]+(?:[@._+-][^\W_]+)*")
 _AT = re.compile(r"(?<=[\w.+-])\s*(?:[(\[{<]\s*(?:at|arobase|chiocciola|klammeraffe|ät|@)\s*[)\]}>]|&#64;|&commat;|%40|\s(?:AT|arobase|chiocciola|klammeraffe)\s|\s+@\s*|@\s+)\s*(?=[\w-]+\s*(?:\.|[(\[{]\s*(?:dot|punto|punkt|point|\.)))", re.I)
+_OTHER_SCRIPT = re.compile("[Ͱ-ϿЀ-ӿԀ-ԯ]")
+_AT_HINTS = ("@ ", " @", "(at", "[at", "{at", "<at", "( at", "[ at", "(@", "[@", "&#64;", "&commat;", "%40", "arobase", "chiocciola", "klammeraffe", "(ät", "[ät", "@\n", "\n@", "@\t", "\t@")
+_DOT_HINTS = ("dot", "punto", "punkt", "point", "(.", "[.", "{.", "( .", "[ .")
 _AT_WORD = re.compile(r"(?<=[\w+-])\s+at\s+(?=[\w-]+(?:\s+dot\s+[\w-]+)+\b)", re.I)
 _DOT = re.compile(r"(?<=\w)\s*[(\[{]\s*(?:dot|punto|punkt|point|\.)\s*[)\]}]\s*(?=\w)|(?<=\w)\s+(?:dot)\s+(?=\w)", re.I)
 #: Spelled digits (fixed values) of English, French, German and Italian.
 DIGIT_WORDS = {w: str(i) for i, ws in enumerate(["zero oh null zéro", "one eins un uno", "two zwei zwo deux due", "three drei trois tre", "four vier quatre quattro", "five fünf cinq cinque", "six sechs sei", "seven sieben sept sette", "eight acht huit otto", "nine neun neuf nove"]) for w in ws.split()}
+_DIGIT_WORD_SET = frozenset(DIGIT_WORDS) | {"double", "triple"}
 _SPELLED = re.compile(rf"(?<!\w)(?:double\s+|triple\s+)?(?:{'|'.join(sorted(DIGIT_WORDS, key=len, reverse=True))})(?:[\s,.-]+(?:double\s+|triple\s+)?(?:{'|'.join(sorted(DIGIT_WORDS, key=len, reverse=True))})){{5,}}(?!\w)", re.I)
 
 
@@ -62,12 +66,18 @@ class Plain:
         if not text.isascii():
             self.rewrite(_INVISIBLE, lambda m: "")
             self.rewrite(_WIDE, _plain_char)
-            self.rewrite(_MIXED, lambda m: m[0].translate(LOOKALIKES))
-        self.rewrite(_AT, lambda m: "@")
-        self.rewrite(_AT_WORD, lambda m: "@")
-        if "@" in self.text:
+            if _OTHER_SCRIPT.search(self.text):
+                self.rewrite(_MIXED, lambda m: m[0].translate(LOOKALIKES))
+        # Plain substring tests first: few texts hold a disguise.
+        low = self.text.lower()
+        if any(h in low for h in _AT_HINTS):
+            self.rewrite(_AT, lambda m: "@")
+        if " at " in low and " dot " in low:
+            self.rewrite(_AT_WORD, lambda m: "@")
+        if "@" in self.text and any(h in low for h in _DOT_HINTS):
             self.rewrite(_DOT, lambda m: ".")
-        self.rewrite(_SPELLED, _digits)
+        if len(_DIGIT_WORD_SET.intersection(low.replace("-", " ").replace(",", " ").split())) > 1:
+            self.rewrite(_SPELLED, _digits)
 
     def rewrite(self, pattern: re.Pattern, by: Callable[[re.Match], str]) -> None:
         out, at, length = [], 0, 0
@@ -123,6 +133,8 @@ _PHONES = [
     re.compile(_BEFORE + r"07\d{3} ?\d{3} ?\d{3}(?![\d-])"),
     re.compile(r"(?<![\w.,/#-])(?:\(0\d{1,4}\) ?|0\d{1,4}[ /])\d{4,8}(?:[ -]\d{1,4})?(?![\d/-])"),
 ]
+#: No phone number is without this.
+_DIGITS = re.compile(r"\d[\d ().\-/]{6,}\d")
 #: What such numbers are called when they are no phones (fixed values).
 _NO_PHONE = re.compile(r"(?:checksum|tracking|lsn|shelfmark|order|folio|isbn|issn|invoice|batch|code|total|c\$|€|£|\$|page)\W{0,3}$", re.I)
 _UP = "A-ZÀ-ÖØ-Þ"
@@ -139,6 +151,7 @@ _ADDRESSES = [
 #: Particles that belong to the family name that follows (fixed values).
 PARTICLES = frozenset("von van de della dello dalla da di del der zu den le la dos das".split())
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*")
+_CAPITAL = re.compile(r"(?<![^\W\d_'’-])[^\W\d_a-zà-öø-ÿ](?:[^\W\d_]|['’-](?=[^\W\d_]))*")
 _JAVA_NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
 _JAVA_FULL = rf"{_JAVA_NAME}(?:,? (?:\p{{Lu}}\. )?(?:(?:von|van|de|della|da|di|del|d['’]|Della|VON|DELLA) )?(?:d['’])?{_JAVA_NAME}){{1,3}}"
 #: Phrases that announce a person, by language (fixed values); a name follows.
@@ -220,6 +233,8 @@ class Names:
         return 0
 
     def find(self, text: str) -> Iterator[tuple[int, int]]:
+        if self.given.isdisjoint(map(_fold, set(_CAPITAL.findall(text)))):
+            return  # without a given name there is no full name
         words = list(_WORD.finditer(text))
         gap = lambda i: text[words[i].end() : words[i + 1].start()]  # noqa: E731 - between word i and the next
         given = lambda i: i < len(words) and words[i][0][:1].isupper() and _fold(words[i][0]) in self.given
@@ -250,7 +265,7 @@ def places(text: str, names: Names) -> list[tuple[int, int, str]]:
     t = plain.text
     found: list[tuple[int, int, str]] = [(m.start(), m.end(), "email") for m in _EMAIL.finditer(t)] if "@" in t else []
     found += [(m.start(g), m.end(g), "id_number") for p, g in _IDS for m in p.finditer(t)]
-    found += [(m.start(), m.end(), "phone") for p in _PHONES for m in p.finditer(t) if not _NO_PHONE.search(t, max(0, m.start() - 16), m.start())]
+    found += [(m.start(), m.end(), "phone") for p in (_PHONES if _DIGITS.search(t) else ()) for m in p.finditer(t) if not _NO_PHONE.search(t, max(0, m.start() - 16), m.start())]
     found += [(m.start(), m.end(), "address") for p in _ADDRESSES for m in p.finditer(t)]
     found += [(a, b, "name") for a, b in names.find(t)]
     rank = {"email": 0, "id_number": 1, "phone": 2, "address": 3, "name": 4}
