@@ -33,11 +33,16 @@ PASSAGE, STEP = 24, 12
 COSINE = 0.5
 #: Share of an item's words that a stretch must hold in order; from this share on no answer is asked for; items that may share an answer.
 SHARE, SURE, ANSWER_ITEMS = 0.5, 0.6, 2
+#: Words of a document that are checked at once.
+PIECE_WORDS = 4_096
 #: Item passages that one pass compares with; more items make more passes.
 BLOCK = 8_192
 
 _INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]")
-_MARKS = re.compile("[" + "".join(chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))) + "]+")
+#: Marks of Latin, Greek and Cyrillic; all others, tried only where a script that has them occurs.
+_MARKS = re.compile("[̀-ͯ]+")
+_FURTHER = re.compile("[҃-\u200a\u20d0-\u20ff\u2cef-\u302f\u3099\u309a\ua66f-\uabff\ufb1e\ufe20-\ufe2f\U000101fd-\U0001e94a]")
+_MORE_MARKS = re.compile("[" + "".join(chr(c) for c in range(0x483, 0x1E94B) if unicodedata.combining(chr(c))) + "]+")
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|[nrt])")
 _TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,60}>")
 _WORD = re.compile(r"[^\W_]+")
@@ -53,6 +58,8 @@ def words(text: str) -> list[str]:
         text = _TAG.sub("", text)
     if not text.isascii():
         text = _MARKS.sub("", unicodedata.normalize("NFKD", _INVISIBLE.sub("", text)))
+        if _FURTHER.search(text):
+            text = _MORE_MARKS.sub("", text)
     return _WORD.findall(text.casefold())
 
 
@@ -211,15 +218,22 @@ class Item:
     def held(self, doc: np.ndarray, starts: np.ndarray) -> bool:
         """Whether a stretch of the document that starts at one of ``starts`` holds the item."""
         need = int(np.ceil(self.n * SHARE))
-        last = -(10**9)
-        for s in starts:
-            if s - last < 2:
-                continue
-            last = s
-            stretch = doc[s : s + self.reach].tolist()
-            got = common_subsequence(self.places, self.n, stretch)
-            if got >= need and (got >= SURE * self.n or not self.answers or not self.answers.isdisjoint(stretch)):
-                return True
+        half, k = self.reach // 2, 0
+        while k < len(starts):
+            # What all stretches of a run of starts hold together bounds what each holds.
+            first = int(starts[k])
+            after = int(np.searchsorted(starts, first + half, side="right"))
+            if common_subsequence(self.places, self.n, doc[first : first + half + self.reach].tolist()) >= need:
+                last = -2
+                for s in starts[k:after]:
+                    if s - last < 2:
+                        continue
+                    last = s
+                    stretch = doc[s : s + self.reach].tolist()
+                    got = common_subsequence(self.places, self.n, stretch)
+                    if got >= need and (got >= SURE * self.n or not self.answers or not self.answers.isdisjoint(stretch)):
+                        return True
+            k = after
         return False
 
 
@@ -235,15 +249,16 @@ class Bench:
         self.need = np.array([int(np.ceil(i.n * SHARE)) for i in self.items])
         self.reach = np.array([i.reach for i in self.items])
 
-    def given_away(self, doc: np.ndarray, near: dict[int, list[int]]) -> list[int]:
-        """The items, of those with candidate passages at ``near``, that the document holds; long documents are looked at around the passages only."""
-        out = []
-        which = np.array(sorted(near))
-        spots = np.array(sorted({p for at in near.values() for p in at}))
+    def given_away(self, doc: np.ndarray, which: np.ndarray, spots: np.ndarray) -> list[int]:
+        """The items, of the candidates ``which``, that the document holds. It is looked at around the passages that start at ``spots``, in pieces of bounded length that overlap by the longest stretch."""
+        out: list[int] = []
         widest = int(self.reach[which].max())
         cuts = np.flatnonzero(np.diff(spots) > 2 * widest + PASSAGE)
+        ranges = []
         for low, high in zip(spots[np.concatenate([[0], cuts + 1])], spots[np.concatenate([cuts, [len(spots) - 1]])], strict=True):
             low, high = max(0, int(low) - widest), min(len(doc), int(high) + PASSAGE + widest)
+            ranges += [(at, min(high, at + PIECE_WORDS + widest)) for at in range(low, max(low + 1, high - widest), PIECE_WORDS)]
+        for low, high in ranges:
             part = doc[low:high]
             at = np.minimum(np.searchsorted(self.vocabulary, part), len(self.vocabulary) - 1)
             at = np.where(self.vocabulary[at] == part, at, len(self.vocabulary))
@@ -301,22 +316,26 @@ def _search(tokens: DataFrame, weights: np.ndarray, basis: np.ndarray, held_out:
         targets, owners = np.concatenate(targets), np.array(owners)
         targets = (targets / np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-6)).T.copy()
         for batch in batches:
-            near: dict[int, dict[int, list[int]]] = {}
-            for flat, s, e, rows in _chunks(batch, STEP):
-                y = _project(flat, s, e, weights, basis)[0]
-                y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-6)
-                hit, which = np.nonzero(y @ targets >= COSINE)
-                pairs = np.unique(np.stack([rows[hit], owners[which], s[hit]], axis=1), axis=0)
-                for r, i, p in pairs.tolist():
-                    near.setdefault(r, {}).setdefault(i, []).append(p)
             lists = batch.column(1)
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
             keys = batch.column(0).to_pylist()
+            pairs, places = [], []
+            for _, s, e, rows in _chunks(batch, STEP):
+                y = _project(flat, s, e, weights, basis)[0]
+                y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-6)
+                hit, which = np.nonzero(y @ targets >= COSINE)
+                pairs.append(np.unique(rows[hit] * len(bench.items) + owners[which]))
+                places.append(np.stack([rows, s])[:, np.unique(hit)])
+            pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+            rows, spots = np.concatenate(places, axis=1) if places else np.zeros((2, 0), np.int64)
+            docs_of, items_of = np.divmod(pairs, len(bench.items))
             out = []
-            for r, by_item in near.items():
+            for r in np.unique(docs_of):
+                low, high = np.searchsorted(docs_of, [r, r + 1])
                 doc = flat[bounds[r] : bounds[r + 1]]
-                out += [(keys[r], bench.items[i].key) for i in bench.given_away(doc, {i: [p - int(bounds[r]) for p in at] for i, at in by_item.items()})]
+                at = spots[np.searchsorted(rows, r) : np.searchsorted(rows, r + 1)] - bounds[r]
+                out += [(keys[r], bench.items[i].key) for i in bench.given_away(doc, items_of[low:high], at)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["doc", "item"])
 
