@@ -25,13 +25,14 @@ def asof_left(left: DataFrame, right: DataFrame, on: tuple[str, str], by: list[s
     number = lambda df, c: F.unix_date(c).cast("long") if dict(df.dtypes)[c] == "date" else F.col(c).cast("long")
     small = int(right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= BROADCAST_BYTES
     sent = F.broadcast if small else lambda df: df
+    # A key of its own for the last rows where there is no ``by``, made of a column so that it isn't folded away.
     keys = [f"__k{i}" for i in range(len(by))]
-    l = left.withColumns({"__t": number(left, lt), "__s": F.floor(number(left, lt) / slice_width).cast("long"), "__one": F.lit(1)} | {k: F.col(b) for k, b in zip(keys, by, strict=True)})
+    l = left.withColumns({"__t": number(left, lt), "__s": F.floor(number(left, lt) / slice_width).cast("long"), "__one": F.when(number(left, lt).isNotNull(), 1)} | {k: F.col(b) for k, b in zip(keys, by, strict=True)})
     r = right.where(F.col(rt).isNotNull()).select(*[F.col(b).alias(k) for k, b in zip(keys, by, strict=True)], F.struct(*[F.col(c).alias(c) for c in carry]).alias("__c"), number(right, rt).alias("__from"))
     r = r.withColumn("__to", F.lead("__from").over(W.partitionBy(*(keys or [F.lit(1)])).orderBy("__from")))
     covered = F.sequence(F.floor(F.col("__from") / slice_width).cast("long"), F.floor((F.col("__to") - 1) / slice_width).cast("long"))
     closed = r.where("__to is not null").select(*[F.col(k).alias(f"{k}c") for k in keys], F.explode(covered).alias("__sc"), "__from", "__to", F.col("__c").alias("__closed"))
-    last = r.where("__to is null").select(*[F.col(k).alias(f"{k}l") for k in keys], F.lit(1).alias("__onel"), F.col("__from").alias("__since"), F.col("__c").alias("__last"))
+    last = r.where("__to is null").select(*[F.col(k).alias(f"{k}l") for k in keys], F.when(F.col("__from").isNotNull(), 1).alias("__onel"), F.col("__from").alias("__since"), F.col("__c").alias("__last"))
     same = lambda names, end: [F.col(k) == F.col(f"{k}{end}") for k in names]
     on_slice = [*same([*keys, "__s"], "c"), (F.col("__t") >= F.col("__from")) & (F.col("__t") < F.col("__to"))]
     on_last = [*same([*keys, "__one"], "l"), F.col("__t") >= F.col("__since")]

@@ -7,6 +7,7 @@ leaves that unset (tests, a laptop) a temporary folder of this machine is used.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,7 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     if "own" not in _own:
-        _own["own"] = "file://" + tempfile.mkdtemp(prefix="quillstream-")
+        folder = tempfile.mkdtemp(prefix="quillstream-")
+        atexit.register(shutil.rmtree, folder, True)
+        _own["own"] = f"file://{folder}"
     return _own["own"]
 
 
