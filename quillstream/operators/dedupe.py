@@ -24,8 +24,8 @@ from .. import skew
 BLOCK_BITS = 12
 #: Blanks at either end, whatever the script they come from, and zero-width marks.
 _ENDS = r"^[\s\p{Z}\x{200b}\x{feff}]+|[\s\p{Z}\x{200b}\x{feff}]+$"
-#: A decimal sequence after something that isn't a hex digit, else a hexadecimal one of at most 60 bits.
-DECIMAL, HEX = r"^(.*[^0-9a-f])([0-9]{1,18})$", r"^(.*?)([0-9a-f]{1,15})$"
+#: The sequence at an identifier's end: decimal after something that isn't a hex digit, else hexadecimal of at most 60 bits.
+DECIMAL, HEX = r"(?<=[^0-9a-f])[0-9]{1,18}$", r"[0-9a-f]{1,15}$"
 
 
 def normal_id(c: Column) -> Column:
@@ -33,15 +33,23 @@ def normal_id(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, _ENDS, ""))
 
 
-def sequence_parts(normal: Column) -> tuple[Column, Column]:
-    """Producer and number of an identifier; null where it has no sequence. The producer holds the number's width, so that no two identifiers share a pair."""
-    dec, hexa = F.regexp_extract(normal, DECIMAL, 2), F.regexp_extract(normal, HEX, 2)
-    is_dec = F.length(dec) > 0
-    digits = F.when(is_dec, dec).otherwise(hexa)
-    number = F.when(is_dec, dec.cast("long")).otherwise(F.conv(hexa, 16, 10).cast("long"))
-    producer = F.concat_ws("#", F.when(is_dec, F.regexp_extract(normal, DECIMAL, 1)).otherwise(F.regexp_extract(normal, HEX, 1)), F.when(is_dec, "d").otherwise("x"), F.length(digits))
-    has = F.length(digits) > 0
-    return F.when(has, producer), F.when(has, number)
+def sequence_parts(normal: Column) -> Column:
+    """(id, producer, number) of an identifier; producer and number null where it has no sequence. The producer holds the number's width, so that no two identifiers share a pair.
+
+    Each step is bound by a lambda, so that the patterns run once however often the parts are used.
+    """
+
+    def parts(x: Column) -> Column:
+        dec, hexa = x["dec"], x["hexa"]
+        is_dec = F.length(dec) > 0
+        digits = F.when(is_dec, dec).otherwise(hexa)
+        has = F.length(digits) > 0
+        producer = F.concat_ws("#", F.substr(x["id"], F.lit(1), F.length(x["id"]) - F.length(digits)), F.when(is_dec, "d").otherwise("x"), F.length(digits))
+        number = F.when(is_dec, dec.cast("long")).otherwise(F.conv(hexa, 16, 10).cast("long"))
+        return F.struct(x["id"].alias("id"), F.when(has, producer).alias("producer"), F.when(has, number).alias("number"))
+
+    found = F.transform(F.array(normal), lambda i: F.struct(i.alias("id"), F.regexp_extract(i, DECIMAL, 0).alias("dec"), F.regexp_extract(i, HEX, 0).alias("hexa")))
+    return F.transform(found, parts)[0]
 
 
 class SeenRanges:
@@ -96,9 +104,8 @@ def later_copies(deliveries: DataFrame, message_id: Column, record: Column, orde
     one row.  Other columns play no part.  An empty table gives no rows.
     """
     names = [f"o{i}" for i in range(len(order))]
-    rows = deliveries.select(normal_id(message_id).alias("id"), record.cast("string").alias("record_key"), *[c.alias(n) for c, n in zip(order, names, strict=True)]).where(F.col("id").isNotNull())
-    producer, number = sequence_parts(F.col("id"))
-    rows = rows.withColumn("producer", producer).withColumn("number", number)
+    rows = deliveries.where(message_id.isNotNull()).select(sequence_parts(normal_id(message_id)).alias("__p"), record.cast("string").alias("record_key"), *[c.alias(n) for c, n in zip(order, names, strict=True)])
+    rows = rows.select("__p.id", "__p.producer", "__p.number", "record_key", *names)
     block = [F.coalesce("producer", "id"), F.coalesce(F.shiftright("number", BLOCK_BITS), F.lit(-1))]
     parts = skew.partitions(deliveries)
     hot = skew.hot_slots(rows, block, parts)
