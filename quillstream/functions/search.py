@@ -10,8 +10,8 @@ K1, B = 1.2, 0.75
 
 
 def slips(tokens: DataFrame, key: str, words: str = "tokens") -> DataFrame:
-    """(key, word, tf): counted with map-side partial sums."""
-    return tokens.select(key, F.explode(words).alias("word")).groupBy(key, "word").agg(F.count("*").alias("tf"))
+    """(key, word, tf): counted with map-side partial sums. The outer explode keeps Spark from working out the words once more for a filter on their number."""
+    return tokens.select(key, F.explode_outer(words).alias("word")).where("word is not null").groupBy(key, "word").agg(F.count("*").alias("tf"))
 
 
 def inverted_index(terms: DataFrame, key: str, shard: Column) -> DataFrame:
@@ -46,7 +46,7 @@ def bm25_scores(terms: DataFrame, key: str, n_docs: DataFrame, queries: DataFram
     before anything is shuffled.  A word that a third of all documents hold is spread by the document's key.
     """
     by = list(by)
-    asked = queries.select(query, F.explode(words).alias("word")).groupBy(query, "word").agg(F.count("*").alias("times"))
+    asked = queries.select(query, F.explode_outer(words).alias("word")).where("word is not null").groupBy(query, "word").agg(F.count("*").alias("times"))
     dl = terms.groupBy(*by, key).agg(F.sum("tf").alias("dl"))
     words_total = F.sum("dl").cast("double").alias("tokens")
     hit = terms.join(asked.select("word").distinct(), "word", "left_semi")

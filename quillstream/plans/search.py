@@ -17,7 +17,7 @@ def documents(spark, sf):
 
 
 def tokenised(spark: SparkSession, sf: str) -> DataFrame:
-    return text.with_tokens(skew.spread(documents(spark, sf).select("doc_id", "text", "lang")), "text")
+    return text.with_tokens(skew.spread(documents(spark, sf).select("doc_id", "text", "lang"), "doc_id"), "text")
 
 
 def corpus_terms(spark, sf):
@@ -114,7 +114,7 @@ def q31_canaries(spark, sf):
 
 
 def q32_stems(spark, sf):
-    rows = documents(spark, sf).select(F.explode(text.stems(F.col("text"))).alias("stem"))
+    rows = documents(spark, sf).select(F.explode_outer(text.stems(F.col("text"))).alias("stem")).where("stem is not null")
     return rows.groupBy("stem").agg(F.count("*").alias("n"))
 
 
@@ -163,7 +163,7 @@ def q39_rank_fusion(spark, sf):
     """BM25 fused with the number of shared words, both cut at 50."""
     terms = stored_terms(spark, sf)
     keyword = search.best(scored(spark, sf, terms), "query_id", "doc_id", 50)
-    asked = queries_of(spark, sf).select("query_id", F.explode(F.array_distinct("tokens")).alias("word"))
+    asked = queries_of(spark, sf).select("query_id", F.explode_outer(F.array_distinct("tokens")).alias("word"))
     shared = terms.join(asked, "word").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
     fused = search.fused(keyword, search.best(shared, "query_id", "doc_id", 50), "query_id", "doc_id", K)
     return fused.select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 9).alias("score"))

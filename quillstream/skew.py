@@ -58,7 +58,7 @@ def is_hot(slot_col: Column, hot: dict[int, int]) -> Column:
     return slot_col.isin(list(hot)) if hot else F.lit(False)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores, where its few files would leave cores idle in a Python stage."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, where its few files would leave cores idle. With ``keys`` the rows are placed by them, which later groups by these keys reuse."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
