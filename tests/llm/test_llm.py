@@ -64,6 +64,16 @@ def test_restored_frame(spark, model):
     assert encoding.restored(df.limit(0), F.col("k"), F.col("text"), encoding.trained(df.limit(0), "k", "text")).count() == 0
 
 
+def test_words_and_letters_are_counted_over_all_passages(spark, monkeypatch):
+    texts = [*corpus(), *["Der Frühnebel über dem Köhlerhof blieb."] * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    whole = encoding.trained(df, "k", "text")
+    assert whole[1:] == encoding.train(texts)[1:]
+    monkeypatch.setattr(encoding, "SAMPLE", 20)
+    assert encoding.trained(df, "k", "text")[1:] == whole[1:]
+    assert {"Frühnebel", "Köhlerhof"} <= whole[1]
+
+
 # 8 ------------------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def library():
