@@ -160,8 +160,8 @@ CUES = (
     "[Pp]acco di", "[Ii]eri", "affidato a", "[Ff]irmato:", "[Ss]igned:?", "assigned_to:", "owner,", "[Cc]ontact:", "Herrn?", "Frau", "Mr\\.?", "Mrs\\.?", "Ms\\.?", "M\\.", "Mme", "[Ss]ignor[ae]?",
 )
 CUE = rf"(?:^|[^\p{{L}}])(?:{'|'.join(CUES)})\s?({_JAVA_FULL})(?= \p{{Ll}}|[.,;\r\n]|  |$)"
-#: Names that the gazetteers hold at most, those seen most often first; the share of all announced persons that a name must make, once at least.
-GAZETTEER, LEAST = 100_000, 0.001
+#: Names that are sent to all tasks at most; more are met by a join. The share of its own places in the corpus where a name must be announced: words that begin the sentence after a name are so only by chance.
+GAZETTEER, LEAST = 100_000, 0.02
 
 
 #: Words that begin sentences and are no names (fixed values).
@@ -186,8 +186,11 @@ def split_name(full: str) -> tuple[list[str], str] | None:
     return ([_fold(w) for w in givens], _fold(family.strip())) if givens and family.strip() else None
 
 
-def learn_names(texts: DataFrame, text: Column) -> tuple[frozenset[str], frozenset[str]]:
-    """Given and family names of the whole corpus, from the places that announce a person: extracted and counted on the JVM side."""
+def learn_names(texts: DataFrame, text: Column) -> tuple[frozenset[str], frozenset[str]] | DataFrame:
+    """Given and family names of the whole corpus, from the places that announce a person: extracted and counted on the JVM side.
+
+    Two sets where they hold GAZETTEER names at most, else a table (name, given, family), which ``found_places`` and ``redacted`` join.
+    """
     found = texts.select(F.explode(F.regexp_extract_all(text, F.lit(CUE), F.lit(1))).alias("full")).groupBy("full").agg(F.count("*").alias("n"))
 
     def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,12 +202,25 @@ def learn_names(texts: DataFrame, text: Column) -> tuple[frozenset[str], frozens
             yield pd.DataFrame(rows, columns=["name", "kind", "n"])
 
     counted = found.mapInPandas(parts, "name string, kind string, n long").groupBy("name").agg(F.sum(F.when(F.col("kind") == "given", F.col("n")).otherwise(0)).alias("g"), F.sum(F.when(F.col("kind") == "family", F.col("n")).otherwise(0)).alias("f"))
-    counted = storage.staged(counted, "names")
-    least = LEAST * (counted.agg(F.sum("f")).first()[0] or 0)
-    top = counted.where(F.col("g") + F.col("f") >= least).orderBy((F.col("g") + F.col("f")).desc(), "name").limit(GAZETTEER).collect()
+    # Both figures grow with the corpus alike. A name of more than one word goes by its last.
+    capitals = texts.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}'’-])\p{Lu}[\p{L}'’-]*"), F.lit(0))).alias("raw")).groupBy("raw").agg(F.count("*").alias("n"))
+    seen = capitals.mapInPandas(_folded, "word string, n long").groupBy("word").agg(F.sum("n").alias("seen"))
+    counted = counted.withColumn("word", F.element_at(F.split("name", " "), -1)).join(seen, "word", "left")
     # A name announced in both places counts where it is more at home, by a fifth at least.
-    top = [r for r in top if not COMMON.intersection(r["name"].split()[:1])]
-    return frozenset(r["name"] for r in top if 5 * r["g"] >= r["f"] and r["g"]), frozenset(r["name"] for r in top if 5 * r["f"] >= r["g"] and r["f"])
+    named = counted.where(F.col("g") + F.col("f") >= LEAST * F.coalesce("seen", F.lit(0))).where(~F.split("name", r"\s+")[0].isin(*COMMON))
+    named = named.select("name", F.expr("g > 0 and 5 * g >= f").alias("given"), F.expr("f > 0 and 5 * f >= g").alias("family")).where("given or family")
+    named = storage.staged(named, "names")
+    few = named.limit(GAZETTEER + 1).collect()
+    return _two(few) if len(few) <= GAZETTEER else named
+
+
+def _folded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in frames:
+        yield pd.DataFrame({"word": [_fold(w) for w in pdf["raw"]], "n": pdf["n"]})
+
+
+def _two(rows: list) -> tuple[frozenset[str], frozenset[str]]:
+    return frozenset(r["name"] for r in rows if r["given"]), frozenset(r["name"] for r in rows if r["family"])
 
 
 class Names:
@@ -290,25 +306,54 @@ def replaced(text: str, spots: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
-def found_places(texts: DataFrame, key: Column, text: Column, names: tuple[frozenset[str], frozenset[str]]) -> DataFrame:
+def _name_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every word of a text that may be a given name or the last word of a family name."""
+    for pdf in frames:
+        rows = [(h, w) for h, t in zip(pdf["h"], pdf["text"], strict=True) for w in {_fold(w) for w in _WORD.findall(Plain(t).text) if w[:1].isupper() or "'" in _fold(w)[:2]}]
+        yield pd.DataFrame(rows, columns=["h", "word"])
+
+
+def _with_names(rows: DataFrame, names: tuple[frozenset[str], frozenset[str]] | DataFrame) -> DataFrame:
+    """``rows`` of (key, text) with ``known``, the names of a large gazetteer that a text's words end; null for sets, which all tasks have.
+
+    Texts are met by their hash: two that share one get each other's names too, which changes nothing.
+    """
+    if not isinstance(names, DataFrame):
+        return skew.spread(rows.withColumn("known", F.lit(None).cast("array<struct<name:string,given:boolean,family:boolean>>")))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    words = skew.spread(rows.where("text is not null").select("h", "text")).mapInPandas(_name_keys, "h long, word string").distinct()
+    met = words.join(names.withColumn("word", F.element_at(F.split("name", " "), -1)), "word").groupBy("h").agg(F.collect_set(F.struct("name", "given", "family")).alias("known"))
+    return rows.join(met, "h", "left").select("key", "text", F.coalesce("known", F.array().cast("array<struct<name:string,given:boolean,family:boolean>>")).alias("known"))
+
+
+def _knowing(pdf: pd.DataFrame, everywhere: Names | None) -> Iterator[Names]:
+    """The names for each row of a batch."""
+    for known in pdf["known"]:
+        yield everywhere or Names(*_two(known))
+
+
+def found_places(texts: DataFrame, key: Column, text: Column, names: tuple[frozenset[str], frozenset[str]] | DataFrame) -> DataFrame:
     """(key, kind, char_start, char_end): one row per place, in code points of the source. Null and empty texts have none."""
+    sets = None if isinstance(names, DataFrame) else names
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Names(*names)
+        everywhere = sets and Names(*sets)
         for pdf in frames:
-            rows = [(k, kind, a, b) for k, t in zip(pdf["key"], pdf["text"], strict=True) for a, b, kind in places(t, known)]
+            rows = [(k, kind, a, b) for k, t, known in zip(pdf["key"], pdf["text"], _knowing(pdf, everywhere), strict=True) for a, b, kind in places(t, known)]
             yield pd.DataFrame(rows, columns=["key", "kind", "char_start", "char_end"])
 
-    return skew.spread(texts.select(key.cast("long").alias("key"), text.alias("text")).where("text is not null")).mapInPandas(run, "key long, kind string, char_start long, char_end long")
+    rows = texts.select(key.cast("long").alias("key"), text.alias("text")).where("text is not null")
+    return _with_names(rows, names).mapInPandas(run, "key long, kind string, char_start long, char_end long")
 
 
-def redacted(texts: DataFrame, key: Column, text: Column, names: tuple[frozenset[str], frozenset[str]]) -> DataFrame:
+def redacted(texts: DataFrame, key: Column, text: Column, names: tuple[frozenset[str], frozenset[str]] | DataFrame) -> DataFrame:
     """(key, text, places): every row with placeholders in its text. A null text stays null and has no places."""
+    sets = None if isinstance(names, DataFrame) else names
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Names(*names)
+        everywhere = sets and Names(*sets)
         for pdf in frames:
-            spots = [[] if t is None else places(t, known) for t in pdf["text"]]
+            spots = [[] if t is None else places(t, known) for t, known in zip(pdf["text"], _knowing(pdf, everywhere), strict=True)]
             yield pd.DataFrame({"key": pdf["key"], "text": [None if t is None else replaced(t, s) for t, s in zip(pdf["text"], spots, strict=True)], "places": [len(s) for s in spots]})
 
-    return skew.spread(texts.select(key.cast("long").alias("key"), text.alias("text"))).mapInPandas(run, "key long, text string, places long")
+    return _with_names(texts.select(key.cast("long").alias("key"), text.alias("text")), names).mapInPandas(run, "key long, text string, places long")

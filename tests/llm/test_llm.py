@@ -232,3 +232,21 @@ def test_offsets_come_back():
         plain = pii.Plain(text)
         at = [plain.source(i) for i in range(len(plain.text) + 1)]
         assert at == sorted(at) and all(0 <= x <= len(text) for x in at) and plain.source(len(plain.text), end=True) == len(text.rstrip("​")) or text.endswith("​") or plain.source(len(plain.text), end=True) == len(text)
+
+
+def test_rare_names_count_in_any_corpus_and_more_names_than_are_sent_are_joined(spark, monkeypatch):
+    letters = "abcdefghij"
+    family = lambda i: "Zor" + "".join(letters[int(d)] for d in f"{i:04d}")
+    rows = [(i, f"Please ask for Perrine {family(i)} today.") for i in range(1200)]
+    rows += [(5000 + i, f"Later Perrine {family(i)} and Perrine Unheard came.") for i in range(0, 1200, 100)] + [(9000, None), (9001, ""), (9002, "Later PERRINE\nZORAAAA came.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    names = pii.learn_names(df, F.col("text"))
+    assert {family(i).lower() for i in range(1200)} <= names[1]
+    found = lambda n: sorted(map(tuple, pii.found_places(df, F.col("doc_id"), F.col("text"), n).collect()))
+    whole = found(names)
+    assert {k for k, *_ in whole if k >= 5000} == {*range(5000, 6200, 100), 9002}
+    red = sorted(map(tuple, pii.redacted(df, F.col("doc_id"), F.col("text"), names).collect()))
+    monkeypatch.setattr(pii, "GAZETTEER", 10)
+    many = pii.learn_names(df, F.col("text"))
+    assert not isinstance(many, tuple) and found(many) == whole
+    assert sorted(map(tuple, pii.redacted(df, F.col("doc_id"), F.col("text"), many).collect())) == red
