@@ -10,8 +10,8 @@ from . import encoding, leakage, pii, tokenizer
 
 
 def _restored(spark: SparkSession, sf: str) -> DataFrame:
-    passages = table(spark, sf, "passages").select("passage_id", "text")
-    return encoding.restored(passages, F.col("passage_id"), F.col("text"), encoding.trained(passages, "passage_id", "text"))
+    passages = table(spark, sf, "passages").select("passage_id", "text", "book")
+    return encoding.restored(passages, F.col("passage_id"), F.col("text"), encoding.trained(passages, "passage_id", "text", "book"))
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:

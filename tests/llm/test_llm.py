@@ -74,6 +74,17 @@ def test_words_and_letters_are_counted_over_all_passages(spark, monkeypatch):
     assert {"Frühnebel", "Köhlerhof"} <= whole[1]
 
 
+def test_a_large_garbled_book_outvotes_no_others(spark):
+    utf8, single = "Die Kühlung blieb am Köhlerhof.", "Der Nußbaum stand am Mühlbach."
+    hot = [("hot", x) for x in (utf8.encode().decode("cp1252"), single.encode("cp1252").decode("mac_roman")) for _ in range(60)]
+    rows = [*hot, *[(f"b{i}", x) for i in range(4) for x in (utf8, single)], *[(f"c{i % 9}", t) for i, t in enumerate(corpus())]]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "k long, book string, text string")
+    known = encoding.trained(df, "k", "text", "book")[1]
+    assert {"Kühlung", "Köhlerhof", "Nußbaum", "Mühlbach"} <= known
+    assert known.isdisjoint(w for _, t in hot for w in encoding._WORD.findall(t))
+    assert "KÃ¼hlung" in encoding._doubtful({"KÃ¼hlung": 60, "Kühlung": 1})
+
+
 # 8 ------------------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def library():
