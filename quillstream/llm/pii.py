@@ -30,8 +30,11 @@ _WIDE = re.compile("[  -   　]|[‐-―−]|[！-～]|[٠-٩۰-۹०-
 _MIXED = re.compile(r"(?=[^\W_]*[a-zA-Z0-9])(?=[^\W_]*[Ͱ-ϿЀ-ӿԀ-ԯ])[^\W_]+(?:[@._+-][^\W_]+)*")
 _AT = re.compile(r"(?<=[\w.+-])\s*(?:[(\[{<]\s*(?:at|arobase|chiocciola|klammeraffe|ät|@)\s*[)\]}>]|&#64;|&commat;|%40|\s(?:AT|arobase|chiocciola|klammeraffe)\s|\s+@\s*|@\s+)\s*(?=[\w-]+\s*(?:\.|[(\[{]\s*(?:dot|punto|punkt|point|\.)))", re.I)
 _OTHER_SCRIPT = re.compile("[Ͱ-ϿЀ-ӿԀ-ԯ]")
-_AT_HINTS = ("@ ", " @", "(at", "[at", "{at", "<at", "( at", "[ at", "(@", "[@", "&#64;", "&commat;", "%40", "arobase", "chiocciola", "klammeraffe", "(ät", "[ät", "@\n", "\n@", "@\t", "\t@")
-_DOT_HINTS = ("dot", "punto", "punkt", "point", "(.", "[.", "{.", "( .", "[ .")
+#: What a text in small letters must hold for the patterns above and below to match; letters that only some foldings make equal lead straight to the patterns.
+_AT_HINTS = ("&#64;", "&commat;", "%40", "arobase", "chiocciola", "klammeraffe")
+_AT_SIGN, _AT_OPEN, _AT_PLAIN = re.compile(r"\s@|@\s|[(\[{<]@"), re.compile(r"[(\[{<]\s*(?:at|ät|@)"), re.compile(r"at\s+[\w-]+\s*[.(\[{]")
+_DOT_HINTS = ("dot", "punto", "punkt", "point")
+_DOT_OPEN, _FOLDS = re.compile(r"[(\[{]\s*\."), re.compile("[ıİſK]")
 _AT_WORD = re.compile(r"(?<=[\w+-])\s+at\s+(?=[\w-]+(?:\s+dot\s+[\w-]+)+\b)", re.I)
 _DOT = re.compile(r"(?<=\w)\s*[(\[{]\s*(?:dot|punto|punkt|point|\.)\s*[)\]}]\s*(?=\w)|(?<=\w)\s+(?:dot)\s+(?=\w)", re.I)
 #: Spelled digits (fixed values) of English, French, German and Italian.
@@ -42,7 +45,7 @@ _SPELLED = re.compile(rf"(?<!\w)(?:double\s+|triple\s+)?(?:{'|'.join(sorted(DIGI
 
 def _digits(m: re.Match) -> str:
     out, times = "", 1
-    for w in re.findall(r"[^\W\d_]+", m[0].casefold()):
+    for w in re.findall(r"[^\W\d_]+", m[0].replace("İ", "i").replace("ı", "i").casefold()):
         if w in ("double", "triple"):
             times = 2 if w == "double" else 3
         else:
@@ -70,13 +73,14 @@ class Plain:
                 self.rewrite(_MIXED, lambda m: m[0].translate(LOOKALIKES))
         # Plain substring tests first: few texts hold a disguise.
         low = self.text.lower()
-        if any(h in low for h in _AT_HINTS):
+        odd = not low.isascii() and bool(_FOLDS.search(self.text))
+        if odd or any(h in low for h in _AT_HINTS) or "@" in low and _AT_SIGN.search(low) or _AT_OPEN.search(low) or _AT_PLAIN.search(low):
             self.rewrite(_AT, lambda m: "@")
-        if " at " in low and " dot " in low:
+        if odd or "dot" in low and "at" in low:
             self.rewrite(_AT_WORD, lambda m: "@")
-        if "@" in self.text and any(h in low for h in _DOT_HINTS):
+        if "@" in self.text and (odd or any(h in low for h in _DOT_HINTS) or _DOT_OPEN.search(low)):
             self.rewrite(_DOT, lambda m: ".")
-        if len(_DIGIT_WORD_SET.intersection(low.replace("-", " ").replace(",", " ").split())) > 1:
+        if odd or not _DIGIT_WORD_SET.isdisjoint(low.replace("-", " ").replace(",", " ").replace(".", " ").split()):
             self.rewrite(_SPELLED, _digits)
 
     def rewrite(self, pattern: re.Pattern, by: Callable[[re.Match], str]) -> None:

@@ -261,3 +261,8 @@ def test_rare_names_count_in_any_corpus_and_more_names_than_are_sent_are_joined(
     many = pii.learn_names(df, F.col("text"))
     assert not isinstance(many, tuple) and found(many) == whole
     assert sorted(map(tuple, pii.redacted(df, F.col("doc_id"), F.col("text"), many).collect())) == red
+
+
+@pytest.mark.parametrize("text,plain", [("marie AT quai.org", "marie@quai.org"), ("marie at quai [dot] org", "marie@quai.org"), ("x { at } quai.org", "x@quai.org"), ("marie\u00a0at\u00a0quai.org", "marie@quai.org"), ("five.one.two.three.four.six", "512346"), ("five five five five five five", "555555")])
+def test_every_disguise_of_the_patterns_is_tried(text, plain):
+    assert pii.Plain(text).text == plain
