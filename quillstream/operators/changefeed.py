@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,12 +41,23 @@ def stored(table: DataFrame, key: str, seq: str, deleted: str, payload: list[str
     return rows.select(F.col(key).cast("string").alias("cdc_key"), F.col(seq).cast("long").alias("cdc_seq"), F.coalesce(F.col(deleted), F.lit(False)).alias("cdc_deleted"), F.lit("").alias("cdc_tie"), *[F.col(c) for c in payload])
 
 
-def _folder(columns: list[str], memory_mb: int):
+def _spill_folder(spark: SparkSession) -> str:
+    """Where a bucket that outgrows its memory spills: in the shared folder where that is mounted, else nowhere."""
+    root = storage.run_dir(spark)
+    return f"{root.removeprefix('file://')}/spill" if root.startswith(("file://", "/")) else ""
+
+
+def _folder(columns: list[str], memory_mb: int, spill: str):
     """The task of one bucket: Arrow batches of changes in, the bucket's state out."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+        import shutil
+        import uuid
+
         import duckdb
 
+        own = spill and f"{spill}/{uuid.uuid4().hex}"
         names = ", ".join(f'"{c}"' for c in columns)
         con, schema = None, None
         order = "cdc_seq desc, cdc_tie, cdc_deleted desc"
@@ -55,7 +66,9 @@ def _folder(columns: list[str], memory_mb: int):
                 continue
             incoming = pa.Table.from_batches([batch])
             if con is None:
-                con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{memory_mb}MB", "temp_directory": "", "preserve_insertion_order": False})
+                if own:
+                    os.makedirs(own)
+                con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{memory_mb}MB", "temp_directory": own, "preserve_insertion_order": False})
                 con.execute("set timezone = 'UTC'")
                 con.register("incoming", incoming)
                 schema = batch.schema
@@ -75,6 +88,8 @@ def _folder(columns: list[str], memory_mb: int):
             for part in con.sql(f"select {names} from state").to_arrow_reader(10_000):
                 yield from pa.Table.from_batches([part]).cast(schema).to_batches()
             con.close()
+            if own:
+                shutil.rmtree(own, ignore_errors=True)
 
     return fold
 
@@ -87,17 +102,17 @@ def fold(all_changes: DataFrame, memory_mb: int = 512) -> DataFrame:
     """
     columns = all_changes.columns
     parts = skew.partitions(all_changes, target_mb=16)  # compressed; a bucket's state is held in memory
-    hot = skew.hot_slots(all_changes, [F.col("cdc_key")], parts)
-    where = skew.slot(F.col("cdc_key"))
-    task = _folder(columns, memory_mb)
+    slots = skew.slots(all_changes, [F.col("cdc_key")], parts)
+    task = _folder(columns, memory_mb, _spill_folder(all_changes.sparkSession))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in all_changes.schema.fields])
-    if not hot:
+    if not slots:
         return all_changes.repartition(parts, "cdc_key").mapInArrow(task, schema)
-    salted = all_changes.withColumn("__salt", skew.salt(where, hot, F.col("cdc_seq"), F.col("cdc_tie")))
-    first = salted.repartition(parts, "cdc_key", "__salt").drop("__salt").mapInArrow(task, schema)
-    winners = storage.staged(first.withColumn("__hot", skew.is_hot(where, hot)), "fold")
-    again = winners.where("__hot").drop("__hot").repartition(parts, "cdc_key").mapInArrow(task, schema)
-    return winners.where("not __hot").drop("__hot").unionByName(again)
+    marked = lambda df: slots.marked(df.withColumn("__slot", slots.of(F.col("cdc_key"))), "__slot", "__salts").drop("__slot")
+    salted = marked(all_changes).withColumn("__salt", skew.salt(F.col("__salts"), F.col("cdc_seq"), F.col("cdc_tie")))
+    first = salted.repartition(parts, "cdc_key", "__salt").select(*columns).mapInArrow(task, schema)
+    winners = storage.staged(marked(first), "fold")
+    again = winners.where("__salts > 1").select(*columns).repartition(parts, "cdc_key").mapInArrow(task, schema)
+    return winners.where("__salts = 1").select(*columns).unionByName(again)
 
 
 def apply_changes(state: DataFrame, feed: DataFrame, table: str | None = None) -> DataFrame:

@@ -6,8 +6,8 @@ producer accepts each uncovered number once and merges the ranges around it.  Id
 sequence are malformed and resolved by exact lookup of the whole text.
 
 A hot block (a message delivered so often that it holds a large share of all rows) is never brought
-into one task: the first delivery of its identifiers is found by a pre-aggregated minimum, and its rows
-are compared with it salt by salt.
+into one task: its rows go through seen ranges salt by salt, and the deliveries that the salts accept go
+through the block's own ranges once more.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .. import skew
+from .. import skew, storage
 
 BLOCK_BITS = 12
 #: Blanks at either end, whatever the script they come from, and zero-width marks.
@@ -77,24 +78,32 @@ class SeenRanges:
         return True
 
 
-def _later_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of slot and delivery; out come the records whose identifier was seen before. State is dropped with each slot."""
-    now, ranges, texts = None, {}, set()
-    for batch in batches:
-        slots, producers, numbers, ids, records = (batch.column(i).to_pylist() for i in range(5))
-        out = []
-        for slot, producer, number, normal, record in zip(slots, producers, numbers, ids, records, strict=True):
-            if slot != now:
-                now, ranges, texts = slot, {}, set()
-            if producer is None:
-                if normal in texts:
-                    out.append(record)
-                else:
+def _judge(firsts: list[str] | None):
+    """The task over rows in order of slot and delivery (slot, producer, number, id, record_key, then ``firsts``).
+
+    Out come the records whose identifier was seen before; with ``firsts`` also the rows that were accepted, with those
+    columns, and ``copy`` tells which is which.  State is dropped with each slot.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ranges, texts = None, {}, set()
+        for batch in batches:
+            slots, producers, numbers, ids, records = (batch.column(i).to_pylist() for i in range(5))
+            copies = []
+            for slot, producer, number, normal in zip(slots, producers, numbers, ids, strict=True):
+                if slot != now:
+                    now, ranges, texts = slot, {}, set()
+                if producer is None:
+                    copies.append(normal in texts)
                     texts.add(normal)
-            elif not ranges.setdefault(producer, SeenRanges()).accept(number):
-                out.append(record)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["record_key"])
+                else:
+                    copies.append(not ranges.setdefault(producer, SeenRanges()).accept(number))
+            if firsts is not None:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(copies, pa.bool_())], names=[*batch.schema.names, "copy"])
+            elif any(copies):
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, c in zip(records, copies, strict=True) if c], pa.string())], names=["record_key"])
+
+    return run
 
 
 def later_copies(deliveries: DataFrame, message_id: Column, record: Column, order: list[Column]) -> DataFrame:
@@ -108,24 +117,23 @@ def later_copies(deliveries: DataFrame, message_id: Column, record: Column, orde
     rows = rows.select("__p.id", "__p.producer", "__p.number", "record_key", *names)
     block = [F.coalesce("producer", "id"), F.coalesce(F.shiftright("number", BLOCK_BITS), F.lit(-1))]
     parts = skew.partitions(deliveries)
-    hot = skew.hot_slots(rows, block, parts)
-    rows = rows.withColumn("slot", skew.slot(*block))
-    cold = rows.where(~skew.is_hot(F.col("slot"), hot)) if hot else rows
-    found = (
-        cold.repartition(parts, "slot")
-        .sortWithinPartitions("slot", *[F.asc_nulls_first(n) for n in names])
-        .select("slot", "producer", "number", F.when(F.col("producer").isNull(), F.col("id")).alias("id"), "record_key")
-        .mapInArrow(_later_copies, "record_key string")
-    )
-    if not hot:
-        return found
-    # A struct's minimum takes nulls first, as the cold path does; a row id parts equal orders.
-    many = rows.where(skew.is_hot(F.col("slot"), hot)).withColumn("place", F.struct(*names, "record_key"))
-    salts = skew.salts_of(F.col("slot"), hot)
-    first = many.groupBy("id", "slot").agg(F.min("place").alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), (salts - 1).cast("int"))))
-    many = many.withColumn("salt", skew.salt(F.col("slot"), hot, F.col("record_key")))
-    later = many.join(first.drop("slot"), ["id", "salt"]).where(~F.col("place").eqNullSafe(F.col("first"))).select("record_key")
-    return found.unionByName(later)
+    slots = skew.slots(rows, block, parts)
+    core = ["slot", "producer", "number", "id", "record_key"]
+    rows = rows.withColumn("slot", slots.of(*block)).withColumn("id", F.when(F.col("producer").isNull(), F.col("id")))
+    in_order = lambda df, *by: df.repartition(parts, *by).sortWithinPartitions(*by, *[F.asc_nulls_first(n) for n in names])
+    if not slots:
+        return in_order(rows, "slot").select(*core).mapInArrow(_judge(None), "record_key string")
+    marked = slots.marked(rows, "slot", "salts")
+    found = in_order(marked.where("salts = 1"), "slot").select(*core).mapInArrow(_judge(None), "record_key string")
+    # A hot slot's rows go through seen ranges salt by salt; what each salt accepts, at most one delivery of an
+    # identifier, goes through the slot's own ranges once more.
+    salted = marked.where("salts > 1").withColumn("salt", skew.salt(F.col("salts"), F.col("record_key")))
+    salted = salted.withColumn("at", F.concat_ws("/", "slot", "salt"))
+    schema = T.StructType([*salted.select(F.col("at").alias("slot"), *core[1:], *names, F.col("slot").alias("home")).schema.fields, T.StructField("copy", T.BooleanType())])
+    once = in_order(salted, "at").select(F.col("at").alias("slot"), *core[1:], *names, F.col("slot").alias("home"))
+    once = storage.staged(once.mapInArrow(_judge(names), schema), "once")
+    twice = in_order(once.where(~F.col("copy")).drop("slot").withColumnRenamed("home", "slot"), "slot").select(*core).mapInArrow(_judge(None), "record_key string")
+    return found.unionByName(once.where("copy").select("record_key")).unionByName(twice)
 
 
 def first_deliveries(deliveries: DataFrame, message_id: Column, record: str, order: list[Column]) -> DataFrame:

@@ -1,7 +1,7 @@
 """Shared-folder storage: staged tables that cut lineage, and versioned tables published by one rename.
 
-Everything lives under ``spark.checkpoint.dir``, which all executors share.  Only where the session
-leaves that unset (tests, a laptop) a temporary folder of this machine is used.
+Everything lives under ``spark.checkpoint.dir``, which all executors share.  Only a local session that leaves
+that unset (tests, a laptop) gets a temporary folder of this machine; on a cluster the setting is required.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if "own" not in _own:
         folder = tempfile.mkdtemp(prefix="quillstream-")
         atexit.register(shutil.rmtree, folder, True)
@@ -91,21 +93,50 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def publish(df: DataFrame, table: str) -> DataFrame:
+#: Versions of a table that stay, the current one included: readers of the one before can finish.
+KEEP = 3
+
+
+def publish(df: DataFrame, table: str, keep: int = KEEP) -> DataFrame:
     """Write a complete new version of ``table`` and make it current by renaming one pointer file.
 
-    Readers see the old version or the whole new one.  A failed write leaves the pointer alone.
+    Readers see the old version or the whole new one.  A failed write leaves the pointer alone.  Of the versions
+    before, the newest stay, ``keep`` in all.
     """
-    spark = df.sparkSession
+    publish_all(df.sparkSession, {"": df}, table, keep=keep)
+    return current(df.sparkSession, table)
+
+
+def publish_all(spark: SparkSession, parts: dict[str, DataFrame], table: str, texts: dict[str, str] | None = None, keep: int = KEEP) -> str:
+    """Several tables and small text files as one version, current all at once; the version's folder. Nothing is visible before everything is written."""
     version = f"v-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(f"{table}/{version}")
+    for name, df in parts.items():
+        df.write.option("compression", "zstd").parquet(f"{table}/{version}/{name}".rstrip("/"))
+    for name, text in (texts or {}).items():
+        write_text_atomically(spark, f"{table}/{version}/{name}", text)
+    before = read_text(spark, f"{table}/CURRENT")
     write_text_atomically(spark, f"{table}/CURRENT", version)
-    return current(spark, table)
+    _retain(spark, table, {version, before}, keep)
+    return f"{table}/{version}"
 
 
-def current(spark: SparkSession, table: str) -> DataFrame:
-    """The published version of a table."""
+def _retain(spark: SparkSession, table: str, needed: set[str | None], keep: int) -> None:
+    """Remove all but the newest ``keep`` versions; those in ``needed`` stay in any case."""
+    fs, target = filesystem(spark, table)
+    old = sorted((f.getModificationTime(), f.getPath().getName(), f) for f in fs.listStatus(target) if f.isDirectory() and f.getPath().getName().startswith("v-"))
+    for _, name, f in old[: max(0, len(old) - keep)]:
+        if name not in needed:
+            fs.delete(f.getPath(), True)
+
+
+def current_folder(spark: SparkSession, table: str) -> str:
+    """The folder of the published version."""
     version = read_text(spark, f"{table}/CURRENT")
     if version is None:
         raise FileNotFoundError(f"{table} has no published version")
-    return spark.read.parquet(f"{table}/{version}")
+    return f"{table}/{version}"
+
+
+def current(spark: SparkSession, table: str, part: str = "") -> DataFrame:
+    """The published version of a table, or of one of the tables that were published together."""
+    return spark.read.parquet(f"{current_folder(spark, table)}/{part}".rstrip("/"))
