@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import storage
+
 
 @dataclass(frozen=True)
 class Field:
@@ -137,57 +139,67 @@ def held(tree, f: Field, contract: Contract) -> tuple[tuple[str, ...], object] |
     return min(found, key=lambda c: c[:3])[2:] if found else None
 
 
-def findings(tree, contract: Contract) -> list[tuple[str, str]]:
-    """(field, change) of one shape against the contract."""
-    out, spots = [], []
+def role(path: tuple[str, ...], contract: Contract) -> tuple[str | None, int, bool]:
+    """What the alias table makes of a column: (field that it may hold, how well it is placed, whether its name is new). Places rank 0, own names elsewhere 1, aliases 2."""
+    if path[-1] == "[]":
+        return None, 0, False
+    new = path[-1] not in contract.known
+    shut = "[]" in path or any(_norm(k) in contract.closed for k in path[:-1])
     for f in contract.fields:
-        spot = held(tree, f, contract)
-        if spot is None:
-            out.append((f.name, "removed"))
-            continue
-        path, x = spot
-        spots.append(path)
-        if path != f.place:
-            out.append((f.name, "relocated"))
-        kind = _kind(x)
-        if kind != f.kind:
-            out.append((f.name, "retyped"))
-    inside: list[tuple[str, ...]] = []
-    for path, _ in _walk(tree):
-        if path[-1] == "[]" or path[-1] in contract.known or any(path[: len(p)] == p for p in inside):
-            continue
-        if any(s[: len(path)] == path or path[: len(s)] == s for s in spots):
-            continue  # it holds, contains or lies inside one of the fields
-        inside.append(path)
-        out.append((path[-1], "added"))
-    return sorted(set(out))
-
+        if path == f.place:
+            return f.name, 0, False
+    for f in contract.fields if not shut else ():
+        name = _norm(path[-1])
+        if path[-1] == f.name or name == _norm(f.name):
+            return f.name, 1, new
+        if name in f.aliases and new:
+            return f.name, 2, new
+    return None, 0, new
 
-def _shape_findings(contract: Contract):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = [(s, name, kind) for s in pdf["shape"] for name, kind in findings(parse_shape(s), contract)]
-            yield pd.DataFrame(rows, columns=["shape", "field_name", "change_kind"])
 
-    return run
+#: Parts the keys of a path in tables.
+DOT = "\x1f"
 
 
 def _shape_columns(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
-        rows = [(s, ".".join(p), _kind(x)) for s in pdf["shape"] for p, x in _walk(parse_shape(s))]
+        rows = [(s, DOT.join(p), _kind(x)) for s in pdf["shape"] for p, x in _walk(parse_shape(s))]
         yield pd.DataFrame(rows, columns=["shape", "path", "json_type"])
 
 
+def _roles(contract: Contract):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = [(p, *role(tuple(p.split(DOT)), contract)) for p in pdf["path"]]
+            yield pd.DataFrame(rows, columns=["path", "field", "placed", "new_name"])
+
+    return run
+
+
 def footers(payloads: DataFrame, raw: str, keep: list[str]) -> DataFrame:
     """Rows of valid JSON with their shape; other lines are left out."""
     return payloads.select(*keep, shape(F.col(raw)).alias("shape")).where("shape is not null")
 
 
-def catalogue(foots: DataFrame, producer: str, file: str) -> DataFrame:
-    """(producer, file, path, json_type, n_rows): footers exploded into columns, counted before they are exploded."""
-    counted = foots.groupBy(producer, file, "shape").agg(F.count("*").alias("n"))
-    columns = counted.select("shape").distinct().mapInPandas(_shape_columns, "shape string, path string, json_type string")
-    return counted.join(columns, "shape").groupBy(F.col(producer).alias("producer"), F.col(file).alias("file"), "path", "json_type").agg(F.sum("n").cast("long").alias("n_rows"))
+class Catalogue:
+    """Footers counted per producer and file, and the columns of the distinct shapes: two tables that are small beside the rows."""
+
+    def __init__(self, foots: DataFrame, producer: str, file: str) -> None:
+        """``foots`` is read once. A null producer or file is one like others, named ''."""
+        named = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+        self.counted = storage.staged(foots.select(named(producer), named(file), "shape").groupBy(F.col(producer).alias("producer"), F.col(file).alias("file"), "shape").agg(F.count("*").alias("n")), "footers")
+        self.shapes = storage.staged(self.counted.select("shape").distinct().mapInPandas(_shape_columns, "shape string, path string, json_type string"), "shapes")
+
+    def columns(self) -> DataFrame:
+        """(producer, file, path, json_type, n_rows)."""
+        return self.counted.join(self.shapes, "shape").groupBy("producer", "file", "path", "json_type").agg(F.sum("n").cast("long").alias("n_rows"))
+
+    def files(self) -> DataFrame:
+        """(producer, file, nth): a producer's files in order of name; their number is bounded by the files, not by the rows."""
+        return self.counted.select("producer", "file").distinct().withColumn("nth", F.row_number().over(W.partitionBy("producer").orderBy("file")))
+
+    def lifespans(self) -> DataFrame:
+        return lifespans(self.columns(), self.files())
 
 
 def lifespans(columns: DataFrame, files: DataFrame) -> DataFrame:
@@ -206,14 +218,46 @@ def lifespans(columns: DataFrame, files: DataFrame) -> DataFrame:
     return spans.join(last, "producer").select("producer", "path", "json_type", F.col("island").cast("long"), "first_file", "last_file", "n_files", F.col("n_rows").cast("long"), (F.col("a") > 1).alias("started"), (F.col("z") < F.col("last_nth")).alias("ended"))
 
 
-def changes(foots: DataFrame, record: str, contract: Contract = PAYMENTS) -> DataFrame:
-    """(record, field_name, change_kind) of each row, by the findings of its shape.
+def changes(foots: DataFrame, record: str, producer: str, file: str, contract: Contract = PAYMENTS) -> DataFrame:
+    """(record, field_name, change_kind) of each row: what the lifespans that cover its columns say by the alias table.
 
-    Shapes are judged once each, in parallel; a shape that a third of all rows share is met by a broadcast or
-    by AQE's split of the skewed join, for rows are never grouped.  JSON null is absence.
+    The catalogue's lifespans are judged, the columns of one producer, path and type alike; a footer's columns are looked
+    up in the lifespans of its producer.  Of the columns that may hold a field the best placed, nearest to the top, first by name,
+    holds it: a field without one is removed, one at another place relocated, one of another type retyped.  A new name
+    is added unless it holds, contains or lies inside a field's value or another new name.  JSON null is absence.
+
+    Footers are judged once for each producer and shape; rows meet the outcome by a join whose larger side is
+    never grouped, so that a shape which a third of all rows share is a matter of AQE's split of the skewed join.
+    ``foots`` should be a table: it is read twice, and parsed only where it was made.
     """
-    judged = foots.select("shape").distinct().mapInPandas(_shape_findings(contract), "shape string, field_name string, change_kind string")
-    return foots.select(record, "shape").join(judged, "shape").select(record, "field_name", "change_kind")
+    known = Catalogue(foots, producer, file)
+    spans = storage.staged(known.lifespans(), "lifespans")
+    roles = spans.select("path").distinct().mapInPandas(_roles(contract), "path string, field string, placed int, new_name boolean")
+    kinds = F.create_map(*[F.lit(x) for f in contract.fields for x in (f.name, f.kind)])
+    judged = spans.select("producer", "path", "json_type").distinct().join(roles, "path").select("producer", "path", "json_type", "field", "placed", "new_name", (F.col("json_type") != kinds[F.col("field")]).alias("retyped"))
+    shapes = known.counted.select("producer", "shape").distinct()
+    facts = shapes.join(known.shapes, "shape").join(judged, ["producer", "path", "json_type"])
+    # One row per footer: its columns that hold a field or have a new name, bounded by the columns of one payload.
+    held_in = F.struct("field", "placed", F.size(F.split("path", DOT)).alias("depth"), "path", "retyped")
+    per = facts.groupBy("producer", "shape").agg(F.sort_array(F.collect_set(F.when(F.col("field").isNotNull(), held_in))).alias("holds"), F.sort_array(F.collect_set(F.when(F.col("new_name"), F.col("path")))).alias("names"))
+    per = shapes.join(per, ["producer", "shape"], "left")
+    of = lambda name: F.array_min(F.filter("holds", lambda h: h["field"] == name))
+    best = [of(f.name) for f in contract.fields]
+    per = per.withColumn("spots", F.array(*best))
+    found = []
+    for k, f in enumerate(contract.fields):
+        spot = F.get("spots", F.lit(k))
+        found += [F.when(spot.isNull(), F.struct(F.lit(f.name).alias("field_name"), F.lit("removed").alias("change_kind")))]
+        found += [F.when(spot["placed"] > 0, F.struct(F.lit(f.name).alias("field_name"), F.lit("relocated").alias("change_kind"))), F.when(spot["retyped"], F.struct(F.lit(f.name).alias("field_name"), F.lit("retyped").alias("change_kind")))]
+    inside = lambda a, b: (a == b) | a.startswith(F.concat(b, F.lit(DOT)))
+    paths = F.transform(F.filter("spots", lambda s: s.isNotNull()), lambda s: s["path"])
+    own = F.filter(F.coalesce("names", F.array().cast("array<string>")), lambda p: ~F.exists(paths, lambda s: inside(s, p) | inside(p, s)))
+    per = per.withColumn("own", own)
+    outer = F.filter("own", lambda p: ~F.exists("own", lambda q: (p != q) & inside(p, q)))
+    added = F.transform(outer, lambda p: F.struct(F.element_at(F.split(p, DOT), -1).alias("field_name"), F.lit("added").alias("change_kind")))
+    outcome = per.select("producer", "shape", F.array_distinct(F.concat(F.filter(F.array(*found), lambda x: x.isNotNull()), added)).alias("found")).where(F.size("found") > 0)
+    rows = foots.select(record, F.coalesce(F.col(producer), F.lit("")).alias("producer"), "shape")
+    return rows.join(outcome, ["producer", "shape"]).select(record, F.inline("found"))
 
 
 def _places(pdf_shapes: list[str], contract: Contract) -> list[tuple]:

@@ -1,34 +1,20 @@
-"""Queries of the data-repair problems 2 to 7, each over its whole tables."""
+"""Queries of the data-repair problems 3 to 7, each over its whole tables."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
-from ..operators import changefeed, dedupe, drift, late, nearest, reconcile
+from ..operators import changefeed, dedupe, drift, late, reconcile
 from ..session import table
 
 HALIFAX = "America/Halifax"
 ORDER_PAYLOAD = ["customer_id", "status", "currency", "total_minor", "ship_region", "created_at", "updated_at", "_batch_seq", "_arrived_at", "_ingested_at"]
 
 
-# 2. Nearest rate in time -------------------------------------------------------------------------
-def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    payments = table(spark, sf, "fct_payments").where(F.lower("currency") != "cad")
-    rates = table(spark, sf, "silver_fx_rates").where((F.upper(F.trim("quote")) == "CAD") & (F.col("rate") > 0))
-    day = lambda c: F.unix_date(c).cast("long")
-    pairs = nearest.nearest(payments, F.lower("currency"), day("processor_date"), F.col("event_id"), rates, F.lower(F.trim("base")), day("rate_date"), tolerance=2)
-    return pairs.select(F.col("record").alias("event_id"), F.date_from_unix_date(F.col("right_t").cast("int")).cast("string").alias("rate_date"))
-
-
-P2_SQL = """
-with r as (select distinct lower(trim(base)) as cur, rate_date from silver_fx_rates where upper(trim(quote)) = 'CAD' and rate > 0),
-c as (select p.event_id, r.rate_date, row_number() over (partition by p.event_id order by abs(r.rate_date - p.processor_date), r.rate_date) as k
-      from fct_payments p join r on r.cur = lower(p.currency) and r.rate_date between p.processor_date - 2 and p.processor_date + 2 where lower(p.currency) <> 'cad')
-select event_id, cast(rate_date as varchar) as rate_date from c where k = 1"""
-
-
 # 3. Change feed ----------------------------------------------------------------------------------
 def current_orders(spark: SparkSession, sf: str) -> DataFrame:
     """The published state of all orders after the feed, tombstones included."""
@@ -101,38 +87,38 @@ select cast(d as varchar) as settlement_date, c as currency, unnest(case when no
 
 
 # 6. Late events ----------------------------------------------------------------------------------
-def late_events(spark: SparkSession, sf: str) -> DataFrame:
-    """First deliveries of payment events, judged against what the daily figures were built through."""
-    raw = table(spark, sf, "bronze_payments")
-    j = F.try_parse_json("_raw")
-    rows = raw.select(
-        F.try_variant_get(j, "$.id", "string").alias("event_id"), F.try_variant_get(j, "$.created", "long").alias("created"), "_batch_seq", "_arrived_at",
-        F.concat_ws(":", "_landing_file", "_line").alias("_bronze_row"),
+def payment_deliveries(spark: SparkSession, sf: str) -> DataFrame:
+    """Deliveries of payment events with what the daily figures need of them."""
+    j = F.col("j")
+    rows = table(spark, sf, "bronze_payments").select(F.try_parse_json("_raw").alias("j"), "_batch_seq", "_arrived_at", F.concat_ws(":", "_landing_file", "_line").alias("_bronze_row"))
+    return rows.select(
+        F.try_variant_get(j, "$.id", "string").alias("event_id"), F.try_variant_get(j, "$.created", "long").alias("created"), "_batch_seq", "_arrived_at", "_bronze_row",
         F.coalesce(F.try_variant_get(j, "$.data.object.amount", "long"), F.try_variant_get(j, "$.data.object.amount.value", "long")).alias("amount_minor"),
     )
-    first = late.first_of(rows, "event_id", ["_batch_seq", "_arrived_at", "_bronze_row"], ["created", "amount_minor"])
-    dated = first.withColumn("order_date", F.to_date(F.from_utc_timestamp(F.timestamp_seconds("created"), HALIFAX)))
+
+
+def daily_state(spark: SparkSession, sf: str, folder: str | None = None) -> late.Store:
+    """The stored state of the daily figures after all deliveries; ``folder`` keeps it from run to run."""
     built = table(spark, sf, "mart_order_revenue").groupBy("order_date").agg(F.max("_built_through_seq").alias("built_seq"))
     closes = F.to_utc_timestamp(F.date_add("order_date", 1).cast("timestamp"), HALIFAX) + F.expr("interval 72 hours")
-    return late.judged(dated, built, "order_date", "_batch_seq", "_arrived_at", closes)
 
+    def judge(first: DataFrame) -> DataFrame:
+        dated = first.withColumn("order_date", F.to_date(F.from_utc_timestamp(F.timestamp_seconds("created"), HALIFAX)))
+        return late.judged(dated, built, "order_date", "_batch_seq", "_arrived_at", closes)
 
-def corrected_state(events: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
-    """The multiset state of the built figures and the adjustments that late events make to it."""
-    return tuple(late.multiset(events.where(F.col("standing") == s), ["order_date"], value) for s in ("in_base", "late"))
+    store = late.Store(spark, folder or f"{storage.run_dir(spark)}/daily-{uuid.uuid4().hex[:12]}")
+    return store.absorb(payment_deliveries(spark, sf), "event_id", "_batch_seq", judge, ["_batch_seq", "_arrived_at", "_bronze_row"], ["created", "amount_minor"], "order_date", "amount_minor")
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Late adjustments of the state whose values are the events themselves."""
-    _, adjustments = corrected_state(late_events(spark, sf), "event_id")
-    return adjustments.select(F.col("order_date").cast("string").alias("order_date"), F.col("value").alias("event_id"))
+    """The adjustments that late events made to the stored state."""
+    return daily_state(spark, sf).adjustments().select(F.col("period").cast("string").alias("order_date"), F.col("value").alias("event_id"))
 
 
 def p6_daily_amounts(spark: SparkSession, sf: str) -> DataFrame:
     """Exact daily figures of amounts after late events: counts, distincts, extremes and medians from cumulative counts."""
-    state, adjustments = corrected_state(late_events(spark, sf), "amount_minor")
-    figures = late.period_figures(storage.staged(late.adjusted(state, adjustments, ["order_date"]), "p6"), ["order_date"])
-    return figures.withColumn("order_date", F.col("order_date").cast("string"))
+    figures = late.period_figures(daily_state(spark, sf).corrected(), ["period"])
+    return figures.withColumn("order_date", F.col("period").cast("string")).drop("period")
 
 
 _P6_BASE = """
@@ -151,22 +137,19 @@ P6_DAILY_SQL = _P6_BASE + """select cast(order_date as varchar) as order_date, c
 
 # 7. Drifting schemas -----------------------------------------------------------------------------
 def payload_footers(spark: SparkSession, sf: str) -> DataFrame:
+    """Footers as a table: payloads are parsed once, whatever is read from it."""
     rows = table(spark, sf, "bronze_payments").withColumn("bronze_row", F.concat_ws(":", "_landing_file", "_line"))
     producer = F.coalesce(F.get_json_object("_raw", "$.api_version"), F.get_json_object("_raw", "$.apiVersion"), F.lit("unknown"))
-    return drift.footers(rows.withColumn("producer", producer), "_raw", ["bronze_row", "producer", "_landing_file"])
+    return storage.staged(drift.footers(rows.withColumn("producer", producer), "_raw", ["bronze_row", "producer", "_landing_file"]), "payloads")
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.changes(payload_footers(spark, sf), "bronze_row").select("bronze_row", "field_name", "change_kind").distinct()
+    return drift.changes(payload_footers(spark, sf), "bronze_row", "producer", "_landing_file").select("bronze_row", "field_name", "change_kind").distinct()
 
 
 def p7_lifespans(spark: SparkSession, sf: str) -> DataFrame:
-    foots = payload_footers(spark, sf)
-    from pyspark.sql import Window as W
-
-    # A producer's files in order; their number is bounded by the hours of the season, not by the rows.
-    files = foots.select("producer", F.col("_landing_file").alias("file")).distinct().withColumn("nth", F.row_number().over(W.partitionBy("producer").orderBy("file")))
-    return drift.lifespans(drift.catalogue(foots, "producer", "_landing_file"), files)
+    spans = drift.Catalogue(payload_footers(spark, sf), "producer", "_landing_file").lifespans()
+    return spans.withColumn("path", F.replace("path", F.lit(drift.DOT), F.lit(".")))
 
 
 def p7_unified(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,5 +157,5 @@ def p7_unified(spark: SparkSession, sf: str) -> DataFrame:
     return drift.unified(rows, "_raw", ["bronze_row"])
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_orders_now": p3_orders_now, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_daily_amounts": p6_daily_amounts, "p7_found": p7_found, "p7_lifespans": p7_lifespans, "p7_unified": p7_unified}
-SQL = {"p2_found": P2_SQL, "p3_found": P3_FOUND_SQL, "p3_orders_now": P3_NOW_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL, "p6_daily_amounts": P6_DAILY_SQL}
+QUERIES = {"p3_found": p3_found, "p3_orders_now": p3_orders_now, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_daily_amounts": p6_daily_amounts, "p7_found": p7_found, "p7_lifespans": p7_lifespans, "p7_unified": p7_unified}
+SQL = {"p3_found": P3_FOUND_SQL, "p3_orders_now": P3_NOW_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL, "p6_daily_amounts": P6_DAILY_SQL}

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillstream import skew, storage
-from quillstream.operators import asof, changefeed, checks, dedupe, drift, late, merge, nearest, parsing, reconcile
+from quillstream.operators import asof, changefeed, checks, dedupe, drift, late, merge, parsing, reconcile
 
 
 @pytest.fixture(params=["even", "hot"])
@@ -20,41 +20,47 @@ def skewed(request, monkeypatch):
     return request.param
 
 
-# 2 ------------------------------------------------------------------------------------------------
-@pytest.mark.parametrize("seed", range(3))
-def test_nearest_against_brute_force(spark, skewed, seed):
-    rng = random.Random(seed)
-    left = [(f"l{i}", rng.choice(["a", "a", "a", "b", None, "zz"]), rng.choice([None, *range(-40, 400)])) for i in range(300)]
-    right = [(rng.choice(["a", "b", "c", None]), rng.choice([None, *range(-40, 400, 3)]), i) for i in range(120)]
-    right += right[:10]
-    l = spark.createDataFrame(left, "id string, e string, t long").withColumn("s", F.lit("clash")).withColumn("record", F.lit("clash"))
-    r = spark.createDataFrame(right, "e string, t long, next_t int")
-    got = {x["record"]: x["right_t"] for x in nearest.nearest(l, F.col("e"), F.col("t"), F.col("id"), r, F.col("e"), F.col("t"), tolerance=4, slice_width=rng.choice([4, 16, 64])).collect()}
-    want = {}
-    for i, e, t in left:
-        c = [x for k, x, _ in right if e is not None and k == e and t is not None and x is not None and abs(x - t) <= 4]
-        if c:
-            want[i] = min(c, key=lambda x: (abs(x - t), x))
-    assert got == want
+# Hot groups --------------------------------------------------------------------------------------
+def test_uniform_keys_are_never_hot(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST_ROWS", 1)
+    found = skew.slots(spark.range(1_000_000), [F.col("id")], 131_072)
+    assert not found and found.n >= 16 * 131_072
 
 
-def test_nearest_empty(spark):
-    l = spark.createDataFrame([], "id string, e string, t long")
-    r = spark.createDataFrame([("a", 1)], "e string, t long")
-    args = (F.col("e"), F.col("t"), F.col("id"))
-    assert nearest.nearest(l, *args, r, F.col("e"), F.col("t"), 2).count() == 0
-    some = spark.createDataFrame([("x", "a", 1)], "id string, e string, t long")
-    assert nearest.nearest(some, *args, r.limit(0), F.col("e"), F.col("t"), 2).count() == 0
+def test_hot_slots_beyond_the_plan_are_a_table(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST_ROWS", 2)
+    df = spark.range(400).select((F.col("id") % 20).alias("k"))
+    inline = skew.slots(df, [F.col("k")], 40)
+    monkeypatch.setattr(skew, "INLINE", 3)
+    many = skew.slots(df, [F.col("k")], 40)
+    assert many.many is not None and inline.many is None and len(inline.few) == 20
+    for found in (inline, many):
+        marked = found.marked(df.withColumn("slot", found.of(F.col("k"))), "slot", "salts")
+        assert {r["salts"] for r in marked.collect()} == {2} and marked.count() == 400
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 1)
+    assert many.marked(df.withColumn("slot", many.of(F.col("k"))), "slot", "salts").where("salts = 2").count() == 400
 
 
-def test_merge_carries_the_neighbour_over_batches():
-    import pyarrow as pa
+def test_unknown_sizes_are_measured(spark):
+    df = spark.createDataFrame(spark.sparkContext.parallelize([(i, "x") for i in range(100)]), "a long, b string")
+    assert skew.partitions(df) == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    lo = -(1 << 63)
-    rows = [("g", lo, 5, None), ("g", 4, None, "p"), ("g", 5, 20, None), ("g", 6, None, "q"), ("g", 18, None, "r"), ("h", 6, None, "s"), ("h", lo, None, None)]
-    batches = [pa.RecordBatch.from_arrays([pa.array([r[i]], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], names=list("gtnr")) for r in rows]
-    out = [x for b in nearest._merge(2)(iter(batches)) for x in zip(*b.to_pydict().values(), strict=True)]
-    assert out == [("p", 5), ("q", 5), ("r", 20)]
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://somewhere:7077"
+        getConf = staticmethod(Conf)
+
+    class Session:
+        sparkContext = Context()
+        conf = Conf()
+
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(Session())
 
 
 # 3 ------------------------------------------------------------------------------------------------
@@ -93,6 +99,11 @@ def test_published_versions_replace_each_other_at_once(spark, tmp_path):
     with pytest.raises(Exception):
         storage.publish(spark.range(2).select(F.raise_error(F.lit("no")).alias("id")), table)
     assert storage.current(spark, table).count() == 5
+    for n in range(4):
+        storage.publish(spark.range(n), table, keep=2)
+    import os
+
+    assert len([f for f in os.listdir(table) if f.startswith("v-")]) <= 3 and storage.current(spark, table).count() == 3
 
 
 # 4 ------------------------------------------------------------------------------------------------
@@ -123,6 +134,13 @@ def test_later_copies_empty(spark):
     assert dedupe.later_copies(df, F.col("m"), F.col("r"), [F.col("r")]).count() == 0
 
 
+def test_repeated_rows_of_a_hot_identifier(spark, skewed):
+    """Rows that are alike in everything are copies of each other, hot or not."""
+    df = spark.createDataFrame([("evt_1", 1, "same")] * 50 + [("evt_2", 1, "other")], "m string, b int, r string")
+    got = [x["record_key"] for x in dedupe.later_copies(df, F.col("m"), F.col("r"), [F.col("b")]).collect()]
+    assert got == ["same"] * 49
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 30)))
 def test_seen_ranges(numbers):
@@ -136,8 +154,11 @@ def test_seen_ranges(numbers):
 
 
 # 5 ------------------------------------------------------------------------------------------------
-def test_differences(spark, monkeypatch):
-    monkeypatch.setattr(reconcile, "DEPTH", 4)
+@pytest.mark.parametrize("small", [False, True])
+def test_differences(spark, monkeypatch, small):
+    if small:  # many levels, and ranges that are digested again
+        monkeypatch.setattr(reconcile, "RANGE_ROWS", 16)
+        monkeypatch.setattr(reconcile, "MOST_ROWS", 8)
     rng = random.Random(5)
     left = [(f"k{i}", i % 3, i, None if i % 11 == 0 else i * 2) for i in range(700)] + [(None, 1, 1, 1)]
     right = [r for r in left if r[2] % 97]
@@ -151,6 +172,25 @@ def test_differences(spark, monkeypatch):
     assert got == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "date", "boolean"])
+def test_only_mismatched_leaves_are_compared(spark, kind):
+    """However many ranges differ, few rows beside the differing ones reach the comparison of fields."""
+    key = {"long": F.col("id"), "string": F.concat(F.lit("key-"), "id"), "date": F.date_from_unix_date((F.col("id") / 8).cast("int")), "boolean": F.col("id") % 2 == 0}[kind]
+    a = spark.range(32_000).select(key.alias("k"), F.col("id").alias("k2"), (F.col("id") * 3).alias("v"))
+    b = a.withColumn("v", F.when(F.col("k2") % 15 == 7, -1).otherwise(F.col("v")))
+    left, right = reconcile.mismatched(a, b, ["k", "k2"], ["v"])
+    n = left.count()
+    assert 2_133 <= n <= 2_134 * reconcile.LEAF_ROWS and n < 16_000 and right.count() == n
+    assert reconcile.differences(a, b, ["k", "k2"], ["v"]).count() == 2_133
+
+
+def test_neighbouring_differences_stay_in_few_ranges(spark):
+    a = spark.range(64_000).select("id", F.lit(1).alias("v"))
+    l, r, n = reconcile._prepared(a, a.where("id not between 10000 and 10999"), ["id"], ["v"])
+    ((bits, ranges),) = reconcile.open_ranges(l, r, n)
+    assert 8 <= ranges.count() <= 24, bits
+
+
 def test_differences_none_and_empty(spark):
     a = spark.createDataFrame([(i, i) for i in range(50)], "k int, v int")
     assert reconcile.differences(a, a.orderBy(F.desc("k")), ["k"], ["v"]).count() == 0
@@ -189,7 +229,26 @@ def test_standing(spark):
     e = spark.createDataFrame([("d1", 5, 10), ("d1", 6, 10), ("d1", 6, 50), ("d1", 6, 40), ("d2", 9, 1), (None, 1, 1), ("d1", None, 1), ("d1", 7, None)], "d string, seq long, at long")
     b = spark.createDataFrame([("d1", 5)], "d string, built_seq long")
     got = sorted((r["seq"], r["at"], r["standing"]) for r in late.judged(e, b, "d", "seq", "at", F.lit(50)).collect())
-    assert got == [(5, 10, "in_base"), (6, 10, "late"), (6, 40, "late"), (6, 50, "too_late")]
+    assert [x for x in got if x[2]] == [(5, 10, "in_base"), (6, 10, "late"), (6, 40, "late"), (6, 50, "too_late")] and len(got) == 8
+
+
+def test_a_second_run_reads_new_batches_only(spark, tmp_path):
+    built = spark.createDataFrame([("d1", 5)], "d string, built_seq long")
+    judge = lambda first: late.judged(first, built, "d", "seq", "at", F.lit(50))
+    store = late.Store(spark, str(tmp_path / "s"))
+    rows = [("e1", 4, 1, "d1", 10), ("e2", 5, 1, "d1", 20), ("e2", 6, 1, "d1", 99), ("e3", 6, 9, "d1", 30), ("e4", 6, 60, "d1", 40), ("e5", 6, 9, None, 50), ("e6", None, 9, "d1", 1), (None, 6, 9, "d1", 1)]
+    take = lambda rs: store.absorb(spark.createDataFrame(rs, "id string, seq long, at long, d string, v long"), "id", "seq", judge, ["seq", "at"], ["d", "v"], "d", "v")
+    take(rows)
+    assert [tuple(r) for r in store.adjustments().collect()] == [("d1", "e3", 1)] and store.mark() == 6
+    assert sorted(map(tuple, store.corrected().collect())) == [("d1", 10, 1), ("d1", 20, 1), ("d1", 30, 1)]
+    # Old batches, here with wrong rows, aren't looked at; what was judged before, too late or without a period, isn't judged again.
+    poison = [("p", 6, 1, "d1", 7), ("q", 2, 1, "d1", 7)]
+    store.absorb(spark.createDataFrame([*poison, ("e7", 7, 2, "d1", 30), ("e4", 7, 1, "d1", 40), ("e5", 7, 1, "d1", 50), ("e3", 8, 1, "d1", 30)], "id string, seq long, at long, d string, v long"), "id", "seq", judge, ["seq", "at"], ["d", "v"], "d", "v")
+    assert sorted(tuple(r) for r in store.adjustments().collect()) == [("d1", "e3", 1), ("d1", "e7", 1)]
+    assert sorted(map(tuple, store.corrected().collect())) == [("d1", 10, 1), ("d1", 20, 1), ("d1", 30, 2)]
+    assert take([]) is store and store.corrected().count() == 3
+    empty = late.Store(spark, str(tmp_path / "e")).absorb(spark.createDataFrame([], "id string, seq long, at long, d string, v long"), "id", "seq", judge, ["seq", "at"], ["d", "v"], "d", "v")
+    assert empty.adjustments().count() == 0 and empty.corrected().count() == 0
 
 
 # 7 ------------------------------------------------------------------------------------------------
@@ -218,9 +277,9 @@ CASES = {
 
 def test_drift_findings(spark):
     rows = [(f"r{i}", raw) for i, raw in enumerate(CASES)] + [("bad", V1[:60]), ("null", None), ("empty", "")]
-    df = spark.createDataFrame(rows, "row string, raw string").withColumn("clash", F.lit(1))
+    df = spark.createDataFrame(rows, "row string, raw string").withColumn("path", F.lit(1)).withColumn("maker", F.lit(None).cast("string")).withColumn("file", F.concat(F.lit("f"), F.length("raw") % 3))
     got: dict = {}
-    for r in drift.changes(drift.footers(df, "raw", ["row"]), "row").collect():
+    for r in drift.changes(drift.footers(df, "raw", ["row", "maker", "file"]), "row", "maker", "file").collect():
         got.setdefault(r["row"], []).append((r["field_name"], r["change_kind"]))
     for i, (raw, want) in enumerate(CASES.items()):
         assert sorted(got.get(f"r{i}", [])) == sorted(want), raw
@@ -234,8 +293,7 @@ def test_unified_and_lifespans(spark):
     assert got["r0"] == ("o", "5", "cad", "1") and got["r1"][1] == "5" and got["r2"][1] == "550"
     assert got["r3"] == ("7", "5", "CAD", "1") and got["r4"][2] == "CAD" and got["r5"][0] == "o" and got["r6"][3] is None
     foots = spark.createDataFrame([("p", f"f{n}", s) for n, s in enumerate(["OBJECT<a: BIGINT>", "OBJECT<a: BIGINT>", "OBJECT<a: STRING>", "OBJECT<a: BIGINT>"])], "producer string, file string, shape string")
-    files = foots.select("producer", "file").distinct().withColumn("nth", F.substring("file", 2, 1).cast("int") + 1)
-    spans = sorted((r["json_type"], r["island"], r["first_file"], r["last_file"], r["started"], r["ended"]) for r in drift.lifespans(drift.catalogue(foots, "producer", "file"), files).collect())
+    spans = sorted((r["json_type"], r["island"], r["first_file"], r["last_file"], r["started"], r["ended"]) for r in drift.Catalogue(foots, "producer", "file").lifespans().collect())
     assert spans == [("integer", 1, "f0", "f1", False, True), ("integer", 2, "f3", "f3", True, False), ("string", 1, "f2", "f2", True, True)]
 
 
