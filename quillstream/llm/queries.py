@@ -1,4 +1,4 @@
-"""Queries of the text problems 1, 8, 9 and 10, each over its whole tables."""
+"""Queries of problems 1, 2, 8, 9 and 10, each over its whole tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encoding, leakage, pii, tokenizer
+from . import encoding, leakage, nearest, pii, tokenizer
 
 
 def _restored(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,6 +23,21 @@ def p1_restored(spark: SparkSession, sf: str) -> DataFrame:
     return _restored(spark, sf).select(F.col("key").alias("passage_id"), "text", F.array_join("chains", ",").alias("chains"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    payments = table(spark, sf, "fct_payments").where(F.lower("currency") != "cad")
+    rates = table(spark, sf, "silver_fx_rates").where((F.upper(F.trim("quote")) == "CAD") & (F.col("rate") > 0))
+    day = lambda c: F.unix_date(c).cast("long")
+    pairs = nearest.nearest(payments, F.lower("currency"), day("processor_date"), F.col("event_id"), rates, F.lower(F.trim("base")), day("rate_date"), tolerance=2)
+    return pairs.select(F.col("record").alias("event_id"), F.date_from_unix_date(F.col("right_t").cast("int")).cast("string").alias("rate_date"))
+
+
+P2_SQL = """
+with r as (select distinct lower(trim(base)) as cur, rate_date from silver_fx_rates where upper(trim(quote)) = 'CAD' and rate > 0),
+c as (select p.event_id, r.rate_date, row_number() over (partition by p.event_id order by abs(r.rate_date - p.processor_date), r.rate_date) as k
+      from fct_payments p join r on r.cur = lower(p.currency) and r.rate_date between p.processor_date - 2 and p.processor_date + 2 where lower(p.currency) <> 'cad')
+select event_id, cast(rate_date as varchar) as rate_date from c where k = 1"""
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return tokenizer.encoded(docs, F.col("doc_id"), F.col("text")).select(F.col("key").alias("doc_id"), "ids")
@@ -53,5 +68,5 @@ def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return pii.redacted(docs, F.col("doc_id"), F.col("text"), pii.learn_names(docs, F.col("text"))).select(F.col("key").alias("doc_id"), "text", "places")
 
 
-QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p8_ids": p8_ids, "p8_token_counts": p8_token_counts, "p9_found": p9_found, "p10_found": p10_found, "p10_redacted": p10_redacted}
-SQL: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p8_ids": p8_ids, "p8_token_counts": p8_token_counts, "p9_found": p9_found, "p10_found": p10_found, "p10_redacted": p10_redacted}
+SQL = {"p2_found": P2_SQL}
