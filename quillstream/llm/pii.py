@@ -25,16 +25,20 @@ from .. import skew, storage
 # Transducers ----------------------------------------------------------------------------------
 #: Cyrillic and Greek letters and the Latin ones they look like (fixed values).
 LOOKALIKES = str.maketrans("авеёкмнорстухісјѕԁԛԝһАВЕКМНОРСТУХІЈЅαεικνορτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "abeekmhopctyxicjsdqwhABEKMHOPCTYXIJSaeikvoptuxABEZHIKMNOPTYX")
-_INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]+")
-_WIDE = re.compile("[  -   　]|[‐-―−]|[！-～]|[٠-٩۰-۹०-९]|[①-⑨⁰-⁹₀-₉]|[\U0001d400-\U0001d7ff]")
+_INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]")
+_WIDE = re.compile("[  -   　‐-―−！-～٠-٩۰-۹०-९①-⑨⁰-⁹₀-₉\U0001d400-\U0001d7ff]")
 _MIXED = re.compile(r"(?=[^\W_]*[a-zA-Z0-9])(?=[^\W_]*[Ͱ-ϿЀ-ӿԀ-ԯ])[^\W_]+(?:[@._+-][^\W_]+)*")
 _AT = re.compile(r"(?<=[\w.+-])\s*(?:[(\[{<]\s*(?:at|arobase|chiocciola|klammeraffe|ät|@)\s*[)\]}>]|&#64;|&commat;|%40|\s(?:AT|arobase|chiocciola|klammeraffe)\s|\s+@\s*|@\s+)\s*(?=[\w-]+\s*(?:\.|[(\[{]\s*(?:dot|punto|punkt|point|\.)))", re.I)
+#: Entities of the signs and of the dot.
+_ENTITY = re.compile(r"&(?:#0*64|#x0*40|commat|(#0*46|#x0*2e|period));", re.I)
+#: Words after which a plain "at" before a host is no disguise (fixed values).
+_NO_LOCAL = frozenset("is are was were be been am look looks looked arrive arrived meet met stay live lives lived work works available hosted found online visit site page website see seen it us here documentation docs more stop stopped start sold held and or of the".split())
 _OTHER_SCRIPT = re.compile("[Ͱ-ϿЀ-ӿԀ-ԯ]")
 #: What a text in small letters must hold for the patterns above and below to match; letters that only some foldings make equal lead straight to the patterns.
 _AT_HINTS = ("&#64;", "&commat;", "%40", "arobase", "chiocciola", "klammeraffe")
 _AT_SIGN, _AT_OPEN, _AT_PLAIN = re.compile(r"\s@|@\s|[(\[{<]@"), re.compile(r"[(\[{<]\s*(?:at|ät|@)"), re.compile(r"at\s+[\w-]+\s*[.(\[{]")
 _DOT_HINTS = ("dot", "punto", "punkt", "point")
-_DOT_OPEN, _FOLDS = re.compile(r"[(\[{]\s*\."), re.compile("[ıİſK]")
+_DOT_OPEN, _FOLDS = re.compile(r"[(\[{]\s*\."), re.compile("[\u0131\u0130\u017f\u212a]")
 _AT_WORD = re.compile(r"(?<=[\w+-])\s+at\s+(?=[\w-]+(?:\s+dot\s+[\w-]+)+\b)", re.I)
 _DOT = re.compile(r"(?<=\w)\s*[(\[{]\s*(?:dot|punto|punkt|point|\.)\s*[)\]}]\s*(?=\w)|(?<=\w)\s+(?:dot)\s+(?=\w)", re.I)
 #: Spelled digits (fixed values) of English, French, German and Italian.
@@ -43,6 +47,19 @@ _DIGIT_WORD_SET = frozenset(DIGIT_WORDS) | {"double", "triple"}
 _SPELLED = re.compile(rf"(?<!\w)(?:double\s+|triple\s+)?(?:{'|'.join(sorted(DIGIT_WORDS, key=len, reverse=True))})(?:[\s,.-]+(?:double\s+|triple\s+)?(?:{'|'.join(sorted(DIGIT_WORDS, key=len, reverse=True))})){{5,}}(?!\w)", re.I)
 
 
+def _spells(low: str) -> bool:
+    """Whether four words in a row are digits: all but the first and last of six, to which other signs may cling."""
+    said = low.replace("-", " ").replace(",", " ").replace(".", " ").split()
+    if _DIGIT_WORD_SET.isdisjoint(said):
+        return False
+    run = 0
+    for w in said:
+        run = run + 1 if w in _DIGIT_WORD_SET else 0
+        if run == 4:
+            return True
+    return False
+
+
 def _digits(m: re.Match) -> str:
     out, times = "", 1
     for w in re.findall(r"[^\W\d_]+", m[0].replace("İ", "i").replace("ı", "i").casefold()):
@@ -73,16 +90,25 @@ class Plain:
                 self.rewrite(_MIXED, lambda m: m[0].translate(LOOKALIKES))
         # Plain substring tests first: few texts hold a disguise.
         low = self.text.lower()
+        if "&" in low and _ENTITY.search(low):
+            self.rewrite(_ENTITY, lambda m: "." if m[1] else "@")
+            low = self.text.lower()
         odd = not low.isascii() and bool(_FOLDS.search(self.text))
         if odd or any(h in low for h in _AT_HINTS) or "@" in low and _AT_SIGN.search(low) or _AT_OPEN.search(low) or _AT_PLAIN.search(low):
-            self.rewrite(_AT, lambda m: "@")
+            self.rewrite(_AT, self._sign)
         if odd or "dot" in low and "at" in low:
             self.rewrite(_AT_WORD, lambda m: "@")
         if "@" in self.text and (odd or any(h in low for h in _DOT_HINTS) or _DOT_OPEN.search(low)):
             self.rewrite(_DOT, lambda m: ".")
-        if odd or not _DIGIT_WORD_SET.isdisjoint(low.replace("-", " ").replace(",", " ").replace(".", " ").split()):
+        if odd or _spells(low):
             self.rewrite(_SPELLED, _digits)
 
+    def _sign(self, m: re.Match) -> str:
+        """A sign, or a plain "at" as it is after a word that is no address's first part."""
+        if m[0].strip() == "at" and (w := re.search(r"[\w.+-]+$", self.text[max(0, m.start() - 64) : m.start()])) and w[0].lower() in _NO_LOCAL:
+            return m[0]
+        return "@"
+
     def rewrite(self, pattern: re.Pattern, by: Callable[[re.Match], str]) -> None:
         out, at, length = [], 0, 0
         ends, shifts = [0], [(0, 0, 0)]  # from this plain position on: (source position, plain length rewritten, source length)
@@ -126,9 +152,9 @@ _IDS = [
     (re.compile(_BEFORE + r"([12][ .]?\d{2}[ .]?\d{2}[ .]?(?:\d{2}|2[AB])[ .]?\d{3}[ .]?\d{3}(?:[ .]?\d{2})?)" + _NOT_DIGIT), 1),
     (re.compile(_LABEL.format(r"IdNr|Id-?Nr|IDNR|Identifikationsnummer|Steuer-?(?:ID|nummer|Identifikationsnummer)|Steuernr|TIN") + r"(\d{2}[ /.]?\d{3}[ /.]?\d{3}[ /.]?\d{3})" + _NOT_DIGIT, re.I), 1),
     (re.compile(_LABEL.format(r"SV-?N(?:umme)?r|Sozialversicherungs(?:nummer|nr)|Rentenversicherungsnummer") + r"(\d{2}[ ]?\d{6}[ ]?[A-Z][ ]?\d{3})" + _NOT_DIGIT, re.I), 1),
-    (re.compile(r"(?<!\w)([A-Z]{3} ?[A-Z]{3} ?\d{2}[A-EHLMPRST]\d{2} ?[A-Z]\d{3}[A-Z])(?!\w)", re.I), 1),
     (re.compile(r"(?<!\w)((?!BG|GB|NK|KN|TN|NT|ZZ)[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D])(?!\w)"), 1),
 ]
+_FISCAL = re.compile(r"(?<!\w)([A-Z]{3} ?[A-Z]{3} ?\d{2}[A-EHLMPRST]\d{2} ?[A-Z]\d{3}[A-Z])(?!\w)", re.I)
 _PHONES = [
     re.compile(r"(?<![\w.+/-])\+\d{1,3}[ .\-/]?(?:\(0?\d{1,4}\)[ .\-/]?)?\d(?:[ .\-/]?\d){6,12}" + r"(?!\d)"),
     re.compile(_BEFORE + r"00(?:1|33|34|39|41|43|44|49)[ .\-/]?\d(?:[ .\-/]?\d){7,11}(?!\d)"),
@@ -137,40 +163,58 @@ _PHONES = [
     re.compile(_BEFORE + r"07\d{3} ?\d{3} ?\d{3}(?![\d-])"),
     re.compile(r"(?<![\w.,/#-])(?:\(0\d{1,4}\) ?|0\d{1,4}[ /])\d{4,8}(?:[ -]\d{1,4})?(?![\d/-])"),
 ]
-#: No phone number is without this.
-_DIGITS = re.compile(r"\d[\d ().\-/]{6,}\d")
+#: Six digits with little between them, which every phone and every number of _IDS but the Italian one holds; a number is looked for around them, labels included.
+_RUN, _REACH_BACK, _REACH_ON = re.compile(r"\d(?:[ ().\-/]{0,3}\d){5,}"), 96, 48
+#: What an Italian number ends with.
+_FISCAL_END = re.compile(r"\d[A-Z]\d\d ?[A-Z]\d{3}[A-Z]", re.I)
 #: What such numbers are called when they are no phones (fixed values).
 _NO_PHONE = re.compile(r"(?:checksum|tracking|lsn|shelfmark|order|folio|isbn|issn|invoice|batch|code|total|c\$|€|£|\$|page)\W{0,3}$", re.I)
 _UP = "A-ZÀ-ÖØ-Þ"
 _CAP = rf"[{_UP}][\w'’-]*"
 _ADDRESSES = [
-    re.compile(rf"(?<![\w.,/-])\d{{1,5}} ?(?:[A-Z](?![\w'’])|½)? ?(?:(?:North|South|East|West|[NSEW]\.?) )?{_CAP}(?: {_CAP}){{0,2}} (?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Quay|Crescent|Cres|Drive|Dr|Close|Court|Ct|Way|Row|Terrace|Hill|Square|Sq|Place|Pl|Boulevard|Blvd|Parkway|Wharf|STREET|ST|ROAD|RD|AVENUE|AVE|LANE|QUAY|CRESCENT|DRIVE|TERRACE)(?![\w'’])\.?"),
-    re.compile(rf"(?<![\w./-])\d{{1,4}}(?: ?(?:bis|ter|quater|[A-Z](?!\w)))?,? (?i:rue|avenue|av\.|chemin|quai|boulevard|bd|place|impasse|allée|ruelle|cours|passage|route|sentier|square|côte) (?:(?i:de la|de l['’]|des|du|de|d['’]|la|le|les|l['’]) ?)?{_CAP}"),
+    re.compile(rf"\d(?<![\w.,/-]\d)\d{{0,4}} ?(?:[A-Z](?![\w'’])|½)? ?(?:(?:North|South|East|West|[NSEW]\.?) )?{_CAP}(?: {_CAP}){{0,2}} (?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Quay|Crescent|Cres|Drive|Dr|Close|Court|Ct|Way|Row|Terrace|Hill|Square|Sq|Place|Pl|Boulevard|Blvd|Parkway|Wharf|STREET|ST|ROAD|RD|AVENUE|AVE|LANE|QUAY|CRESCENT|DRIVE|TERRACE)(?![\w'’])\.?"),
+    re.compile(rf"\d(?<![\w./-]\d)\d{{0,3}}(?: ?(?:bis|ter|quater|[A-Z](?!\w)))?,? (?i:rue|avenue|av\.|chemin|quai|boulevard|bd|place|impasse|allée|ruelle|cours|passage|route|sentier|square|côte) (?:(?i:de la|de l['’]|des|du|de|d['’]|la|le|les|l['’]) ?)?{_CAP}"),
     re.compile(rf"(?<!\w)(?i:via|viale|vicolo|piazza|piazzale|corso|largo|calle|strada|borgo|salita|contrada|lungarno|vico) (?:(?i:della|del|dei|delle|degli|di|dell['’]|d['’]|san|santa) ?)?{_CAP}(?: {_CAP}){{0,2}}(?:,? n\.? ?|,? (?i:civico|numero) |, ?| )\d{{1,4}}(?: ?/ ?[A-Za-z]|[a-z])?(?![\w])"),
     re.compile(rf"(?<!\w)(?:(?:Am|An der|An den|Auf der|Auf dem|Im|In der|Zum|Zur|Unter den|Alte|Alter|Neue|Große|Kleine) )?{_CAP}(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring|steig|markt|STRASSE|STRAßE|WEG|GASSE|PLATZ)(?:,? Nr\.?)? ?\d{{1,4}}(?: ?[a-z](?!\w))?(?!\d)"),
     re.compile(rf"(?<!\w)(?:{_CAP}(?:er|-)? (?:Straße|Strasse|Str\.|Weg|Gasse|Platz|Allee|Ufer|Damm|Ring|Markt)) \d{{1,4}}(?: ?[a-z](?!\w))?(?!\d)"),
 ]
 
+#: What a text must hold for the last three of them, found faster.
+_ROADS = (
+    re.compile(r"(?:via|vial|vico|piazz|cors|larg|call|stra|borg|sali|cont|lung)", re.I),
+    re.compile(r"(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring|steig|markt|STRASSE|STRAßE|WEG|GASSE|PLATZ)(?:,? Nr\.?)? ?\d"),
+    re.compile(r"(?:Straße|Strasse|Str\.|Weg|Gasse|Platz|Allee|Ufer|Damm|Ring|Markt) \d"),
+)
+
 # Names ----------------------------------------------------------------------------------------
 #: Particles that belong to the family name that follows (fixed values).
 PARTICLES = frozenset("von van de della dello dalla da di del der zu den le la dos das".split())
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*")
+#: What may part the words of one name.
+_BLANK = re.compile(r"[ \t]{1,3}|\r?\n")
 _CAPITAL = re.compile(r"(?<![^\W\d_'’-])[^\W\d_a-zà-öø-ÿ](?:[^\W\d_]|['’-](?=[^\W\d_]))*")
 _JAVA_NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
 _JAVA_FULL = rf"{_JAVA_NAME}(?:,? (?:\p{{Lu}}\. )?(?:(?:von|van|de|della|da|di|del|d['’]|Della|VON|DELLA) )?(?:d['’])?{_JAVA_NAME}){{1,3}}"
 #: Phrases that announce a person, by language (fixed values); a name follows.
 CUES = (
-    "[Aa]sk for", "[Ll]eft with", "[Ww]e met", "[Rr]efund is for", "[Ll]ast spring", "[Ss]igned,", "[Aa]ttention", "[Dd]emandez", "[Hh]ier", "[Cc]olis de", "au nom de", "[Ss]igné[, :]*", "[Pp]aket von", "[Gg]estern hat", "[Rr]echnung geht an", "[Gg]ezeichnet:?",
-    "[Pp]acco di", "[Ii]eri", "affidato a", "[Ff]irmato:", "[Ss]igned:?", "assigned_to:", "owner,", "[Cc]ontact:", "Herrn?", "Frau", "Mr\\.?", "Mrs\\.?", "Ms\\.?", "M\\.", "Mme", "[Ss]ignor[ae]?",
+    "[Aa]sk for", "[Ll]eft with", "[Ww]e met", "[Rr]efund is for", "[Ll]ast spring", "[Ss]igned(?: by)?[:,]?", "[Aa]ttention", "[Aa]ttn\\.?:?", "[Cc]/o", "[Cc]are of", "on behalf of", "[Cc]ontact:?", "assigned_to:", "owner,", "[Nn]ame:", "[Aa]uthor:", "[Cc]ustomer:",
+    "[Mm]y name is", "[Yy]esterday", "[Ss]p(?:eak|oke) (?:to|with)", "[Tt]alk(?:ed)? to", "(?:[Ww]ritten|[Pp]repared|[Rr]eceived|[Ss]ent) by", "[Rr]egards,?", "[Ss]incerely,?", "[Yy]ours(?: truly| faithfully)?,", "[Tt]hanks,", "[Cc]heers,", "Mr\\.?", "Mrs\\.?", "Ms\\.?", "Dr\\.?", "Prof\\.?",
+    "[Dd]emandez", "[Hh]ier", "[Cc]olis de", "au nom de", "[Ss]igné(?: par)?[, :]*", "M\\.", "Mme", "Monsieur", "Madame", "[Jj]e m['’]appelle", "[Cc]ordialement,?", "à l['’]attention de", "[Éé]crit par", "[Aa]ppelez", "[Nn]om ?:",
+    "[Pp]aket von", "[Gg]estern hat", "[Gg]estern", "[Rr]echnung geht an", "[Gg]ezeichnet:?", "Herrn?", "Frau", "[Mm]ein Name ist", "[Ii]ch heiße", "[Gg]rüßen?,?", "z\\. ?Hd\\.", "[Gg]eschrieben von", "[Ff]ragen Sie nach",
+    "[Pp]acco di", "[Ii]eri", "affidato a", "[Ff]irmato(?: da)?:?", "[Ss]ignor[ae]?", "[Mm]i chiamo", "[Ss]aluti,?", "[Ss]critto da", "[Cc]hied(?:ere|i|ete) di", "all['’]attenzione di",
+    "[Mm]e llamo", "[Aa]tentamente,?", "[Ss]eñora?",
 )
+#: What persons do after their name at a sentence's beginning (fixed values).
+ACTS = "wrote|writes|said|called|asked|replied|signed|phoned|complained|a écrit|a appelé|a demandé|schrieb|sagte|rief|fragte|ha scritto|ha detto|ha chiamato|ha chiesto"
 CUE = rf"(?:^|[^\p{{L}}])(?:{'|'.join(CUES)})\s?({_JAVA_FULL})(?= \p{{Ll}}|[.,;\r\n]|  |$)"
+ACTOR = rf"(?:^|[.!?] {{1,2}}|[\r\n])({_JAVA_FULL})(?= (?:{ACTS})(?!\p{{L}}))"
 #: Names that are sent to all tasks at most; more are met by a join. The share of its own places in the corpus where a name must be announced: words that begin the sentence after a name are so only by chance.
 GAZETTEER, LEAST = 100_000, 0.02
 
 
 #: Words that begin sentences and are no names (fixed values).
 COMMON = frozenset(
-    "the of on in at it it's a an and we they they've nobody can call deliver order see when our my i is for this that not no yes please thanks der die das den ein eine in es können könnte außerdem ausserdem später und im am le la les l'on un une on est-ce voilà d'après à il lo gli una la così già perché nella nel misura al di da e rechnung restauro paket".split()
+    "the of on in at it it's a an and we they they've nobody can call deliver order see when our my i is for this that not no yes please thanks der die das den ein eine in es können könnte außerdem ausserdem später und im am le la les l'on un une on est-ce voilà d'après à il lo gli una la così già perché nella nel misura al di da e rechnung restauro paket yesterday today tomorrow hier demain gestern heute morgen ieri oggi domani".split()
 )
 
 
@@ -195,7 +239,10 @@ def learn_names(texts: DataFrame, text: Column) -> tuple[frozenset[str], frozens
 
     Two sets where they hold GAZETTEER names at most, else a table (name, given, family), which ``found_places`` and ``redacted`` join.
     """
-    found = texts.select(F.explode(F.regexp_extract_all(text, F.lit(CUE), F.lit(1))).alias("full")).groupBy("full").agg(F.count("*").alias("n"))
+    announced = F.regexp_extract_all(text, F.lit(CUE), F.lit(1))
+    # Most texts have nobody who acts: a plain search comes first.
+    acting = F.when(text.rlike(rf" (?:{ACTS})(?!\p{{L}})"), F.regexp_extract_all(text, F.lit(ACTOR), F.lit(1)))
+    found = texts.select(F.explode(F.concat(announced, F.coalesce(acting, F.array().cast("array<string>")))).alias("full")).groupBy("full").agg(F.count("*").alias("n"))
 
     def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -237,14 +284,14 @@ class Names:
     def _family(self, words: list[re.Match], k: int, text: str) -> int:
         """The number of words of a family name at word k; nought where there is none."""
         for n in (3, 2, 1):
-            if k + n <= len(words) and all(text[words[i - 1].end() : words[i].start()] in (" ", "\n") for i in range(k + 1, k + n)) and " ".join(_fold(w[0]) for w in words[k : k + n]) in self.family:
+            if k + n <= len(words) and all(_BLANK.fullmatch(text, words[i - 1].end(), words[i].start()) for i in range(k + 1, k + n)) and " ".join(_fold(w[0]) for w in words[k : k + n]) in self.family:
                 return n if words[k + n - 1][0][:1].isupper() or "'" in _fold(words[k + n - 1][0])[:2] else 0
         return 0
 
     def _forward(self, words: list[re.Match], k: int, text: str, given: Callable[[int], bool], gap: Callable[[int], str]) -> int:
         """The word after a full name in natural order that starts at given name k; nought where none does."""
         i = k + 1
-        while i < len(words) and i - k <= 3 and (gap(i - 1) in (" ", "\n", "\r\n") or len(words[i - 1][0]) == 1 and gap(i - 1) in (". ", ".", ".\n")):
+        while i < len(words) and i - k <= 3 and (_BLANK.fullmatch(gap(i - 1)) or len(words[i - 1][0]) == 1 and gap(i - 1) in (". ", ".", ".\n")):
             if n := self._family(words, i, text):
                 return i + n
             if not (given(i) or len(words[i][0]) == 1 and words[i][0].isupper()):
@@ -270,7 +317,7 @@ class Names:
                 yield w.start(), words[end - 1].end()
                 k = end
                 continue
-            if (n := self._family(words, k, text)) and k + n < len(words) and re.fullmatch(r",[ \n]", gap(k + n - 1)) and given(k + n):
+            if (n := self._family(words, k, text)) and k + n < len(words) and re.fullmatch(r",(?:[ \t]{1,3}|\r?\n)", gap(k + n - 1)) and given(k + n):
                 end = k + n
                 while end + 1 < len(words) and gap(end) in (" ", ". ") and (given(end + 1) or len(words[end + 1][0]) == 1 and words[end + 1][0].isupper() and text[words[end + 1].end() : words[end + 1].end() + 1] == "."):
                     end += 1
@@ -279,14 +326,29 @@ class Names:
             k += 1
 
 
+def _around(t: str) -> list[tuple[int, int]]:
+    """The stretches of a text around its runs of digits, apart from each other."""
+    out: list[tuple[int, int]] = []
+    for m in _RUN.finditer(t):
+        low, high = max(0, m.start() - _REACH_BACK), min(len(t), m.end() + _REACH_ON)
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], high)
+        else:
+            out.append((low, high))
+    return out
+
+
 def places(text: str, names: Names) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every place in source characters, in order and apart from each other."""
     plain = Plain(text)
     t = plain.text
     found: list[tuple[int, int, str]] = [(m.start(), m.end(), "email") for m in _EMAIL.finditer(t)] if "@" in t else []
-    found += [(m.start(g), m.end(g), "id_number") for p, g in _IDS for m in p.finditer(t)]
-    found += [(m.start(), m.end(), "phone") for p in (_PHONES if _DIGITS.search(t) else ()) for m in p.finditer(t) if not _NO_PHONE.search(t, max(0, m.start() - 16), m.start())]
-    found += [(m.start(), m.end(), "address") for p in _ADDRESSES for m in p.finditer(t)]
+    for low, high in _around(t):
+        found += [(m.start(g), m.end(g), "id_number") for p, g in _IDS for m in p.finditer(t, low, high)]
+        found += [(m.start(), m.end(), "phone") for p in _PHONES for m in p.finditer(t, low, high) if not _NO_PHONE.search(t, max(0, m.start() - 16), m.start())]
+    if _FISCAL_END.search(t):
+        found += [(m.start(1), m.end(1), "id_number") for m in _FISCAL.finditer(t)]
+    found += [(m.start(), m.end(), "address") for p, hint in zip(_ADDRESSES, (None, None, *_ROADS), strict=True) if hint is None or hint.search(t) for m in p.finditer(t)]
     found += [(a, b, "name") for a, b in names.find(t)]
     rank = {"email": 0, "id_number": 1, "phone": 2, "address": 3, "name": 4}
     kept: list[tuple[int, int, str]] = []

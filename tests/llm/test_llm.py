@@ -266,3 +266,22 @@ def test_rare_names_count_in_any_corpus_and_more_names_than_are_sent_are_joined(
 @pytest.mark.parametrize("text,plain", [("marie AT quai.org", "marie@quai.org"), ("marie at quai [dot] org", "marie@quai.org"), ("x { at } quai.org", "x@quai.org"), ("marie\u00a0at\u00a0quai.org", "marie@quai.org"), ("five.one.two.three.four.six", "512346"), ("five five five five five five", "555555")])
 def test_every_disguise_of_the_patterns_is_tried(text, plain):
     assert pii.Plain(text).text == plain
+
+
+@pytest.mark.parametrize("text,kind,shown", [("write to tobin at post.test now", "email", "tobin at post.test"), ("so tobin (  at ) post.test it is", "email", "tobin (  at ) post.test"), ("so tobin at\npost dot test", "email", "tobin at\npost dot test"), ("mail tobin@post&#46;test", "email", "tobin@post&#46;test"), ("mail tobin&#x40;post&period;test", "email", "tobin&#x40;post&period;test"), ("then Tobin  Lanyard came", "name", "Tobin  Lanyard"), ("then Tobin\tLanyard came", "name", "Tobin\tLanyard"), ("call five.oh.six.five.five.five.one.two.three.four", "phone", "five.oh.six.five.five.five.one.two.three.four")])
+def test_more_disguises(text, kind, shown):
+    assert [(text[a:b], k) for a, b, k in pii.places(text, NAMES)] == [(shown, kind)]
+
+
+@pytest.mark.parametrize("text", ["look at example.com for more", "we met at post. Then", "arrived at noon. Bring it"])
+def test_places_that_are_met_at(text):
+    assert pii.places(text, NAMES) == []
+
+
+def test_persons_are_announced_in_many_ways(spark):
+    ways = ["Yesterday {} wrote to us.", "Best regards, {}", "Regards,\n{}", "My name is {} and I wait.", "{} called about the invoice.", "It was late. {} asked for it.", "Ich heiße {} und warte.", "Mi chiamo {} e aspetto.", "Je m’appelle {}.", "Me llamo {}.", "Left with {}, as agreed.", "A note prepared by {}."]
+    letters = "abcdefghij"
+    person = lambda i: f"Vel{letters[i % 10]}{letters[i // 10]} Quon{letters[i // 10]}{letters[i % 10]}d"
+    df = spark.createDataFrame([(i, w.format(person(i))) for i, w in enumerate(ways)], "i long, t string")
+    got = {(r["key"], r["char_start"], r["char_end"]) for r in pii.found_places(df, F.col("i"), F.col("t"), pii.learn_names(df, F.col("t"))).collect()}
+    assert got == {(i, w.index("{"), w.index("{") + len(person(i))) for i, w in enumerate(ways)}
