@@ -1,9 +1,10 @@
 """Held-out texts inside a corpus, whole or in part, found by latent semantic retrieval.
 
 Documents and items are cut into short passages of words.  TF-IDF weights over hashed features, counted on all
-documents, are projected on the leading singular vectors of the corpus, which a randomised SVD finds in passes over
-the distributed passages (only sums of fixed size leave a task).  Passages whose latent vector has a high cosine with
-a passage of an item make candidates; all documents are searched against all items in blocks.  A candidate counts if
+documents, are projected on the leading singular vectors of the corpus, which a randomised SVD finds in distributed
+passes over a sample of the passages, taken from all documents alike by hash and of bounded size (sums of fixed size
+leave each of a fixed number of tasks).  Passages whose latent vector has a high cosine with a passage of an item make
+candidates; every passage of every document is searched against all items in blocks.  A candidate counts if
 the longest common subsequence of the item's words and one stretch of the document's holds half of the item, and, where
 that alone could be a likeness of style, if the stretch gives away one of the item's answers: names and numbers that
 hardly any other item has.
@@ -14,7 +15,6 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from .. import skew, storage
 
+#: Passages that the singular vectors are fitted on, about, and the tasks that they are summed up in at most.
+BASIS_PASSAGES, BASIS_TASKS = 65_536, 64
 #: Hashed features, dimensions kept, extra directions of the randomised range finder, its passes.
 FEATURES, DIMENSIONS, EXTRA, PASSES = 1 << 14, 96, 16, 2
 #: Words of a passage, and between the starts of passages when searching.
@@ -93,17 +95,29 @@ def tokenised(texts: DataFrame, key: Column, text: Column, name: str) -> DataFra
                 part = batch.slice(at, 1024)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([ids(t) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))], names=["key", "words"])
 
-    return storage.staged(skew.spread(texts.select(key.cast("long").alias("key"), text.alias("text")).where("text is not null")).mapInArrow(run, "key long, words array<long>"), name)
+    rows = skew.spread(texts.select(key.cast("long").alias("key"), text.alias("text")).where("text is not null"))
+    # Words recur: a dictionary that holds a file's words takes a third of their plain size.
+    return storage.staged(rows.mapInArrow(run, "key long, words array<long>"), name, options={"parquet.dictionary.page.size": str(16 << 20)})
 
 
-def feature_weights(tokens: DataFrame) -> np.ndarray:
-    """Inverse document frequencies of the hashed features over all documents: FEATURES numbers reach the driver."""
-    n = tokens.count()
+def feature_weights(tokens: DataFrame) -> tuple[np.ndarray, int]:
+    """Inverse document frequencies of the hashed features over all documents, and the number of passages: FEATURES numbers reach the driver."""
+    n, passages = tokens.agg(F.count("*"), F.coalesce(F.sum(F.ceil(F.size("words") / PASSAGE)), F.lit(0))).first()
     feature = F.explode(F.array_distinct(F.transform("words", lambda w: w % FEATURES))).alias("f")
     df = np.zeros(FEATURES)
     for r in tokens.select(feature).groupBy("f").agg(F.count("*").alias("n")).collect():
         df[r["f"]] = r["n"]
-    return np.where(df > 0, np.log((1 + n) / (1 + np.minimum(df, n))) + 0.05, np.log(1 + n)).astype(np.float32)
+    return np.where(df > 0, np.log((1 + n) / (1 + np.minimum(df, n))) + 0.05, np.log(1 + n)).astype(np.float32), int(passages)
+
+
+def basis_sample(tokens: DataFrame, passages: int) -> DataFrame:
+    """About BASIS_PASSAGES passages as rows (key, words), all of them where the corpus has no more. Whether one is taken depends on a hash of its document and place alone."""
+    share = min(1.0, BASIS_PASSAGES / max(1, passages))
+    chosen = F.filter(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / PASSAGE).cast("int")), lambda k: F.pmod(F.xxhash64("key", k), F.lit(1 << 30)) < int(share * (1 << 30)))
+    cut = F.transform(chosen, lambda k: F.slice("words", k * PASSAGE + 1, PASSAGE))
+    rows = tokens.where(F.size("words") > 0).select("key", F.explode(cut).alias("words"))
+    tasks = min(BASIS_TASKS, tokens.sparkSession.sparkContext.defaultParallelism)
+    return storage.staged(rows.repartition(tasks, F.xxhash64("key", "words")), "basis")
 
 
 def _passages(flat: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +162,7 @@ _PIECE = 256
 
 
 def _summed(tokens: DataFrame, weights: np.ndarray, basis: np.ndarray, gram: bool) -> np.ndarray:
-    """The sum over all passages of a'(aB), or with ``gram`` of (aB)'(aB): each task adds up one matrix, its pieces are added by a shuffle."""
+    """The sum over the sample's passages of a'(aB), or with ``gram`` of (aB)'(aB): each of at most BASIS_TASKS tasks adds up one matrix, its pieces are added by a shuffle."""
     width = basis.shape[1]
     shared = tokens.sparkSession.sparkContext.broadcast((weights, basis))  # FEATURES x width, fixed
 
@@ -175,7 +189,8 @@ def _summed(tokens: DataFrame, weights: np.ndarray, basis: np.ndarray, gram: boo
         return pd.DataFrame({"piece": pdf["piece"][:1], "data": [np.sum([np.frombuffer(b, np.float32) for b in pdf["data"]], axis=0, dtype=np.float64).astype(np.float32).tobytes()]})
 
     out = np.zeros((width if gram else FEATURES, width))
-    for r in tokens.mapInArrow(run, "piece long, data binary").groupBy("piece").applyInPandas(add, "piece long, data binary").collect():
+    few = tokens.coalesce(BASIS_TASKS)
+    for r in few.mapInArrow(run, "piece long, data binary").groupBy("piece").applyInPandas(add, "piece long, data binary").collect():
         part = np.frombuffer(r["data"], np.float32).reshape(-1, width)
         out[r["piece"] : r["piece"] + len(part)] = part
     shared.unpersist()
@@ -183,7 +198,7 @@ def _summed(tokens: DataFrame, weights: np.ndarray, basis: np.ndarray, gram: boo
 
 
 def latent_basis(tokens: DataFrame, weights: np.ndarray, seed: int = 7) -> np.ndarray:
-    """FEATURES x DIMENSIONS: the leading right singular vectors of all passages, by a randomised range finder with power passes."""
+    """FEATURES x DIMENSIONS: the leading right singular vectors of the passages, by a randomised range finder with power passes."""
     basis = np.random.default_rng(seed).standard_normal((FEATURES, DIMENSIONS + EXTRA)).astype(np.float32) / np.sqrt(FEATURES)
     for _ in range(PASSES):
         q, _r = np.linalg.qr(_summed(tokens, weights, basis, gram=False))
@@ -206,7 +221,7 @@ def common_subsequence(a_places: dict[int, int], length: int, b: list[int]) -> i
 class Item:
     """A held-out text ready to be compared."""
 
-    def __init__(self, key: int, ids: list[int], shared: Counter) -> None:
+    def __init__(self, key: int, ids: list[int], shared: dict[int, int]) -> None:
         self.key, self.ids, self.n = key, ids, len(ids)
         self.set = np.array(sorted(set(ids)), np.int64)
         self.places: dict[int, int] = {}
@@ -224,11 +239,7 @@ class Item:
             first = int(starts[k])
             after = int(np.searchsorted(starts, first + half, side="right"))
             if common_subsequence(self.places, self.n, doc[first : first + half + self.reach].tolist()) >= need:
-                last = -2
                 for s in starts[k:after]:
-                    if s - last < 2:
-                        continue
-                    last = s
                     stretch = doc[s : s + self.reach].tolist()
                     got = common_subsequence(self.places, self.n, stretch)
                     if got >= need and (got >= SURE * self.n or not self.answers or not self.answers.isdisjoint(stretch)):
@@ -240,7 +251,7 @@ class Item:
 class Bench:
     """A block of items, and which words each has."""
 
-    def __init__(self, held_out: list[tuple[int, list[int]]], shared: Counter) -> None:
+    def __init__(self, held_out: list[tuple[int, list[int]]], shared: dict[int, int]) -> None:
         self.items = [Item(k, ws, shared) for k, ws in held_out]
         self.vocabulary = np.unique(np.concatenate([i.set for i in self.items]))
         self.has = np.zeros((len(self.vocabulary) + 1, len(self.items)), np.int32)
@@ -274,34 +285,47 @@ class Bench:
         return out
 
 
+def item_blocks(items: DataFrame, item_key: str, item_text: str) -> Iterator[tuple[list[tuple[int, list[int]]], dict[int, int]]]:
+    """Blocks of items with words, as (key, words), each of about BLOCK passages, with the number of items that hold each of its words; the driver holds one block at a time."""
+    rows = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull())
+    tokens = tokenised(rows, F.col(item_key), F.col(item_text), "items").where(F.size("words") > 0)
+    size = tokens.agg(F.coalesce(F.sum(F.floor(F.size("words") / STEP) + 1), F.lit(0))).first()[0]
+    blocks = max(1, -(-int(size) // BLOCK))
+    shared = tokens.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    if blocks > 1:
+        tokens = storage.staged(tokens.withColumn("block", F.pmod(F.xxhash64("key", "words"), F.lit(blocks)).cast("int")).repartition(min(blocks, 1024), "block"), "blocks")
+        shared = storage.staged(shared, "shared")
+    for b in range(blocks):
+        mine = tokens.where(F.col("block") == b) if blocks > 1 else tokens
+        held_out = [(r["key"], r["words"]) for r in mine.select("key", "words").collect()]
+        if held_out:
+            of = mine.select(F.explode("words").alias("word")).distinct()
+            yield held_out, {r["word"]: r["n"] for r in shared.join(of, "word", "left_semi").collect()}
+
+
 def leaks(docs: DataFrame, key: Column, text: Column, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
     """(doc, item): every document with every item that it gives away.
 
-    Null and empty texts give nothing, nor do items without a word.  Equal documents and equal items all count.
+    Null and empty texts give nothing, nor do items without a word.  Equal documents and equal items all count.  Each
+    block of items is one more pass over the documents, whose results are written before the next begins.
     """
     tokens = tokenised(docs, key, text, "corpus")
-    weights = feature_weights(tokens)
-    basis = latent_basis(tokens, weights)
-    ids = _Ids()
-    held_out = [(int(r[item_key]), ids(r[item_text])) for r in items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(item_key, item_text).toLocalIterator()]
-    held_out = [(k, w) for k, w in held_out if w]
-    shared = Counter(w for _, ws in held_out for w in set(ws))
-    found, block = None, []
-    blocks, size = [], 0
-    for k, ws in held_out:
-        block.append((k, ws))
-        size += len(ws) // STEP + 1
-        if size >= BLOCK:
-            blocks, block, size = [*blocks, block], [], 0
-    for part in [*blocks, block] if block else blocks:
-        one = _search(tokens, weights, basis, part, shared)
-        found = one if found is None else found.unionByName(one)
-    return tokens.sparkSession.createDataFrame([], "doc long, item long") if found is None else found
-
-
-def _search(tokens: DataFrame, weights: np.ndarray, basis: np.ndarray, held_out: list[tuple[int, list[int]]], shared: Counter) -> DataFrame:
+    weights, passages = feature_weights(tokens)
+    basis = latent_basis(basis_sample(tokens, passages), weights)
+    found, waiting = None, None
+    for held_out, shared in item_blocks(items, item_key, item_text):
+        if waiting is not None:
+            waiting = storage.staged(waiting, "leaks")
+            found = waiting if found is None else found.unionByName(waiting)
+        waiting = _search(tokens, weights, basis, held_out, shared)
+    if waiting is None:
+        return tokens.sparkSession.createDataFrame([], "doc long, item long")
+    return waiting if found is None else found.unionByName(waiting)
+
+
+def _search(tokens: DataFrame, weights: np.ndarray, basis: np.ndarray, held_out: list[tuple[int, list[int]]], shared: dict[int, int]) -> DataFrame:
     """Candidates of one block of items by cosine, checked in the task that found them."""
-    sent = tokens.sparkSession.sparkContext.broadcast((weights, basis, held_out, {w: shared[w] for _, ws in held_out for w in ws}))  # a block of items, whose size BLOCK bounds
+    sent = tokens.sparkSession.sparkContext.broadcast((weights, basis, held_out, shared))  # a block of items, whose size BLOCK bounds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, basis, held_out, counts = sent.value
