@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .. import skew, storage
 
 #: Passages that the singular vectors are fitted on, about, and the tasks that they are summed up in at most.
-BASIS_PASSAGES, BASIS_TASKS = 65_536, 64
+BASIS_PASSAGES, BASIS_TASKS = 32_768, 64
 #: Hashed features, dimensions kept, extra directions of the randomised range finder, its passes.
 FEATURES, DIMENSIONS, EXTRA, PASSES = 1 << 14, 96, 16, 2
 #: Words of a passage, and between the starts of passages when searching.
@@ -140,6 +140,20 @@ def _project(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np
     return np.add.reduceat(basis[feats] * w[:, None], offsets, axis=0), feats, w, np.repeat(np.arange(len(starts)), lengths)
 
 
+def _latent(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Unit latent vectors of passages that follow each other by STEP, half a passage: each half is summed once for the two that share it."""
+    alone = np.concatenate([starts[1:] != starts[:-1] + STEP, [True]])  # the second half is no other's first
+    at = np.concatenate([starts, starts[alone] + STEP])[:, None] + np.arange(STEP)
+    feats = (flat[np.minimum(at, len(flat) - 1)] % FEATURES).astype(np.int64)
+    w = np.where(at < np.concatenate([np.minimum(starts + STEP, ends), ends[alone]])[:, None], weights[feats], np.float32(0))
+    halves, squares = np.matmul(w[:, None, :], basis[feats])[:, 0], np.einsum("ij,ij->i", w, w)
+    n = len(starts)
+    second = np.arange(1, n + 1)
+    second[alone] = n + np.arange(int(alone.sum()))
+    y = (halves[:n] + halves[second]) / np.sqrt(np.maximum(squares[:n] + squares[second], 1e-9))[:, None]
+    return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-6)
+
+
 def _chunks(batch: pa.RecordBatch, step: int, most: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Passages of a batch's documents, some at a time: (words of the batch, starts, ends, document row)."""
     lists = batch.column(batch.schema.get_field_index("words"))
@@ -334,11 +348,9 @@ def _search(tokens: DataFrame, weights: np.ndarray, basis: np.ndarray, held_out:
         for i, item in enumerate(bench.items):
             flat = np.array(item.ids, np.int64)
             s, e = _passages(flat, STEP)
-            y = _project(flat, s, e, weights, basis)[0]
-            targets.append(y)
+            targets.append(_latent(flat, s, e, weights, basis))
             owners += [i] * len(s)
-        targets, owners = np.concatenate(targets), np.array(owners)
-        targets = (targets / np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-6)).T.copy()
+        targets, owners = np.concatenate(targets).T.copy(), np.array(owners)
         for batch in batches:
             lists = batch.column(1)
             flat = lists.flatten().to_numpy(zero_copy_only=False)
@@ -346,9 +358,8 @@ def _search(tokens: DataFrame, weights: np.ndarray, basis: np.ndarray, held_out:
             keys = batch.column(0).to_pylist()
             pairs, places = [], []
             for _, s, e, rows in _chunks(batch, STEP):
-                y = _project(flat, s, e, weights, basis)[0]
-                y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-6)
-                hit, which = np.nonzero(y @ targets >= COSINE)
+                near = _latent(flat, s, e, weights, basis) @ targets >= COSINE
+                hit, which = np.divmod(np.flatnonzero(near), near.shape[1])
                 pairs.append(np.unique(rows[hit] * len(bench.items) + owners[which]))
                 places.append(np.stack([rows, s])[:, np.unique(hit)])
             pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
