@@ -6,27 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import storage
+
 K1, B = 1.2, 0.75
 
 
+#: Postings of one row of the index, about.
+POSTINGS = 1 << 16
+
+
 def slips(tokens: DataFrame, key: str, words: str = "tokens") -> DataFrame:
-    """(key, word, tf): counted with map-side partial sums. The outer explode keeps Spark from working out the words once more for a filter on their number."""
-    return tokens.select(key, F.explode_outer(words).alias("word")).where("word is not null").groupBy(key, "word").agg(F.count("*").alias("tf"))
+    """(key, dl, word, tf): counted with map-side partial sums; dl is the number of the document's words. The outer explode keeps Spark from working out the words once more for a filter on their number."""
+    return tokens.select(key, F.size(words).cast("bigint").alias("dl"), F.explode_outer(words).alias("word")).where("word is not null").groupBy(key, "dl", "word").agg(F.count("*").alias("tf"))
 
 
-def inverted_index(terms: DataFrame, key: str, shard: Column) -> DataFrame:
-    """(shard, word, postings sorted by key, df). A word's postings are cut by shard, so that no one row holds them all."""
-    return terms.withColumn("shard", shard).groupBy("shard", "word").agg(F.sort_array(F.collect_list(F.struct(key, "tf"))).alias("postings")).withColumn("df", F.size("postings"))
+def inverted_index(terms: DataFrame, key: str, shard: Column, most: int = POSTINGS) -> DataFrame:
+    """(shard, word, block, postings sorted by key, df of the block). Postings hold the document's length, so that scoring reads nothing else.
+
+    A word's postings in a shard are cut into blocks of about ``most`` by a hash of the document, so that no row and no
+    task holds an unbounded list; words with fewer have block 0 alone.  ``terms`` should be a table: it is read twice.
+    """
+    placed = terms.withColumn("shard", shard)
+    many = placed.groupBy("shard", "word").agg(F.count("*").alias("n")).where(F.col("n") > most).select("shard", "word", F.ceil(F.col("n") / most).alias("blocks"))
+    cut = placed.join(many, ["shard", "word"], "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64(key), "blocks"), F.lit(0)).cast("int"))
+    return cut.groupBy("shard", "word", "block").agg(F.sort_array(F.collect_list(F.struct(key, "tf", "dl"))).alias("postings")).withColumn("df", F.size("postings"))
 
 
 def document_frequencies(terms: DataFrame) -> DataFrame:
     return terms.groupBy("word").agg(F.count("*").alias("df"))
 
 
-def lengths(terms: DataFrame, key: str) -> DataFrame:
-    return terms.groupBy(key).agg(F.sum("tf").alias("dl"))
-
-
 def totals(docs: DataFrame, terms: DataFrame, text: str) -> DataFrame:
     """(passages, garbled, tokens): one row; an empty corpus gives noughts."""
     a = docs.agg(F.count("*").alias("passages"), F.coalesce(F.sum(F.coalesce(F.instr(F.col(text), "�") > 0, F.lit(False)).cast("bigint")), F.lit(0)).alias("garbled"))
@@ -38,29 +47,43 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (n.cast("double") - df + half) / (df + half))
 
 
-def bm25_scores(terms: DataFrame, key: str, n_docs: DataFrame, queries: DataFrame, query: str = "query_id", words: str = "tokens", by: list[str] = ()) -> DataFrame:
-    """(query, key, score): every document that shares a word with a query; a repeated query word counts again.
+#: Up to so many of the queries' words stand in the plan, where the scan of the index can skip what has none of them.
+WORDS_IN_PLAN = 1_000
+
+
+def asked_words(queries: DataFrame, query: str = "query_id", words: str = "tokens") -> DataFrame:
+    """(query, word, times); a repeated word counts again."""
+    return queries.select(query, F.explode_outer(words).alias("word")).where("word is not null").groupBy(query, "word").agg(F.count("*").alias("times"))
+
 
-    ``n_docs`` has one row (n, or one per ``by``): the number of documents, those without words included.  ``by`` scores
-    each shard with statistics of its own.  Only the queries' words are looked up: the index is filtered by a semi join
-    before anything is shuffled.  A word that a third of all documents hold is spread by the document's key.
+def of_words(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """The index's rows of the asked words: by a filter that reaches the scan where they are few, else by a semi join."""
+    few = [r["word"] for r in asked.select("word").distinct().limit(WORDS_IN_PLAN + 1).collect()]
+    return index.where(F.col("word").isin(few)) if len(few) <= WORDS_IN_PLAN else index.join(asked.select("word").distinct(), "word", "left_semi")
+
+
+def bm25_scores(terms: DataFrame, key: str, size: DataFrame, asked: DataFrame, query: str = "query_id", by: list[str] = (), stats: DataFrame | None = None) -> DataFrame:
+    """(query, key, by..., score): every document that shares a word with a query.
+
+    ``terms`` has (key, dl, word, tf), ``asked`` is made by ``asked_words`` and ``size`` has one row (n, tokens), or one
+    per ``by``: the number of documents, those without words included, and of words.  ``by`` scores each shard with
+    statistics of its own.  ``stats`` has (word, df) where it is stored; else it is counted from the asked words'
+    postings.  Only those are looked at: nothing here reads the rest of the index.  A word that a third of all documents
+    hold is spread by the document's key.
     """
     by = list(by)
-    asked = queries.select(query, F.explode_outer(words).alias("word")).where("word is not null").groupBy(query, "word").agg(F.count("*").alias("times"))
-    dl = terms.groupBy(*by, key).agg(F.sum("tf").alias("dl"))
-    words_total = F.sum("dl").cast("double").alias("tokens")
     hit = terms.join(asked.select("word").distinct(), "word", "left_semi")
-    df = hit.groupBy(*by, "word").agg(F.count("*").alias("df"))
+    df = hit.groupBy(*by, "word").agg(F.count("*").alias("df")) if stats is None else stats.select(*by, "word", "df")
     weighted = asked.join(df, "word")
     if by:
-        weighted = weighted.join(dl.groupBy(*by).agg(words_total).join(n_docs, by), by)
+        weighted = weighted.join(size, by)
     else:
-        weighted = weighted.withColumns({"tokens": dl.agg(words_total).scalar(), "n": n_docs.select("n").scalar()})
-    weighted = weighted.select(query, "word", *by, "times", idf(F.col("n"), F.col("df")).alias("idf"), (F.col("tokens") / F.col("n")).alias("avgdl"))
-    scored = hit.join(dl, [*by, key]).join(weighted, [*by, "word"])
+        weighted = weighted.withColumns({c: size.select(c).scalar() for c in ("tokens", "n")})
+    weighted = weighted.select(query, "word", *by, "times", idf(F.col("n"), F.col("df")).alias("idf"), (F.col("tokens").cast("double") / F.col("n")).alias("avgdl"))
+    scored = hit.join(weighted, [*by, "word"])
     tf, k1, b = F.col("tf").cast("double"), F.lit(K1), F.lit(B)
     part = F.col("times") * F.col("idf") * tf * (k1 + 1.0) / (tf + k1 * (F.lit(1.0) - b + b * F.col("dl") / F.col("avgdl")))
-    return scored.groupBy(query, key).agg(F.sum(part).alias("score"))
+    return scored.groupBy(query, key, *by).agg(F.sum(part).alias("score"))
 
 
 def top_k(scored: DataFrame, query: str, order: list[Column], k: int) -> DataFrame:
@@ -73,6 +96,12 @@ def best(scored: DataFrame, query: str, key: str, k: int) -> DataFrame:
     return top_k(scored.withColumn("__s", F.round("score", 12)), query, [F.desc("__s"), F.asc(key)], k).drop("__s")
 
 
+def best_of_shards(scored: DataFrame, query: str, key: str, k: int, shard: str = "shard") -> DataFrame:
+    """``best`` by scatter and gather: each shard gives its own k, of which the k best stay."""
+    local = scored.withColumn("__s", F.round("score", 12)).withColumn("__r", F.row_number().over(W.partitionBy(query, shard).orderBy(F.desc("__s"), F.asc(key)))).where(F.col("__r") <= k)
+    return best(local.drop("__s", "__r"), query, key, k)
+
+
 def unit(v: Column) -> Column:
     """A vector of length one; a null vector of noughts stays as it is."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -83,42 +112,51 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query: str, k: int, block: int = 4096) -> DataFrame:
-    """The k nearest vectors of each query by cosine, itself left out: queries in blocks against all rows, k per task, then k per query.
+def cosine_top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query: str, k: int, block: int = 4096, itself: bool = False) -> DataFrame:
+    """The k nearest vectors of each query by cosine: queries in blocks against all rows, k per task, then k per query. A row with the query's own number is left out unless ``itself``.
 
-    The queries' size is checked: each block of at most ``block`` vectors is sent to the tasks and its task-local bests
-    are all that is shuffled.
+    The driver and the tasks hold one block of queries at a time, of at most ``block`` vectors; the results of a block are
+    written before the next one is read.
     """
+    import itertools
+
+    waiting = out = None
+    rows = iter(queries.select(query, vector).where(F.col(vector).isNotNull()).toLocalIterator())
+    while part := list(itertools.islice(rows, block)):
+        if waiting is not None:
+            waiting = storage.staged(waiting, "nearest")
+            out = waiting if out is None else out.unionByName(waiting)
+        waiting = best(_nearest_of_block(vectors, key, vector, part, query, k, itself), query, key, k)
+    if waiting is None:
+        return vectors.sparkSession.createDataFrame([], f"{query} long, {key} long, score double, rank int")
+    return waiting if out is None else out.unionByName(waiting)
+
+
+def _nearest_of_block(vectors: DataFrame, key: str, vector: str, part: list, query: str, k: int, itself: bool) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    rows = [(r[query], np.asarray(r[vector], np.float64)) for r in queries.select(query, vector).where(F.col(vector).isNotNull()).toLocalIterator()]
-    out = None
-    for at in range(0, len(rows), block):
-        part = rows[at : at + block]
-        ids = np.array([p[0] for p in part])
-        q = np.stack([p[1] / (np.linalg.norm(p[1]) or 1.0) for p in part]).T.copy()
-
-        def run(frames, ids=ids, q=q):
-            for pdf in frames:
-                if not len(pdf):
-                    continue
-                v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-                norms = np.linalg.norm(v, axis=1, keepdims=True)
-                s = (v / np.where(norms == 0, 1.0, norms)) @ q
-                keys = pdf["k"].to_numpy()
+    ids = np.array([r[query] for r in part])
+    asked = [np.asarray(r[vector], np.float64) for r in part]
+    q = np.stack([v / (np.linalg.norm(v) or 1.0) for v in asked]).T.copy()
+
+    def run(frames):
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+            norms = np.linalg.norm(v, axis=1, keepdims=True)
+            s = (v / np.where(norms == 0, 1.0, norms)) @ q
+            keys = pdf["k"].to_numpy()
+            if not itself:
                 s[keys[:, None] == ids[None, :]] = -np.inf
-                take = min(k, len(keys))
-                # All rows that tie with the k-th stay, so that ties are settled by key in the end.
-                least = np.partition(s, len(keys) - take, axis=0)[len(keys) - take]
-                r, c = np.nonzero((s >= least - 1e-12) & np.isfinite(s))
-                yield pd.DataFrame({query: ids[c], key: keys[r], "score": s[r, c]})
-
-        one = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(run, f"{query} long, {key} long, score double")
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], f"{query} long, {key} long, score double, rank int")
-    return best(out, query, key, k)
+            take = min(k, len(keys))
+            # All rows that tie with the k-th stay, so that ties are settled by key in the end.
+            least = np.partition(s, len(keys) - take, axis=0)[len(keys) - take]
+            r, c = np.nonzero((s >= least - 1e-12) & np.isfinite(s))
+            yield pd.DataFrame({query: ids[c], key: keys[r], "score": s[r, c]})
+
+    return vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(run, f"{query} long, {key} long, score double")
 
 
 def fused(keyword: DataFrame, vector: DataFrame, query: str, key: str, k: int, c: int = 60) -> DataFrame:
@@ -169,12 +207,15 @@ def provenance_problems(answer: Column, sources: Column) -> Column:
     return F.flatten(F.transform(sentences(answer), of))
 
 
+#: What a model answers that finds nothing, and what each refusal is called (fixed values).
 REFUSED = "NOT_IN_SOURCES"
+REASONS = {"none": "no cards", "weak": "weak retrieval", "refused": "model found no answer in the sources", "failed": "provenance failed: "}
 
 
 def answer_outcome(best_score: Column, draft: Column, problems: Column, threshold: float = 3.0) -> Column:
     """Why an answer is refused, in fixed order: weak retrieval, the model's own refusal, provenance; else 'ok'."""
-    return F.when(best_score.isNull(), "no cards").when(best_score < threshold, "weak retrieval").when(F.contains(draft, F.lit(REFUSED)), "model found no answer in the sources").when(F.size(problems) > 0, F.concat(F.lit("provenance failed: "), F.array_join(problems, "; "))).otherwise("ok")
+    failed = F.concat(F.lit(REASONS["failed"]), F.array_join(problems, "; "))
+    return F.when(best_score.isNull(), REASONS["none"]).when(best_score < threshold, REASONS["weak"]).when(F.contains(draft, F.lit(REFUSED)), REASONS["refused"]).when(F.size(problems) > 0, failed).otherwise("ok")
 
 
 def prompt(question: Column, cards: Column) -> Column:

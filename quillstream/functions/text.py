@@ -38,8 +38,8 @@ def fold(text: Column) -> Column:
 
 
 def python_tokens(text: str) -> list[str]:
-    """The rule for any script: decompose, drop marks, fold ligatures, lower, runs of letters and digits."""
-    t = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    """The rule for any script: decompose, drop marks, compose what is left (syllables of Hangul), fold ligatures, lower, runs of letters and digits."""
+    t = unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)))
     return re.findall(r"[^\W_]+", t.translate(str.maketrans(LIGATURES)).lower())
 
 
@@ -99,8 +99,9 @@ def passages(text: Column, most: int = MAX_CHARS) -> Column:
 
 
 def title(text: Column, fallback: Column) -> Column:
-    """The first line without blanks and brackets, or the fallback."""
-    first = F.trim(F.btrim(F.trim(F.substring_index(text, "\n", 1)), F.lit("[]")))
+    """The first line without blanks of any kind and brackets at its ends, or the fallback."""
+    strip = lambda c: F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    first = strip(F.btrim(strip(F.substring_index(text, "\n", 1)), F.lit("[]")))
     return F.coalesce(F.when(F.length(first) > 0, first), fallback)
 
 

@@ -29,7 +29,7 @@ def asof_left(left: DataFrame, right: DataFrame, on: tuple[str, str], by: list[s
     keys = [f"__k{i}" for i in range(len(by))]
     l = left.withColumns({"__t": number(left, lt), "__s": F.floor(number(left, lt) / slice_width).cast("long"), "__one": F.when(number(left, lt).isNotNull(), 1)} | {k: F.col(b) for k, b in zip(keys, by, strict=True)})
     r = right.where(F.col(rt).isNotNull()).select(*[F.col(b).alias(k) for k, b in zip(keys, by, strict=True)], F.struct(*[F.col(c).alias(c) for c in carry]).alias("__c"), number(right, rt).alias("__from"))
-    r = r.withColumn("__to", F.lead("__from").over(W.partitionBy(*(keys or [F.lit(1)])).orderBy("__from")))
+    r = _held_until(r, keys, slice_width)
     covered = F.sequence(F.floor(F.col("__from") / slice_width).cast("long"), F.floor((F.col("__to") - 1) / slice_width).cast("long"))
     closed = r.where("__to is not null").select(*[F.col(k).alias(f"{k}c") for k in keys], F.explode(covered).alias("__sc"), "__from", "__to", F.col("__c").alias("__closed"))
     last = r.where("__to is null").select(*[F.col(k).alias(f"{k}l") for k in keys], F.when(F.col("__from").isNotNull(), 1).alias("__onel"), F.col("__from").alias("__since"), F.col("__c").alias("__last"))
@@ -39,3 +39,14 @@ def asof_left(left: DataFrame, right: DataFrame, on: tuple[str, str], by: list[s
     joined = l.join(sent(closed), reduce(lambda x, y: x & y, on_slice), "left").join(sent(last), reduce(lambda x, y: x & y, on_last), "left")
     held = F.coalesce("__last", "__closed")
     return joined.select(*left.columns, *[held[c].alias(c) for c in carry])
+
+
+def _held_until(r: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """``__to``: when the next right row of the same keys begins to hold; null for the last."""
+    sliced = r.withColumn("__rs", F.floor(F.col("__from") / width).cast("long"))
+    firsts = sliced.groupBy(*keys, "__rs").agg(F.min("__from").alias("__first"))
+    after = firsts.withColumn("__after", F.lead("__first").over(W.partitionBy(*(keys or [F.lit(1)])).orderBy("__rs")))
+    same = reduce(lambda a, b: a & b, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "__rs"]))
+    joined = sliced.alias("a").join(after.alias("b"), same, "left").select("a.*", "b.__after")
+    inside = F.lead("__from").over(W.partitionBy(*keys, "__rs").orderBy("__from"))
+    return joined.withColumn("__to", F.coalesce(inside, F.col("__after"))).drop("__rs", "__after")

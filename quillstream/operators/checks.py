@@ -94,3 +94,10 @@ def reconciliation(settled: DataFrame, cash: DataFrame, as_of: datetime | Column
     young = F.unix_timestamp(now) - F.unix_timestamp(closed) < SETTLING_HOURS * 3600
     state = F.when(same, "match").when(young, "settling").otherwise("broken")
     return joined.select("settlement_date", "currency", (zero("cash_net") - F.col("net_minor")).alias("off_minor"), state.alias("state"))
+
+
+def over_refunded(fact: DataFrame) -> DataFrame:
+    """(charge_id, captured, refunded) of charges whose refunds exceed what was captured; amounts are signed. A refund without a charge isn't judged."""
+    total = lambda kind, sign: F.coalesce(F.sum(F.when(F.col("event_type") == kind, sign * F.col("amount_minor"))), F.lit(0)).cast("bigint")
+    sums = fact.where("charge_id is not null").groupBy("charge_id").agg(total("capture", 1).alias("captured"), total("refund", -1).alias("refunded"), F.count_if(F.col("event_type") == "capture").alias("taken"))
+    return sums.where("taken > 0 and refunded > captured").drop("taken")

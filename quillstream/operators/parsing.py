@@ -17,6 +17,11 @@ def at(raw: str, path: str) -> Column:
     return F.get_json_object(F.col(raw), path)
 
 
+def held(parsed: str, path: str) -> Column:
+    """Text of a place of a parsed payload; JSON null is null, an object or array is its JSON text."""
+    return F.try_variant_get(F.col(parsed), path, "string")
+
+
 def whole(text: Column) -> Column:
     """A whole number from text, rounding fractions half up; null where it is none."""
     return F.round(text.try_cast("decimal(38,6)"), 0).try_cast("bigint")
@@ -25,18 +30,18 @@ def whole(text: Column) -> Column:
 #: Where each payment API version holds a field; a new version is one more entry and a replay.
 PAYMENT_PARSERS: dict[str, dict[str, Callable[[str], Column]]] = {
     "2025-11-01": {
-        "charge_id": lambda j: at(j, "$.data.object.id"),
-        "refund_id": lambda j: at(j, "$.data.object.refund.id"),
-        "order_id": lambda j: at(j, "$.data.object.order_id"),
-        "amount": lambda j: F.coalesce(at(j, "$.data.object.refund.amount"), at(j, "$.data.object.amount")),
-        "currency": lambda j: at(j, "$.data.object.currency"),
+        "charge_id": lambda j: held(j, "$.data.object.id"),
+        "refund_id": lambda j: held(j, "$.data.object.refund.id"),
+        "order_id": lambda j: held(j, "$.data.object.order_id"),
+        "amount": lambda j: F.coalesce(held(j, "$.data.object.refund.amount"), held(j, "$.data.object.amount")),
+        "currency": lambda j: held(j, "$.data.object.currency"),
     },
     "2026-08-01": {
-        "charge_id": lambda j: F.coalesce(at(j, "$.data.object.charge"), at(j, "$.data.object.id")),
-        "refund_id": lambda j: F.when(at(j, "$.data.object.object") == "refund", at(j, "$.data.object.id")),
-        "order_id": lambda j: at(j, "$.data.object.metadata.order_id"),
-        "amount": lambda j: at(j, "$.data.object.amount.value"),
-        "currency": lambda j: at(j, "$.data.object.amount.currency"),
+        "charge_id": lambda j: F.coalesce(held(j, "$.data.object.charge"), held(j, "$.data.object.id")),
+        "refund_id": lambda j: F.when(held(j, "$.data.object.object") == "refund", held(j, "$.data.object.id")),
+        "order_id": lambda j: held(j, "$.data.object.metadata.order_id"),
+        "amount": lambda j: held(j, "$.data.object.amount.value"),
+        "currency": lambda j: held(j, "$.data.object.amount.currency"),
     },
 }
 
@@ -64,8 +69,8 @@ def payment_events(bronze: DataFrame, raw: str = "_raw", enabled: list[str] | No
     Tests follow SQL's three values: an absent version isn't an unsupported one, an absent currency passes.
     """
     enabled = list(PAYMENT_PARSERS) if enabled is None else enabled
-    rows = bronze.withColumn("__j", F.when(valid_json(F.col(raw)), F.col(raw)))
-    rows = rows.withColumns({"event_id": at("__j", "$.id"), "__type": at("__j", "$.type"), "api_version": at("__j", "$.api_version"), "created_at": F.timestamp_seconds(at("__j", "$.created").try_cast("bigint"))})
+    rows = bronze.withColumn("__j", F.try_parse_json(F.col(raw)))  # parsed once, whatever is read from it
+    rows = rows.withColumns({"event_id": held("__j", "$.id"), "__type": held("__j", "$.type"), "api_version": held("__j", "$.api_version"), "created_at": F.timestamp_seconds(held("__j", "$.created").try_cast("bigint"))})
     rows = rows.withColumns({f: by_version(f, "__j", enabled) for f in ("charge_id", "refund_id", "order_id", "amount", "currency")})
     rows = rows.withColumn("amount_minor", whole(F.col("amount"))).withColumn("currency", F.lower("currency"))
     types = ["charge.succeeded", "charge.refunded"]
@@ -84,15 +89,15 @@ def payment_events(bronze: DataFrame, raw: str = "_raw", enabled: list[str] | No
 
 
 def order_changes(bronze: DataFrame, raw: str = "_raw") -> DataFrame:
-    """Bronze change events, parsed: a delete's row image is its ``before``, any other's its ``after``."""
-    rows = bronze.withColumn("__j", F.when(valid_json(F.col(raw)), F.col(raw)))
-    rows = rows.withColumns({"op": at("__j", "$.op"), "lsn": whole(at("__j", "$.source.lsn"))})
-    rows = rows.withColumn("__r", F.when(F.col("op") == "d", at("__j", "$.before")).otherwise(at("__j", "$.after")))
-    fields = {f: at("__r", f"$.{f}") for f in ("order_id", "customer_id", "status", "ship_region")}
-    fields |= {"currency": F.lower(at("__r", "$.currency")), "total_minor": whole(at("__r", "$.total_minor"))}
-    fields |= {f: at("__r", f"$.{f}").try_cast("timestamp") for f in ("created_at", "updated_at")}
+    """Bronze change events, parsed once: a delete's row image is its ``before``, any other's its ``after``."""
+    rows = bronze.withColumn("__j", F.try_parse_json(F.col(raw)))
+    rows = rows.withColumns({"op": held("__j", "$.op"), "lsn": whole(held("__j", "$.source.lsn"))})
+    image = lambda f: F.when(F.col("op") == "d", held("__j", f"$.before.{f}")).otherwise(held("__j", f"$.after.{f}"))
+    fields = {f: image(f) for f in ("order_id", "customer_id", "status", "ship_region")}
+    fields |= {"currency": F.lower(image("currency")), "total_minor": whole(image("total_minor"))}
+    fields |= {f: image(f).try_cast("timestamp") for f in ("created_at", "updated_at")}
     rows = rows.withColumns(fields)
-    return rows.withColumn("quarantine_reason", order_reason(F.col("__j").isNull())).drop("__j", "__r")
+    return rows.withColumn("quarantine_reason", order_reason(F.col("__j").isNull())).drop("__j")
 
 
 def order_reason(unparseable: Column) -> Column:

@@ -222,8 +222,11 @@ def build_index(spark: SparkSession, lake: str, build: str, shards: int = 4, by_
     terms = storage.staged(search.slips(text.with_tokens(passages.select("passage_id", "text"), "text"), "passage_id"), "slips")
     shard = text.letter_shard(F.col("word"), shards) if by_letter else text.hash_shard(F.col("passage_id"), shards)
     out = f"{lake}/builds/{build}"
-    search.inverted_index(terms, "passage_id", shard).write.mode("overwrite").partitionBy("shard").parquet(f"{out}/index")
-    search.document_frequencies(terms).write.mode("overwrite").parquet(f"{out}/stats")
+    # In order of words, so that a scan for a few of them skips the rest by the files' statistics.
+    search.inverted_index(terms, "passage_id", shard).sortWithinPartitions("shard", "word", "block").write.mode("overwrite").partitionBy("shard").parquet(f"{out}/index")
+    search.document_frequencies(terms).sortWithinPartitions("word").write.mode("overwrite").parquet(f"{out}/stats")
+    sizes = terms.withColumn("shard", shard).groupBy("shard").agg(F.countDistinct("passage_id").alias("n"), F.sum("tf").alias("tokens"))
+    sizes.write.mode("overwrite").parquet(f"{out}/shards")
     row = search.totals(passages, terms, "text").first()
     storage.write_text_atomically(spark, f"{out}/corpus.json", json.dumps(row.asDict()))
 
@@ -257,17 +260,23 @@ def publish_index(spark: SparkSession, lake: str, build: str, canaries: str) ->
 
 
 def search_index(spark: SparkSession, lake: str, queries: DataFrame, k: int = 5, local_idf: bool = False) -> DataFrame:
-    """(query_id, passage_id, rank, score, title, text) from the published build; only the queries' words are read of the index."""
+    """(query_id, passage_id, rank, score, title, text) from the published build.
+
+    Of the index and its statistics only the queries' words are read, by a filter that reaches the scan; lengths are in the
+    postings and totals in the build's corpus.json.  The shards' own best are gathered into one ranking.
+    """
     current = storage.read_text(spark, f"{lake}/CURRENT")
-    index = spark.read.parquet(f"{lake}/{current}/index")
+    asked = search.asked_words(text.with_tokens(queries, "text"))
+    index = search.of_words(spark.read.parquet(f"{lake}/{current}/index"), asked)
     terms = index.select("shard", "word", F.inline("postings"))
     passages = spark.read.parquet(f"{lake}/reading-list/passages")
-    asked = text.with_tokens(queries, "text")
     if local_idf:
-        of = terms.select("passage_id", "shard").distinct()
-        scored = search.bm25_scores(terms, "passage_id", of.groupBy("shard").agg(F.count("*").alias("n")), asked, by=["shard"])
+        size = spark.read.parquet(f"{lake}/{current}/shards")
+        scored = search.bm25_scores(terms, "passage_id", size, asked, by=["shard"])
     else:
-        scored = search.bm25_scores(terms.drop("shard"), "passage_id", passages.agg(F.count("*").alias("n")), asked)
-    hits = search.best(scored, "query_id", "passage_id", k)
+        whole = json.loads(storage.read_text(spark, f"{lake}/{current}/corpus.json"))
+        size = spark.createDataFrame([(whole["passages"], whole["tokens"])], "n long, tokens long")
+        scored = search.bm25_scores(terms.drop("shard"), "passage_id", size, asked, stats=search.of_words(spark.read.parquet(f"{lake}/{current}/stats"), asked))
+    hits = search.best_of_shards(scored, "query_id", "passage_id", k) if local_idf else search.best(scored, "query_id", "passage_id", k)
     shown = passages.join(spark.read.parquet(f"{lake}/reading-list/books").select("book", "title"), "book")
     return hits.join(shown.select("passage_id", "title", "text"), "passage_id")

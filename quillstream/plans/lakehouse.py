@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..operators import asof, checks, merge, parsing
 from ..session import table
 
@@ -141,7 +142,8 @@ def order_revenue(fact: DataFrame, found_rates: DataFrame) -> DataFrame:
 
 def q14_order_revenue(spark, sf):
     """The mart after a second batch: only days that new events or changed orders touch are built again."""
-    fact = payments_fact(spark, sf).where("order_date is not null")
+    needed = ["order_date", "ship_region", "event_type", "order_id", "currency", "amount_minor", "_batch_seq"]
+    fact = storage.staged(payments_fact(spark, sf).where("order_date is not null").select(*needed), "fact")  # read three times
     found = rates(spark, sf).select("currency", F.col("rate_date").alias("fx_rate_date"), F.col("rate").alias("fx_rate"))
     before = order_revenue(fact.where(F.col("_batch_seq") <= CUT_SEQ), found)
     touched = fact.where(F.col("_batch_seq") > CUT_SEQ).select("order_date").union(alive_orders(spark, sf).where(F.col("order_seq") > CUT_SEQ).select("order_date")).distinct()
@@ -167,10 +169,10 @@ def q16_reconciliation(spark, sf):
 
 
 def q17_refunds_within_charge(spark, sf):
-    fact = table(spark, sf, "fct_payments")
-    captured = fact.where("event_type = 'capture'").groupBy("charge_id").agg(F.sum("amount_minor").cast("bigint").alias("captured"))
-    refunded = fact.where("event_type = 'refund'").groupBy("charge_id").agg((-F.sum("amount_minor")).cast("bigint").alias("refunded"))
-    return refunded.join(captured, "charge_id").where("refunded > captured")
+    """Charges that gave back more than they took, were every tenth order's refunds sent once more, larger."""
+    fact = table(spark, sf, "fct_payments").select("charge_id", "event_type", "amount_minor", "order_id")
+    more = fact.where((F.col("event_type") == "refund") & F.col("order_id").endswith("7")).withColumn("amount_minor", F.col("amount_minor") * 3)
+    return checks.over_refunded(fact.unionByName(more))
 
 
 def q18_conservation(spark, sf):
@@ -196,8 +198,8 @@ def naive_events(spark, sf):
 
 def q20_waterfall(spark, sf):
     """A naive monthly total, corrected one mistake at a time: six totals in one pass, and what each step changed."""
-    found = rates(spark, sf).where("currency = 'usd'").select(F.col("rate_date").alias("fx_rate_date"), F.col("rate").alias("fx_rate"))
-    rows = asof.asof_left(naive_events(spark, sf), found, on=("day", "fx_rate_date"), carry=["fx_rate"])
+    found = rates(spark, sf).where("currency = 'usd'").select("currency", F.col("rate_date").alias("fx_rate_date"), F.col("rate").alias("fx_rate"))
+    rows = asof.asof_left(naive_events(spark, sf), found, on=("day", "fx_rate_date"), by=["currency"], carry=["fx_rate"])
     capture, refund = F.col("type") == "charge.succeeded", F.col("type") == "charge.refunded"
     once = ~F.col("resend")
     first = once & F.col("first_delivery")
@@ -339,8 +341,9 @@ SQL = {
     "q16_reconciliation": f"""with s as ({_LATEST}), c as (select processor_date, lower(trim(currency)) as currency, captured_minor, refunded_minor, net_minor from mart_daily_cash)
       select cast(settlement_date as varchar) as settlement_date, s.currency, coalesce(c.net_minor, 0) - s.net_minor as off_minor, case when s.gross_minor is not distinct from coalesce(captured_minor, 0) and s.refunds_minor is not distinct from coalesce(refunded_minor, 0) and s.net_minor is not distinct from coalesce(c.net_minor, 0) then 'match'
       when epoch(timestamptz '2026-08-20 12:00:00+00') - epoch(cast(settlement_date + 1 as timestamp)) < 172800 then 'settling' else 'broken' end as state from s left join c on c.processor_date = s.settlement_date and c.currency = s.currency""",
-    "q17_refunds_within_charge": """with c as (select charge_id, sum(amount_minor)::bigint as captured from fct_payments where event_type = 'capture' group by 1), r as (select charge_id, (-sum(amount_minor))::bigint as refunded from fct_payments where event_type = 'refund' group by 1)
-      select charge_id, refunded, captured from r join c using (charge_id) where refunded > captured""",
+    "q17_refunds_within_charge": """with a as (select charge_id, event_type, amount_minor from fct_payments union all select charge_id, event_type, 3 * amount_minor from fct_payments where event_type = 'refund' and order_id like '%7'),
+      s as (select charge_id, coalesce(sum(amount_minor) filter (event_type = 'capture'), 0)::bigint as captured, coalesce(-sum(amount_minor) filter (event_type = 'refund'), 0)::bigint as refunded, count(*) filter (event_type = 'capture') as taken from a where charge_id is not null group by 1)
+      select charge_id, captured, refunded from s where taken > 0 and refunded > captured""",
     "q18_conservation": f"""with s as (select count(*) as silver_rows, sum(case event_type when 'capture' then amount_minor else -amount_minor end)::bigint as silver_net from ({_FIRST.format('')})), g as (select count(*) as gold_rows, sum(amount_minor)::bigint as gold_net from fct_payments)
       select *, case when silver_rows is not distinct from gold_rows and silver_net is not distinct from gold_net then 'PASS' else 'BLOCK' end as status from s, g""",
     "q19_rate_coverage": """with a as (select sum(case when fx_rate is null then 1 else 0 end)::bigint as missing, coalesce(max(case when currency <> 'cad' then date_diff('day', fx_rate_date, processor_date) end), 0)::bigint as oldest_days from fct_payments)

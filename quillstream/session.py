@@ -7,9 +7,11 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int | None = None, app: str = "quillstream", memory: str = "20g") -> SparkSession:
+def local_session(cpus: int | None = None, app: str = "quillstream", memory: str | None = None) -> SparkSession:
     """A local session in UTC, with adaptive execution and as many shuffle partitions as cores."""
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
+    # Half of what the machine has: the rest is for Python.
+    memory = memory or f"{max(2, os.sysconf('SC_PAGE_SIZE') * os.sysconf('SC_PHYS_PAGES') >> 31)}g"
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import urllib.parse
 import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -79,14 +80,22 @@ class Lake:
         storage.write_text_atomically(self.spark, f"{self.path}/log/{name}.json", "".join(json.dumps(r) + "\n" for r in rows))
 
     # Taking in ----------------------------------------------------------------------------------
-    def landed(self, source: str, through: datetime) -> DataFrame:
-        """(file, content, sha256, arrived): landing files of a source up to a time. Their bytes are hashed by the tasks that read them."""
+    def names(self, source: str, through: datetime) -> DataFrame:
+        """(file, path, arrived): landing files of a source up to a time, from the listing alone; no file is opened."""
         if not self._exists(f"{self.path}/landing/{source}"):
-            return self.spark.createDataFrame([], "file string, content binary, sha256 string, arrived timestamp")
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.path}/landing/{source}")
+            return self.spark.createDataFrame([], "file string, path string, arrived timestamp")
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.path}/landing/{source}").select("path")
         name = F.concat(F.lit(f"{source}/"), F.regexp_extract("path", rf"/landing/{source}/(.*)$", 1))
-        out = files.select(name.alias("file"), "content", F.sha2("content", 256).alias("sha256"), arrived_at(F.col("path")).alias("arrived"))
-        return out.where(F.col("arrived") <= F.lit(through))
+        return files.select(name.alias("file"), "path", arrived_at(F.col("path")).alias("arrived")).where(F.col("arrived") <= F.lit(through))
+
+    def contents(self, names: DataFrame) -> DataFrame:
+        """(file, content, sha256, arrived) of the given files alone, hashed by the tasks that read them."""
+        paths = [r["path"] for r in names.select("path").collect()]  # Spark's own listing of them holds no less
+        if not paths:
+            return self.spark.createDataFrame([], "file string, content binary, sha256 string, arrived timestamp")
+        files = self.spark.read.format("binaryFile").load([urllib.parse.unquote(p) if "%" in p else p for p in paths])
+        name = F.regexp_extract("path", r"/landing/(.*)$", 1)
+        return files.select(name.alias("file"), "content", F.sha2("content", 256).alias("sha256"), arrived_at(F.col("path")).alias("arrived"))
 
     def sweep_orphans(self) -> int:
         """Delete batch folders that the log doesn't list; how many there were."""
@@ -107,22 +116,22 @@ class Lake:
         now = now or datetime.now(timezone.utc)
         done = []
         for source in SOURCES:
-            log = self.manifest().cache()
-            new = self.landed(source, through).join(log.select("file"), "file", "left_anti")
+            log = self.manifest()
+            new = self.names(source, through).join(log.select("file"), "file", "left_anti")
+            new = storage.staged(self.contents(new), "landed")  # read from the landing folder once
             hashes = new.select("file", "sha256", "arrived").join(log.where("batch_id is not null").select("sha256", F.lit(True).alias("__old")).distinct(), "sha256", "left")
             from ..operators.merge import flag_first
 
             flags = flag_first(hashes, ["sha256"], [F.asc("file")], "first").withColumn("fresh", F.col("first") & F.col("__old").isNull())
             listing = sorted(flags.select("file", "sha256", "fresh").collect())  # the batch's file names: one log line each
             seq = (log.agg(F.max("batch_seq")).first()[0] or 0) + 1
-            log.unpersist()
             fresh = [(f, h) for f, h, ok in listing if ok]
             stamp = now.isoformat()
             rows = [{"source": source, "batch_id": None, "batch_seq": None, "parquet": None, "ingested_at": stamp, "file": f, "sha256": h} for f, h, ok in listing if not ok]
             if fresh:
                 batch_id = self._batch_id([h for _, h in fresh])
                 place = f"bronze/{source}/ingest_date={now:%Y-%m-%d}/{batch_id}"
-                n = self._write(source, through, fresh, place, batch_id, seq, now)
+                n = self._write(new, fresh, place, batch_id, seq, now)
                 rows += [{"source": source, "batch_id": batch_id, "batch_seq": seq, "parquet": place, "ingested_at": stamp, "file": f, "sha256": h} for f, h in fresh]
                 done.append(Batch(source, batch_id, seq, len(fresh), n, len(listing) - len(fresh)))
             if rows:
@@ -134,9 +143,9 @@ class Lake:
         df = self.spark.createDataFrame([(h,) for h in hashes], "h string")
         return df.agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256), 1, 16)).first()[0]
 
-    def _write(self, source: str, through: datetime, fresh: list[tuple[str, str]], place: str, batch_id: str, seq: int, now: datetime) -> int:
+    def _write(self, new: DataFrame, fresh: list[tuple[str, str]], place: str, batch_id: str, seq: int, now: datetime) -> int:
         names = self.spark.createDataFrame(fresh, "file string, sha256 string").select("file")
-        files = self.landed(source, through).join(names, "file", "left_semi")
+        files = new.join(names, "file", "left_semi")
         rows = lines(files).join(files.select("file", "sha256", "arrived"), "file")
         rows = rows.select(F.col("raw").alias("_raw"), F.col("file").alias("_landing_file"), F.col("line").cast("int").alias("_line"), F.col("sha256").alias("_file_sha256"), F.col("arrived").alias("_arrived_at"), F.lit(batch_id).alias("_batch_id"), F.lit(seq).cast("long").alias("_batch_seq"), F.lit(now).cast("timestamp").alias("_ingested_at"))
         rows.repartitionByRange("_arrived_at", "_landing_file", "_line").sortWithinPartitions("_arrived_at", "_landing_file", "_line").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{place}")
@@ -151,4 +160,4 @@ class Lake:
 
     def naive_lines(self, source: str, through: datetime) -> DataFrame:
         """Landing lines as somebody in a hurry reads them: every file, malformed lines null."""
-        return lines(self.landed(source, through).select("file", "content")).withColumn("json", F.when(F.try_parse_json("raw").isNotNull(), F.col("raw")))
+        return lines(self.contents(self.names(source, through)).select("file", "content")).withColumn("json", F.when(F.try_parse_json("raw").isNotNull(), F.col("raw")))

@@ -75,8 +75,9 @@ def test_bm25_against_brute_force_and_shards_agree(spark):
     d = spark.createDataFrame(docs, "id int, tokens array<string>")
     q = spark.createDataFrame(qs, "query_id int, tokens array<string>")
     terms = search.slips(d, "id")
-    n = spark.createDataFrame([(60,)], "n long")
-    got = {(r["query_id"], r["id"]): r["score"] for r in search.bm25_scores(terms, "id", n, q).collect()}
+    n = spark.createDataFrame([(60, sum(len(ws) for _, ws in docs))], "n long, tokens long")
+    asked = search.asked_words(q)
+    got = {(r["query_id"], r["id"]): r["score"] for r in search.bm25_scores(terms, "id", n, asked).collect()}
     df = Counter(w for _, ws in docs for w in set(ws))
     avg = sum(len(ws) for _, ws in docs) / 60
     for qid, ws in qs:
@@ -84,8 +85,20 @@ def test_bm25_against_brute_force_and_shards_agree(spark):
             s = sum(math.log(1 + (60 - df[w] + 0.5) / (df[w] + 0.5)) * words.count(w) * 2.2 / (words.count(w) + 1.2 * (0.25 + 0.75 * len(words) / avg)) for w in ws if w in words)
             assert math.isclose(got.get((qid, i), 0.0), s, abs_tol=1e-9)
     idx = search.inverted_index(terms, "id", F.col("id") % 5)
-    again = search.bm25_scores(idx.select("word", F.inline("postings")), "id", n, q)
+    again = search.bm25_scores(idx.select("word", F.inline("postings")), "id", n, asked, stats=search.document_frequencies(terms))
     assert {(r["query_id"], r["id"]): round(r["score"], 9) for r in again.collect()} == {k: round(v, 9) for k, v in got.items()}
+    # Lists are cut into blocks, and nothing is lost by it.
+    cut = search.inverted_index(terms, "id", F.lit(0), most=4)
+    assert cut.agg(F.max("df")).first()[0] < 20 < terms.where("word = 'a'").count() and cut.groupBy().agg(F.sum("df")).first()[0] == terms.count()
+    # A shard's own best are all that is gathered.
+    shards = search.bm25_scores(terms.withColumn("shard", F.col("id") % 5), "id", n.crossJoin(spark.range(5).select(F.col("id").alias("shard"))), asked, by=["shard"])
+    assert sorted(map(tuple, search.best_of_shards(shards, "query_id", "id", 3).select("query_id", "id", "rank").collect())) == sorted(map(tuple, search.best(shards, "query_id", "id", 3).select("query_id", "id", "rank").collect()))
+    # Few words reach the scan, many are joined.
+    from unittest.mock import patch
+
+    few = search.of_words(terms, asked)
+    with patch.object(search, "WORDS_IN_PLAN", 1):
+        assert sorted(map(tuple, search.of_words(terms, asked).select("id", "word", "tf").collect())) == sorted(map(tuple, few.select("id", "word", "tf").collect()))
     assert {r["df"] for r in idx.where("size(postings) <> df").collect()} == set()
     assert search.totals(d.withColumn("t", F.lit("x�")), terms, "t").first()["garbled"] == 60
     assert tuple(search.totals(d.limit(0).withColumn("t", F.lit("x")), terms.limit(0), "t").first()) == (0, 0, 0)
@@ -200,5 +213,5 @@ def test_embedder(spark):
 
 def test_review_scores(spark):
     df = spark.createDataFrame([(True, True, 1.0), (True, False, 3.0), (False, True, 2.0), (False, False, 9.0)], "expected boolean, blocked boolean, seconds double")
-    assert tuple(answers.review_scores(df).first()) == (1, 1, 1, 2, 2.5)
+    assert tuple(answers.review_scores(df).first()) == (1, 1, 1, 2, 2.5, 9.0)
     assert spark.range(1).select(answers.token_estimate(F.lit("abcdefg"))).first()[0] == 2
