@@ -268,12 +268,28 @@ class Bench:
     def __init__(self, held_out: list[tuple[int, list[int]]], shared: dict[int, int]) -> None:
         self.items = [Item(k, ws, shared) for k, ws in held_out]
         self.vocabulary = np.unique(np.concatenate([i.set for i in self.items]))
-        self.has = np.zeros((len(self.vocabulary) + 1, len(self.items)), np.int32)
+        self.times = np.zeros((len(self.vocabulary) + 1, len(self.items)), np.int32)
         for k, item in enumerate(self.items):
-            self.has[np.searchsorted(self.vocabulary, item.set), k] = 1
+            self.times[np.searchsorted(self.vocabulary, item.set), k] = [item.places[int(w)].bit_count() for w in item.set]
         self.need = np.array([int(np.ceil(i.n * SHARE)) for i in self.items])
         self.reach = np.array([i.reach for i in self.items])
 
+    def _enough(self, at: np.ndarray, times: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """The starts whose stretch has half of an item's words, in any order, each counted no more often than the item has it; stretches start at a word of the item."""
+        n, k = times.shape
+        # A place counts for a start at or before it, unless the stretch from there has the word often enough before it.
+        order = np.argsort(at, kind="stable")
+        nth = np.empty(n, np.int64)
+        nth[order] = np.arange(n)
+        before = nth[:, None] - times
+        same = (before >= 0) & (at[order[np.maximum(before, 0)]] == at[:, None])
+        here = np.arange(n)[:, None]
+        first = np.maximum(np.where(same, order[np.maximum(before, 0)], -1), here - self.reach[which]) + 1
+        place = (times > 0) & (first <= here)
+        column = np.broadcast_to(np.arange(k), (n, k))[place] * (n + 1)
+        change = np.bincount(column + first[place], minlength=k * (n + 1)) - np.bincount(column + np.broadcast_to(here, (n, k))[place] + 1, minlength=k * (n + 1))
+        return (np.cumsum(change.reshape(k, n + 1), axis=1)[:, :n].T >= self.need[which]) & (times > 0)
+
     def given_away(self, doc: np.ndarray, which: np.ndarray, spots: np.ndarray) -> list[int]:
         """The items, of the candidates ``which``, that the document holds. It is looked at around the passages that start at ``spots``, in pieces of bounded length that overlap by the longest stretch."""
         out: list[int] = []
@@ -287,13 +303,14 @@ class Bench:
             part = doc[low:high]
             at = np.minimum(np.searchsorted(self.vocabulary, part), len(self.vocabulary) - 1)
             at = np.where(self.vocabulary[at] == part, at, len(self.vocabulary))
-            inside = np.zeros((len(part) + 1, len(which)), np.int32)
-            np.cumsum(self.has[at][:, which], axis=0, out=inside[1:])
-            ends = np.minimum(np.arange(len(part))[:, None] + self.reach[which], len(part))
-            # A stretch that hasn't the words can't have them in order; stretches start at a word of the item.
-            enough = (np.take_along_axis(inside, ends, axis=0) - inside[:-1] >= self.need[which]) & (inside[1:] > inside[:-1])
+            # Few items have half of their words anywhere in the part.
+            seen, often = np.unique(at, return_counts=True)
+            some = which[np.minimum(self.times[seen[:, None], which], often[:, None]).sum(axis=0) >= self.need[which]]
+            if not len(some):
+                continue
+            enough = self._enough(at, self.times[at[:, None], some], some)
             for k in np.flatnonzero(enough.any(axis=0)):
-                item = int(which[k])
+                item = int(some[k])
                 if item not in out and self.items[item].held(part, np.flatnonzero(enough[:, k])):
                     out.append(item)
         return out
