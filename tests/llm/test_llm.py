@@ -24,7 +24,7 @@ def model():
     return encoding.train(corpus())
 
 
-@pytest.mark.parametrize("written,read", [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "mac_roman"), ("utf-8", "cp437"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp1252", "latin-1"), ("cp1252", "cp850")])
+@pytest.mark.parametrize("written,read", [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "mac_roman"), ("utf-8", "cp437"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp1252", "latin-1"), ("cp1252", "cp850"), ("utf-8", "iso8859-2"), ("utf-8", "cp1254"), ("iso8859-15", "mac_roman")])
 def test_wrong_decodings_are_put_back(model, written, read):
     reader = encoding.Reader(*model)
     hit = whole = tried = 0
@@ -42,6 +42,22 @@ def test_wrong_decodings_are_put_back(model, written, read):
     assert tried > 5 and hit == tried and whole >= 0.9 * tried
 
 
+def test_chains_of_different_kinds(model):
+    """A pair of one-byte encodings below utf-8 read wrongly, and utf-8 read two bytes at a time."""
+    reader = encoding.Reader(*model)
+    for text in [t for t in corpus(30, seed=5) if sum(ord(c) > 127 for c in t) > 4][:12]:
+        mixed = text.encode("cp1252").decode("mac_roman").encode().decode("latin-1")
+        assert reader.passage(mixed)[0] == text
+        wide = text.encode().decode("gbk", "replace")
+        assert reader.passage(wide)[1]
+        assert encoding.undo_wide("s茅ance d鈥檕r", "gbk") == "séance d’or"
+
+
+def test_pairs_that_read_alike_are_tried_once():
+    every = list(encoding.candidates("brûlé"))
+    assert len(every) == len({r for r, _ in encoding.candidates("brûlé").values()}) < 60
+
+
 def test_twice_wrong_and_lost(model):
     reader = encoding.Reader(*model)
     twice = FR[0].encode().decode("cp1252", "surrogateescape").encode("utf-8", "surrogateescape").decode("latin-1")
