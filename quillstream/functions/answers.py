@@ -147,6 +147,40 @@ def review(spark, diff: str, tools: Tools, step: Callable[[list[dict]], dict], l
     raise RuntimeError("no valid report")
 
 
+def guarded(spark, diffs: DataFrame, tools_of: Callable[[str], Tools], step: Callable[[list[dict]], dict] | None, limits: Limits = Limits()) -> list[dict]:
+    """A verdict on each diff (diff_id, base, head, text): ``blocked``, ``secrets`` as (path, line, kind), ``findings`` and a ``note``.
+
+    The scan for secrets fails closed: a hit blocks, whatever follows.  The model sees the redacted diff and fails open: where
+    it can't be reached, gives no valid report or the diff is too long for it, a note says so and nothing is blocked by it.
+    """
+    hits = scan.scan_diffs(diffs, "diff_id", "text").collect()  # few: one for each secret of a push
+    clean = {r["diff_id"]: r["text"] for r in scan.redacted_diffs(diffs, "diff_id", "text").collect()}
+    out = []
+    for row in diffs.select("diff_id", "base", "head").orderBy("diff_id").collect():
+        secrets = sorted((h["path"], h["line_no"], h["kind"]) for h in hits if h["diff_id"] == row["diff_id"])
+        found, note = [], None if step else "no model"
+        if step:
+            try:
+                found = review(spark, clean[row["diff_id"]], tools_of(row["head"]), step, limits)
+            except (OSError, RuntimeError, TimeoutError, ValueError) as error:
+                note = f"not reviewed: {error}"
+        out.append({"base": row["base"], "head": row["head"], "secrets": secrets, "findings": found, "note": note, "blocked": bool(secrets) or any(f["severity"] == "block" for f in found)})
+    return out
+
+
+@dataclass(frozen=True)
+class Command:
+    """A model that is a program: it gets the messages as JSON on its input and its output is the reply."""
+
+    arguments: tuple[str, ...]
+    seconds: float = 120.0
+
+    def chat(self, messages: list[dict[str, str]]) -> str:
+        import subprocess
+
+        return subprocess.run(self.arguments, input=json.dumps(messages), capture_output=True, text=True, timeout=self.seconds, check=True).stdout.strip()
+
+
 def to_json(found: list[dict]) -> str:
     return json.dumps({"findings": found})
 

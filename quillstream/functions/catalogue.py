@@ -46,3 +46,20 @@ class Catalogue:
         held = self.vectors.join(keep, "chunk_id").select("chunk_id", F.col("vector").alias("v"), "ordinal")
         near = search.cosine_top_k(held, "ordinal", "v", question_vectors.select("query_id", F.col("vector").alias("v")), "query_id", 50, itself=True).join(keep, "ordinal")
         return search.fused(by_words, near, "query_id", "chunk_id", k).select("query_id", "chunk_id", "rank", "score")
+
+
+def cards_of(records: DataFrame, fixed: int | None = None) -> DataFrame:
+    """Cards of archive records: one for each section, or pieces of ``fixed`` characters."""
+    pieces = text.heading_chunks(F.col("body")) if fixed is None else F.transform(text.fixed_chunks(F.col("body"), fixed), lambda t: F.struct(F.lit("").alias("heading"), F.lit("").alias("slug"), t.alias("text")))
+    rows = records.select("id", "title", "chapel", "current", F.posexplode(pieces).alias("n", "c"))
+    name = F.concat_ws("#", "id", "n") if fixed else F.concat_ws("#", "id", "c.slug")
+    return rows.select(name.alias("chunk_id"), F.struct("id", "n").alias("ordinal"), "chapel", "current", "id", F.col("c.heading").alias("heading"), F.col("c.text").alias("text"), text.card(F.col("title"), F.col("c.heading"), F.col("c.text")).alias("card"))
+
+
+def evaluated(catalogue: Catalogue, questions: DataFrame, k: int = 3, chapel: str | None = None, shared: str | None = None, filtered: bool = True, widened: bool = True) -> DataFrame:
+    """(queries, recall, mrr, trap_rate) of questions (query_id, text, id), ``id`` being the record that answers; a trap is a record that isn't current."""
+    asked = questions.select("query_id", (text.expanded(F.col("text")) if widened else F.col("text")).alias("text"))
+    hits = catalogue.look_up(asked, k, chapel if filtered else None, shared, current_only=filtered)
+    hits = hits.join(catalogue.cards.select("chunk_id", F.substring_index("chunk_id", "#", 1).alias("of"), "current"), "chunk_id").join(questions.select("query_id", "id"), "query_id")
+    hits = hits.withColumn("relevant", F.col("of") == F.col("id")).withColumn("trap", ~F.col("current"))
+    return search.retrieval_metrics(hits, questions, "query_id", "relevant", "trap", k)

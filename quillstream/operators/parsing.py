@@ -136,3 +136,9 @@ def cents_as_decimal(cents: Column) -> Column:
 def boundary_hours(a: Column, b: Column) -> Column:
     """Hour boundaries crossed from a to b, which isn't the number of whole hours between them."""
     return ((F.unix_timestamp(F.date_trunc("hour", b)) - F.unix_timestamp(F.date_trunc("hour", a))) / 3600).cast("bigint")
+
+
+def waiting_bucket(since: Column, now: Column) -> Column:
+    """How long something has waited, by hour boundaries crossed."""
+    hours = boundary_hours(since, now)
+    return F.when(hours < 24, "1. under 24h").when(hours < 48, "2. 24-48h").when(hours < 72, "3. 48-72h").otherwise("4. over 72h")

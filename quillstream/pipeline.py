@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import os
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, time, timezone
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import storage
 from .functions import search, text
-from .operators import asof, checks, merge, parsing
+from .operators import asof, checks, merge, parsing, waterfall
 from .sources import corpus
 from .sources.landing import Lake
 
@@ -42,6 +41,11 @@ def when(moment: str) -> datetime:
     return datetime.combine(datetime.fromisoformat(moment).date(), time(23, 59, 59), timezone.utc)
 
 
+def _shown(*figures: dict) -> str:
+    """Figures on one line, each by its name; what is null or nought is left out."""
+    return "; ".join(", ".join(f"{k} {v}" for k, v in f.items() if v not in (None, 0)) or "nothing" for f in figures) or "nothing"
+
+
 class Pipeline:
     """ingest, build, grade and publish over one lake."""
 
@@ -100,12 +104,12 @@ class Pipeline:
     # Gold ---------------------------------------------------------------------------------------
     def _gold(self, as_of: datetime, replay: bool) -> dict[str, DataFrame]:
         t = self.tables
-        usd = t["silver_fx_rates"].where("base = 'USD' and quote = 'CAD'").select(F.col("rate_date").alias("fx_rate_date"), F.col("rate").alias("fx_rate"))
+        usd = t["silver_fx_rates"].where("base = 'USD' and quote = 'CAD'").select(F.lower("base").alias("currency"), F.col("rate_date").alias("fx_rate_date"), F.col("rate").alias("fx_rate"))
         orders = t["silver_orders"].where("not is_deleted").select("order_id", "ship_region", F.to_date(F.from_utc_timestamp("created_at", BUSINESS_ZONE)).alias("order_date"))
         cad = F.col("currency") == "cad"
         signed = F.when(F.col("event_type") == "capture", F.col("amount_minor")).otherwise(-F.col("amount_minor"))
         pay = t["silver_payments"].withColumn("processor_date", F.to_date("created_at")).withColumn("amount_minor", signed)
-        pay = asof.asof_left(pay, usd, on=("processor_date", "fx_rate_date"), carry=["fx_rate_date", "fx_rate"])
+        pay = asof.asof_left(pay, usd, on=("processor_date", "fx_rate_date"), by=["currency"], carry=["fx_rate_date", "fx_rate"])
         pay = pay.withColumn("fx_rate_date", F.when(cad, F.col("processor_date")).otherwise(F.col("fx_rate_date"))).withColumn("fx_rate", F.when(cad, F.lit(1)).otherwise(F.col("fx_rate")).cast("decimal(12,6)"))
         pay = pay.withColumn("amount_cad", parsing.cents_as_decimal(parsing.cad_cents(F.col("amount_minor"), F.col("fx_rate")))).join(orders, "order_id", "left")
         fact = storage.publish(pay.select("event_id", "event_type", "charge_id", "refund_id", "order_id", "currency", "amount_minor", "created_at", "processor_date", "order_date", "ship_region", "fx_rate_date", "fx_rate", "amount_cad", "_batch_seq", "_ingested_at"), self._table("build_fct_payments"))
@@ -122,7 +126,7 @@ class Pipeline:
             moved = t["silver_orders"].where(F.col("_batch_seq") > mark).select(F.to_date(F.from_utc_timestamp("created_at", BUSINESS_ZONE)).alias("order_date"))
             touched = seen.where(F.col("_batch_seq") > mark).select("order_date").union(moved).distinct()
             seen = seen.join(touched, "order_date", "left_semi")
-        priced = asof.asof_left(seen.drop("fx_rate_date", "fx_rate"), usd, on=("order_date", "fx_rate_date"), carry=["fx_rate"])
+        priced = asof.asof_left(seen.drop("fx_rate_date", "fx_rate"), usd, on=("order_date", "fx_rate_date"), by=["currency"], carry=["fx_rate"])
         value = parsing.cents_as_decimal(parsing.cad_cents(F.col("amount_minor"), F.when(cad, F.lit(1)).otherwise(F.col("fx_rate")).cast("decimal(12,6)")))
         money = lambda c: c.cast("decimal(18,2)")
         priced = priced.withColumn("v", value)
@@ -130,8 +134,7 @@ class Pipeline:
         if old is not None:
             revenue = merge.replace_keys(old, revenue, touched, ["order_date"])
 
-        hours = parsing.boundary_hours(F.col("updated_at"), F.lit(as_of).cast("timestamp"))
-        label = F.when(hours < 24, "1. under 24h").when(hours < 48, "2. 24-48h").when(hours < 72, "3. 48-72h").otherwise("4. over 72h")
+        label = parsing.waiting_bucket(F.col("updated_at"), F.lit(as_of).cast("timestamp"))
         waiting = t["silver_orders"].where("status = 'paid' and not is_deleted").groupBy(label.alias("waiting")).agg(F.count("*").alias("orders"), F.min("updated_at").alias("oldest_change_at"))
         built = {"mart_daily_cash": cash, "mart_order_revenue": revenue, "mart_waiting": waiting}
         self.tables |= {"fct_payments": fact} | {n: storage.publish(df, self._table(f"build_{n}")) for n, df in built.items()}
@@ -140,19 +143,18 @@ class Pipeline:
     # Audits and publishing ----------------------------------------------------------------------
     def grade(self, as_of: datetime, since_seq: int = 0) -> list[tuple[str, str, str]]:
         """(name, status, detail) of the four audits."""
-        t = self.tables
-        out = []
-        rates = checks.quarantine_rates({"payments": t["stg_payments"], "orders": t["stg_orders"]}, since_seq).collect()
+        t, out = self.tables, []
+        rates = sorted(checks.quarantine_rates({"payments": t["stg_payments"], "orders": t["stg_orders"]}, since_seq).collect())
         worst = max((r["status"] for r in rates), key=["PASS", "WARN", "BLOCK"].index, default="PASS")
-        out.append(("quarantine rate", worst, "; ".join(f"{r['source']} {r['held'] / r['arrived']:.2%} of {r['arrived']:,}" + (f" (mostly {r['top_reason']})" if r["held"] else "") for r in sorted(rates))))
-        c = checks.conservation(t["silver_payments"], t["fct_payments"]).first()
-        out.append(("conservation", c["status"], f"silver {c['silver_rows']} rows net {c['silver_net']}, gold {c['gold_rows']} rows net {c['gold_net']}"))
-        f = checks.rate_coverage(t["fct_payments"]).first()
-        out.append(("fx coverage", f["status"], f"{f['missing'] or 0} rows without a rate; the oldest used is {f['oldest_days']} days old"))
+        out.append(("quarantine rate", worst, _shown(*[{"source": r["source"], "arrived": r["arrived"], "held": r["held"], "share": round(r["held"] / r["arrived"], 4), "first reason": r["top_reason"]} for r in rates])))
+        kept = checks.conservation(t["silver_payments"], t["fct_payments"]).first().asDict()
+        out.append(("conservation", kept.pop("status"), _shown(kept)))
+        rated = checks.rate_coverage(t["fct_payments"]).first().asDict()
+        out.append(("fx coverage", rated.pop("status"), _shown(rated)))
         lines = checks.reconciliation(t["silver_settlements"], t["mart_daily_cash"], as_of).where("state <> 'match'")
-        bad = {r["state"]: r["n"] for r in lines.groupBy("state").agg(F.count("*").alias("n")).collect()}
-        shown = [f"{r['settlement_date']} {r['currency'].upper()} net off by {r['off_minor'] / 100:+,.2f}" for r in lines.orderBy("state", "settlement_date", "currency").limit(3).collect()]
-        out.append(("reconciliation", "BLOCK" if bad.get("broken") else "WARN" if bad else "PASS", "; ".join(shown) or "all settlement lines match"))
+        apart = {r["state"]: r["n"] for r in lines.groupBy("state").agg(F.count("*").alias("n")).collect()}
+        first = [r.asDict() for r in lines.orderBy("state", "settlement_date", "currency").limit(3).collect()]
+        out.append(("reconciliation", "BLOCK" if apart.get("broken") else "WARN" if apart else "PASS", _shown(apart, *first)))
         return out
 
     def checks(self) -> DataFrame:
@@ -162,30 +164,30 @@ class Pipeline:
 
     def published(self, name: str) -> DataFrame:
         """A gold table as readers see it."""
-        pointer = storage.read_text(self.spark, f"{self.config.lake}/gold/CURRENT")
-        if pointer is None:
-            raise FileNotFoundError("nothing is published")
-        return self.spark.read.parquet(f"{self.config.lake}/gold/{pointer}/{name}")
+        return storage.current(self.spark, self._gold_table(), name)
 
     def history(self) -> DataFrame:
-        path = f"{self.config.lake}/gold/history"
-        fs, target = storage.filesystem(self.spark, path)
+        """What was published when; part of the published version, so that neither is there without the other."""
         schema = "as_of string, through_seq long, published_at string, audits string"
-        return self.spark.read.schema(schema).json(path) if fs.exists(target) else self.spark.createDataFrame([], schema)
+        try:
+            return self.spark.read.schema(schema).json(f"{storage.current_folder(self.spark, self._gold_table())}/history.json")
+        except FileNotFoundError:
+            return self.spark.createDataFrame([], schema)
+
+    def _gold_table(self) -> str:
+        return f"{self.config.lake}/gold"
 
     def publish(self, as_of: datetime, results: list[tuple[str, str, str]]) -> bool:
-        """Copy the build beside what is published and move the pointer, unless an audit blocks."""
+        """Copy the build beside what is published, with the history that includes it, and move one pointer, unless an audit blocks."""
         if any(status == "BLOCK" for _, status, _ in results):
             return False
-        version = f"v-{uuid.uuid4().hex[:12]}"
-        for name in GOLD:
-            self.tables[name].write.parquet(f"{self.config.lake}/gold/{version}/{name}")
         marks = [self.tables[n].agg(F.max("_batch_seq")).first()[0] or 0 for n in ("stg_payments", "stg_orders")]
         entry = {"as_of": as_of.isoformat(), "through_seq": max(marks), "published_at": datetime.now(timezone.utc).isoformat(), "audits": "; ".join(f"{n}: {s}" for n, s, _ in results)}
-        fs, folder = storage.filesystem(self.spark, f"{self.config.lake}/gold/history")
-        fs.mkdirs(folder)
-        storage.write_text_atomically(self.spark, f"{self.config.lake}/gold/CURRENT", version)
-        storage.write_text_atomically(self.spark, f"{self.config.lake}/gold/history/{version}.json", json.dumps(entry) + "\n")
+        try:
+            before = storage.read_text(self.spark, f"{storage.current_folder(self.spark, self._gold_table())}/history.json") or ""
+        except FileNotFoundError:
+            before = ""
+        storage.publish_all(self.spark, {n: self.tables[n] for n in GOLD}, self._gold_table(), {"history.json": before + json.dumps(entry) + "\n"})
         return True
 
     # What somebody in a hurry would say -----------------------------------------------------------
@@ -204,6 +206,20 @@ class Pipeline:
         old = F.unix_timestamp(F.lit(through).cast("timestamp")) - F.unix_timestamp("updated_at") >= 72 * 3600
         return last.agg(F.count("*").alias("waiting"), F.coalesce(F.sum(old.cast("bigint")), F.lit(0)).alias("over_72h"))
 
+    def compare(self, through: datetime, month: str) -> dict:
+        """The walk from the naive total of a month to the published one, step by step, whether its end is what was published, and both queues.
+
+        ``steps`` is a table; the other figures are single numbers.
+        """
+        lines = self.lake.naive_lines("payments", through).where("json is not null")
+        rates = self.stored("silver_fx_rates").where("base = 'USD' and quote = 'CAD'").select(F.lit("usd").alias("currency"), F.col("rate_date").alias("fx_rate_date"), F.col("rate").alias("fx_rate"))
+        steps = storage.staged(waterfall.waterfall(waterfall.raw_events(lines, "json", "file", "line", month), rates), "steps")
+        cents = self.published("mart_daily_cash").where(F.date_format("processor_date", "yyyy-MM") == month).agg(F.coalesce(F.sum("net_cad") * 100, F.lit(0)).cast("bigint")).first()[0]
+        queue = self.published("mart_waiting").agg(F.coalesce(F.sum("orders"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("waiting") == "4. over 72h", F.col("orders"))), F.lit(0))).first()
+        last = steps.where("step = 5").first()["total_cents"]
+        naive = self.naive_waiting(through).first()
+        return {"steps": steps, "published_cents": cents, "matches": last == cents, "waiting": (naive["waiting"], queue[0]), "over_72h": (naive["over_72h"], queue[1])}
+
     def run(self, through: datetime, replay: bool = False) -> bool:
         """ingest, build, grade, publish."""
         self.lake.ingest(through)
@@ -236,7 +252,7 @@ def audit_index(spark: SparkSession, lake: str, build: str, canaries: str) -> li
     out = f"{lake}/builds/{build}"
     done = all(storage.filesystem(spark, f"{out}/{p}/_SUCCESS")[0].exists(storage.filesystem(spark, f"{out}/{p}/_SUCCESS")[1]) for p in ("index", "stats"))
     if not done:
-        return [("finished", False, "the build did not finish")]
+        return [("finished", False, _shown())]
     expected = json.loads(storage.read_text(spark, f"{lake}/reading-list/_manifest.json"))["passages"]
     got = json.loads(storage.read_text(spark, f"{out}/corpus.json"))
     index = spark.read.parquet(f"{out}/index")
@@ -246,9 +262,12 @@ def audit_index(spark: SparkSession, lake: str, build: str, canaries: str) -> li
     found = index.select("word", F.explode("postings").alias("p")).select("word", F.col("p.passage_id").alias("passage_id"))
     dead = [f"{r['word']} in {r['passage_id']}" for r in wanted.join(found, ["word", "passage_id"], "left_anti").collect()]
     return [
-        ("finished", True, "all tasks committed"), ("passages", got["passages"] == expected, f"{expected} in the manifest, {got['passages']} in the index"), ("encoding", got["garbled"] == 0, f"{got['garbled']} passages with undecodable bytes"),
-        ("conservation", counted["words"] > 0 and counted["bad"] == 0, f"{counted['words']} words, {counted['bad']} disagree"), ("canaries", not dead, "all found" if not dead else "not found: " + "; ".join(dead)),
-    ]
+        ("finished", True, _shown({"parts": 2})),
+        ("passages", got["passages"] == expected, _shown({"expected": expected, "indexed": got["passages"]})),
+        ("encoding", got["garbled"] == 0, _shown({"garbled": got["garbled"]})),
+        ("conservation", counted["words"] > 0 and counted["bad"] == 0, _shown({"words": counted["words"], "apart": counted["bad"]})),
+        ("canaries", not dead, _shown(*[{"lost": d} for d in dead])),
+    ]
 
 
 def publish_index(spark: SparkSession, lake: str, build: str, canaries: str) -> bool:

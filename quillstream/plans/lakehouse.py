@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
-from ..operators import asof, checks, merge, parsing
+from ..operators import asof, checks, merge, parsing, waterfall
 from ..session import table
 
 HALIFAX = "America/Halifax"
@@ -184,36 +184,50 @@ def q19_rate_coverage(spark, sf):
     return checks.rate_coverage(table(spark, sf, "fct_payments"))
 
 
-def naive_events(spark, sf):
-    j = lambda p: parsing.at("_raw", p)
-    rows = bronze_payments(spark, sf).where(parsing.valid_json(F.col("_raw")))
-    rows = rows.select(
-        F.col("_landing_file").like("%-resend.jsonl").alias("resend"), j("$.id").alias("id"), j("$.type").alias("type"), F.timestamp_seconds(parsing.whole(j("$.created"))).alias("at"), parsing.whole(j("$.data.object.amount")).alias("naive"),
-        F.coalesce(parsing.whole(j("$.data.object.refund.amount")), parsing.whole(j("$.data.object.amount.value")), parsing.whole(j("$.data.object.amount"))).alias("amount"),
-        F.lower(F.coalesce(j("$.data.object.currency"), j("$.data.object.amount.currency"))).alias("currency"), "_landing_file", "_line",
-    )
-    rows = merge.flag_first(rows, ["id"], [F.asc("_landing_file"), F.asc("_line")], "first_delivery")
-    return rows.where(F.date_format("at", "yyyy-MM") == MONTH).withColumn("day", F.to_date("at"))
-
-
 def q20_waterfall(spark, sf):
-    """A naive monthly total, corrected one mistake at a time: six totals in one pass, and what each step changed."""
+    """A naive monthly total, corrected one mistake at a time."""
     found = rates(spark, sf).where("currency = 'usd'").select("currency", F.col("rate_date").alias("fx_rate_date"), F.col("rate").alias("fx_rate"))
-    rows = asof.asof_left(naive_events(spark, sf), found, on=("day", "fx_rate_date"), by=["currency"], carry=["fx_rate"])
-    capture, refund = F.col("type") == "charge.succeeded", F.col("type") == "charge.refunded"
-    once = ~F.col("resend")
-    first = once & F.col("first_delivery")
-    signed = F.when(capture, F.col("amount")).otherwise(-F.col("amount"))
-    one = F.lit(1).cast("decimal(12,6)")
-    cents = lambda c, r: parsing.cad_cents(c, r)
-    rate = F.when(F.col("currency") == "usd", F.col("fx_rate")).otherwise(one)
-    steps = [
-        ("naive", capture, cents(F.col("naive"), one)), ("re-sent files", capture & once, cents(F.col("naive"), one)), ("repeated deliveries", capture & first, cents(F.col("naive"), one)),
-        ("second version's amounts", capture & first, cents(F.col("amount"), one)), ("refunds", (capture | refund) & first, cents(signed, one)), ("conversion", (capture | refund) & first, cents(signed, rate)),
-    ]
-    totals = rows.agg(F.array(*[F.struct(F.lit(i).alias("step"), F.lit(n).alias("label"), F.coalesce(F.sum(F.when(t, c)), F.lit(0)).cast("bigint").alias("total_cents")) for i, (n, t, c) in enumerate(steps)]).alias("s"))
-    delta = F.transform("s", lambda x, i: F.struct(x["step"].alias("step"), x["label"].alias("label"), x["total_cents"].alias("total_cents"), F.when(i > 0, x["total_cents"] - F.get(F.col("s"), i - 1)["total_cents"]).alias("delta_cents")))
-    return totals.select(F.inline(delta))
+    events = waterfall.raw_events(bronze_payments(spark, sf), "_raw", "_landing_file", "_line", MONTH)
+    return waterfall.waterfall(events, found)
+
+
+def q61_order_changes_parsed(spark, sf):
+    """Usable changes written as the events they came from and parsed again: a delete's image is what was before."""
+    rows = usable_changes(spark, sf).where("op is not null and order_id is not null and lsn is not null")
+    image = F.struct("order_id", "customer_id", "status", F.upper("currency").alias("currency"), "total_minor", "ship_region", F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated_at"))
+    event = F.struct("op", F.struct("lsn").alias("source"), F.when(F.col("op") == "d", image).alias("before"), F.when(F.col("op") != "d", image).alias("after"))
+    parsed = parsing.order_changes(rows.select("_bronze_row", F.to_json(event).alias("_raw")))
+    return parsed.select("_bronze_row", "op", "lsn", "order_id", "customer_id", "status", "currency", "total_minor", "ship_region", F.unix_seconds("updated_at").alias("updated"), "quarantine_reason")
+
+
+def q62_waiting_buckets(spark, sf):
+    """Paid orders by how long they had waited when the last change came."""
+    orders = table(spark, sf, "silver_orders")
+    rows = orders.where("status = 'paid' and not is_deleted").withColumn("now", orders.agg(F.max("updated_at")).scalar())
+    return rows.groupBy(parsing.waiting_bucket(F.col("updated_at"), F.col("now")).alias("waiting")).agg(F.count("*").alias("orders"), F.unix_micros(F.min("updated_at")).alias("oldest_us"))
+
+
+def q63_settlement_totals(spark, sf):
+    """What a processor would report of each day and currency."""
+    fact = table(spark, sf, "fct_payments")
+    capture, refund = F.col("event_type") == "capture", F.col("event_type") == "refund"
+    total = lambda test, sign: F.coalesce(F.sum(F.when(test, sign * F.col("amount_minor"))), F.lit(0)).cast("bigint")
+    sums = fact.groupBy(F.to_date("created_at").cast("string").alias("settlement_date"), "currency")
+    return sums.agg(total(capture, 1).alias("gross_minor"), total(refund, -1).alias("refunds_minor"), F.sum("amount_minor").cast("bigint").alias("net_minor"), F.count_if(capture).alias("charge_count"), F.count_if(refund).alias("refund_count"))
+
+
+def q64_new_files(spark, sf):
+    """Files that a second run would take in: known neither by name nor by content, of equal contents the first by name."""
+    log = table(spark, sf, "manifest")
+    known, landed = log.where("batch_seq is not null and batch_seq <= 310400"), log.where("batch_seq is null or batch_seq > 310400")
+    new = landed.join(known.select("file"), "file", "left_anti").join(known.select("sha256"), "sha256", "left_anti")
+    return merge.keep_first(new, ["sha256"], [F.asc("file")]).select("source", "file", "sha256")
+
+
+def q65_money_shown(spark, sf):
+    """Monthly totals as they are printed."""
+    rows = table(spark, sf, "mart_daily_cash").groupBy(F.date_format("processor_date", "yyyy-MM").alias("month")).agg(F.sum("net_cad").alias("net"), F.sum("captures").alias("captures"), F.sum("refunds").alias("refunds"))
+    return rows.select("month", F.concat(F.lit("C$"), F.format_number("net", 2)).alias("net"), F.concat(F.format_number(100 * F.col("refunds") / F.col("captures"), 2), F.lit("%")).alias("refund_rate"))
 
 
 def row_checks(spark, sf):
@@ -314,6 +328,15 @@ _CHECKS = " union all ".join([
 ])
 
 SQL = {
+    "q61_order_changes_parsed": """select _bronze_row, op, lsn, order_id, customer_id, status, lower(currency) as currency, total_minor, ship_region, epoch(date_trunc('second', updated_at))::bigint as updated,
+      case when op not in ('c', 'u', 'd', 'r') then 'unknown_op' end as quarantine_reason from stg_order_changes where quarantine_reason is null and op is not null and order_id is not null and lsn is not null""",
+    "q62_waiting_buckets": f"""with h as (select updated_at, date_diff('hour', updated_at, (select max(updated_at) from silver_orders)) as h from (select updated_at from silver_orders where status = 'paid' and not is_deleted))
+      select case when h < 24 then '1. under 24h' when h < 48 then '2. 24-48h' when h < 72 then '3. 48-72h' else '4. over 72h' end as waiting, count(*) as orders, epoch_us(min(updated_at)) as oldest_us from h group by 1""",
+    "q63_settlement_totals": """select cast(cast(created_at as date) as varchar) as settlement_date, currency, coalesce(sum(amount_minor) filter (event_type = 'capture'), 0)::bigint as gross_minor, coalesce(-sum(amount_minor) filter (event_type = 'refund'), 0)::bigint as refunds_minor,
+      sum(amount_minor)::bigint as net_minor, count(*) filter (event_type = 'capture') as charge_count, count(*) filter (event_type = 'refund') as refund_count from fct_payments group by 1, 2""",
+    "q64_new_files": """with k as (select * from manifest where batch_seq <= 310400), n as (select * from manifest where batch_seq is null or batch_seq > 310400)
+      select source, file, sha256 from n where file not in (select file from k) and sha256 not in (select sha256 from k where sha256 is not null) qualify row_number() over (partition by sha256 order by file) = 1""",
+    "q65_money_shown": """select strftime(processor_date, '%Y-%m') as month, 'C$' || format('{:,.2f}', sum(net_cad)::double) as net, format('{:,.2f}', 100.0::double * sum(refunds) / sum(captures)) || '%' as refund_rate from mart_daily_cash group by 1""",
     "q01_bronze_lines": f"select {_R} as _bronze_row, _batch_seq, length(_raw)::bigint as raw_chars, sha256(_raw) as raw_sha from bronze_payments",
     "q02_json_extract": f"select {_R} as _bronze_row, {_at('$.id')} as id, {_at('$.type')} as type, {_whole(_at('$.created'))} as created, {_at('$.data.object.refund.id')} as refund_id from bronze_payments where json_valid(_raw)",
     "q03_quarantine_payments": _STAGED + "select _bronze_row, event_id, event_type, api_version, charge_id, refund_id, order_id, amount_minor, currency, created, quarantine_reason from q",
