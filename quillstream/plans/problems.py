@@ -157,5 +157,57 @@ def p7_unified(spark: SparkSession, sf: str) -> DataFrame:
     return drift.unified(rows, "_raw", ["bronze_row"])
 
 
+def _texts(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in sorted(values)) + ")"
+
+
+def _lists(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in sorted(values)) + "]"
+
+
+_NORM = "regexp_replace(lower({}), '[^0-9a-z]', '', 'g')"
+_SHUT = f"(list_contains(k, '[]') or len(list_filter(k[:-2], lambda x: list_contains({_lists(drift.PAYMENTS.closed)}, {_NORM.format('x')}))) > 0)"
+_OWN = " ".join(
+    f"when not shut and (l = '{f.name}' or n = '{drift._norm(f.name)}') then '{f.name}' when not shut and fresh and n in {_texts(f.aliases)} then '{f.name}'" for f in drift.PAYMENTS.fields
+)
+_PLACES = " ".join(f"when p = '{'.'.join(f.place)}' then '{f.name}'" for f in drift.PAYMENTS.fields)
+#: Every present value of each payload with its path; then what the alias table makes of it and the best holder of each field.
+_P7_WALK = r"""
+with b as (select _landing_file || ':' || _line as bronze_row, _landing_file as file, _raw, coalesce(json_extract_string(_raw, '$.api_version'), json_extract_string(_raw, '$.apiVersion'), 'unknown') as producer from bronze_payments where json_valid(_raw)),
+t as (select bronze_row, producer, file, u.fullkey, replace(regexp_replace(substr(u.fullkey, 3), '\[\d+\]', '.[]', 'g'), '"', '') as p,
+  case u.type when 'BIGINT' then 'integer' when 'UBIGINT' then 'integer' when 'DOUBLE' then 'number' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'OBJECT' then 'object' when 'ARRAY' then 'array' end as kind from b, json_tree(b._raw) u where u.type <> 'NULL' and u.fullkey <> '$')
+"""
+_P7 = _P7_WALK + rf""",
+s as (select distinct bronze_row, p, kind, fullkey, string_split(p, '.') as k, string_split(p, '.')[-1] as l, {_NORM.format("string_split(p, '.')[-1]")} as n, string_split(p, '.')[-1] not in {_texts(drift.PAYMENTS.known | {'[]'})} as fresh from t),
+r as (select *, {_SHUT} as shut from s),
+f as (select *, case {_PLACES} {_OWN} end as field, case when p in {_texts('.'.join(f.place) for f in drift.PAYMENTS.fields)} then 0 when {' or '.join(f"l = '{f.name}' or n = '{drift._norm(f.name)}'" for f in drift.PAYMENTS.fields)} then 1 else 2 end as placed from r),
+h as (select * from f where field is not null qualify row_number() over (partition by bronze_row, field order by placed, len(k), p) = 1)
+"""
+P7_FOUND_SQL = _P7 + f"""
+, kinds as (select unnest({_lists(f.name for f in drift.PAYMENTS.fields)}) as field),
+own as (select distinct bronze_row, p, l from f where fresh and not exists (select 1 from h where h.bronze_row = f.bronze_row and (h.p = f.p or starts_with(h.p, f.p || '.') or starts_with(f.p, h.p || '.'))))
+select bronze_row, field as field_name, 'removed' as change_kind from b, kinds where not exists (select 1 from h where h.bronze_row = b.bronze_row and h.field = kinds.field)
+union all select bronze_row, field, 'relocated' from h where placed > 0
+union all select bronze_row, field, 'retyped' from h where kind <> case field {' '.join(f"when '{f.name}' then '{f.kind}'" for f in drift.PAYMENTS.fields)} end
+union all select distinct bronze_row, l, 'added' from own where not exists (select 1 from own o where o.bronze_row = own.bronze_row and starts_with(own.p, o.p || '.'))"""
+P7_SPANS_SQL = _P7_WALK + """,
+c as (select producer, file, p as path, kind as json_type, count(distinct bronze_row) as n_rows from t group by all),
+fs as (select producer, file, row_number() over (partition by producer order by file) as nth, count(*) over (partition by producer) as last_nth from (select distinct producer, file from b)),
+g as (select c.*, nth, last_nth, nth - row_number() over (partition by producer, path, json_type order by nth) as island from c join fs using (producer, file)),
+a as (select producer, path, json_type, island, min_by(file, nth) as first_file, max_by(file, nth) as last_file, count(*) as n_files, sum(n_rows)::bigint as n_rows, min(nth) > 1 as started, max(nth) < any_value(last_nth) as ended from g group by all)
+select producer, path, json_type, row_number() over (partition by producer, path, json_type order by island) as island, first_file, last_file, n_files, n_rows, started, ended from a"""
+
+
+def _held_text(f: drift.Field) -> str:
+    """The text of a field at its holder: itself, the inner key of an object that has one, or an array's first element."""
+    inner = _texts(f.inner | {drift._norm(f.name)})
+    key = f"(list_filter(list_sort(json_keys(_raw, fullkey)), lambda x: {_NORM.format('x')} in {inner} and json_type(_raw, fullkey || '.\"' || x || '\"') <> 'NULL'))[1]"
+    return f"case kind when 'object' then json_extract_string(_raw, fullkey || '.\"' || {key} || '\"') when 'array' then json_extract_string(_raw, fullkey || '[0]') else json_extract_string(_raw, fullkey) end"
+
+
+_P7_FIELD = "max(case when field = '{0}' then {1} end) as {0}"
+P7_UNIFIED_SQL = _P7 + ", v as (select b.bronze_row, " + ", ".join(_P7_FIELD.format(f.name, _held_text(f)) for f in drift.PAYMENTS.fields) + r""" from b left join h using (bronze_row) group by 1)
+select bronze_row, order_id, case when regexp_full_match(amount, '-?\d+') then amount else round(try_cast(amount as decimal(30, 6)) * 100)::bigint::varchar end as amount, currency, api_version from v"""
+
 QUERIES = {"p3_found": p3_found, "p3_orders_now": p3_orders_now, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_daily_amounts": p6_daily_amounts, "p7_found": p7_found, "p7_lifespans": p7_lifespans, "p7_unified": p7_unified}
-SQL = {"p3_found": P3_FOUND_SQL, "p3_orders_now": P3_NOW_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL, "p6_daily_amounts": P6_DAILY_SQL}
+SQL = {"p3_found": P3_FOUND_SQL, "p3_orders_now": P3_NOW_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL, "p6_daily_amounts": P6_DAILY_SQL, "p7_found": P7_FOUND_SQL, "p7_lifespans": P7_SPANS_SQL, "p7_unified": P7_UNIFIED_SQL}
