@@ -90,6 +90,16 @@ def test_words_and_letters_are_counted_over_all_passages(spark, monkeypatch):
     assert {"Frühnebel", "Köhlerhof"} <= whole[1]
 
 
+def test_more_known_words_than_are_sent_are_joined(spark, monkeypatch):
+    texts = [*corpus(60), *[t.encode().decode("cp1252", "replace") for t in corpus(12, seed=9)], *[t.encode("cp1252", "replace").decode("mac_roman") for t in corpus(12, seed=8)], None, "", "plain words only"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string").withColumn("known", F.lit("clash"))
+    rows = lambda: sorted(map(tuple, encoding.restored(df, F.col("k"), F.col("text"), encoding.trained(df, "k", "text")).collect()), key=str)
+    sent = rows()
+    monkeypatch.setattr(encoding, "KNOWN_WORDS", 3)
+    assert not isinstance(encoding.trained(df, "k", "text")[1], frozenset)
+    assert rows() == sent and sum(bool(r[2]) for r in sent) > 15
+
+
 def test_a_large_garbled_book_outvotes_no_others(spark):
     utf8, single = "Die Kühlung blieb am Köhlerhof.", "Der Nußbaum stand am Mühlbach."
     hot = [("hot", x) for x in (utf8.encode().decode("cp1252"), single.encode("cp1252").decode("mac_roman")) for _ in range(60)]
