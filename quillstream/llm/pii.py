@@ -181,7 +181,7 @@ _ADDRESSES = [
 
 #: What a text must hold for the last three of them, found faster.
 _ROADS = (
-    re.compile(r"(?:via|vial|vico|piazz|cors|larg|call|stra|borg|sali|cont|lung)", re.I),
+    re.compile(r"(?:via|viale|vicolo|piazza|piazzale|corso|largo|calle|strada|borgo|salita|contrada|lungarno|vico) "),  # in small letters
     re.compile(r"(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring|steig|markt|STRASSE|STRAßE|WEG|GASSE|PLATZ)(?:,? Nr\.?)? ?\d"),
     re.compile(r"(?:Straße|Strasse|Str\.|Weg|Gasse|Platz|Allee|Ufer|Damm|Ring|Markt) \d"),
 )
@@ -192,7 +192,7 @@ PARTICLES = frozenset("von van de della dello dalla da di del der zu den le la d
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*")
 #: What may part the words of one name.
 _BLANK = re.compile(r"[ \t]{1,3}|\r?\n")
-_CAPITAL = re.compile(r"(?<![^\W\d_'’-])[^\W\d_a-zà-öø-ÿ](?:[^\W\d_]|['’-](?=[^\W\d_]))*")
+_CAPITAL = re.compile(r"[^\W\d_a-zà-öø-ÿ](?<![^\W\d_].)(?:[^\W\d_]|['’-](?=[^\W\d_]))*", re.S)
 _JAVA_NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
 _JAVA_FULL = rf"{_JAVA_NAME}(?:,? (?:\p{{Lu}}\. )?(?:(?:von|van|de|della|da|di|del|d['’]|Della|VON|DELLA) )?(?:d['’])?{_JAVA_NAME}){{1,3}}"
 #: Phrases that announce a person, by language (fixed values); a name follows.
@@ -300,30 +300,28 @@ class Names:
         return 0
 
     def find(self, text: str) -> Iterator[tuple[int, int]]:
-        if self.given.isdisjoint(map(_fold, set(_CAPITAL.findall(text)))):
+        named = {w for w in set(_CAPITAL.findall(text)) if _fold(w) in self.given}
+        if not named:
             return  # without a given name there is no full name
         words = list(_WORD.finditer(text))
         gap = lambda i: text[words[i].end() : words[i + 1].start()]  # noqa: E731 - between word i and the next
-        given = lambda i: i < len(words) and words[i][0][:1].isupper() and _fold(words[i][0]) in self.given
-        k = 0
-        while k < len(words) - 1:
+        given = lambda i: i < len(words) and words[i][0] in named
+        # A full name begins at a given name or, family first, up to three words before one.
+        starts = sorted({k for i, w in enumerate(words) if w[0] in named for k in range(max(0, i - 3), i + 1)})
+        free = 0
+        for k in starts:
             w = words[k]
-            first = w[0][:1]
-            if not (first.isupper() or _fold(w[0]) in self.starts):
-                k += 1
+            if k < free or k >= len(words) - 1 or not (w[0][:1].isupper() or _fold(w[0]) in self.starts):
                 continue
-            end = self._forward(words, k, text, given, gap) if given(k) else 0
-            if end:
+            if end := self._forward(words, k, text, given, gap) if given(k) else 0:
                 yield w.start(), words[end - 1].end()
-                k = end
-                continue
-            if (n := self._family(words, k, text)) and k + n < len(words) and re.fullmatch(r",(?:[ \t]{1,3}|\r?\n)", gap(k + n - 1)) and given(k + n):
+                free = end
+            elif (n := self._family(words, k, text)) and k + n < len(words) and re.fullmatch(r",(?:[ \t]{1,3}|\r?\n)", gap(k + n - 1)) and given(k + n):
                 end = k + n
                 while end + 1 < len(words) and gap(end) in (" ", ". ") and (given(end + 1) or len(words[end + 1][0]) == 1 and words[end + 1][0].isupper() and text[words[end + 1].end() : words[end + 1].end() + 1] == "."):
                     end += 1
                 yield w.start(), words[end].end()
-                k = end
-            k += 1
+                free = end + 1
 
 
 def _around(t: str) -> list[tuple[int, int]]:
@@ -348,7 +346,8 @@ def places(text: str, names: Names) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), "phone") for p in _PHONES for m in p.finditer(t, low, high) if not _NO_PHONE.search(t, max(0, m.start() - 16), m.start())]
     if _FISCAL_END.search(t):
         found += [(m.start(1), m.end(1), "id_number") for m in _FISCAL.finditer(t)]
-    found += [(m.start(), m.end(), "address") for p, hint in zip(_ADDRESSES, (None, None, *_ROADS), strict=True) if hint is None or hint.search(t) for m in p.finditer(t)]
+    hints = (True, True, _ROADS[0].search(t.lower()) or _FOLDS.search(t), _ROADS[1].search(t), _ROADS[2].search(t))
+    found += [(m.start(), m.end(), "address") for p, hint in zip(_ADDRESSES, hints, strict=True) if hint for m in p.finditer(t)]
     found += [(a, b, "name") for a, b in names.find(t)]
     rank = {"email": 0, "id_number": 1, "phone": 2, "address": 3, "name": 4}
     kept: list[tuple[int, int, str]] = []
