@@ -12,6 +12,8 @@ gives the same row because taking the highest sequence is associative.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,7 +55,6 @@ def _folder(columns: list[str], memory_mb: int, spill: str):
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
         import shutil
-        import uuid
 
         import duckdb
 
@@ -124,3 +125,49 @@ def apply_changes(state: DataFrame, feed: DataFrame, table: str | None = None) -
 def alive(folded: DataFrame) -> DataFrame:
     """The rows that exist: everything but tombstones."""
     return folded.where(~F.col("cdc_deleted"))
+
+
+class Buckets:
+    """A state kept in buckets of keys, of which a small feed reads and writes only those that it touches.
+
+    A version holds the buckets that were written with it and a map of all buckets to the versions that hold them; the
+    pointer moves to the new map at the end, for all buckets at once.  Versions that no map needs are removed but for
+    the last few.  The number of buckets is decided when the first feed is applied.
+    """
+
+    def __init__(self, spark: SparkSession, table: str, buckets: int = 256, keep: int = storage.KEEP) -> None:
+        self.spark, self.table, self.keep = spark, table, keep
+        stored = self._stored()
+        self.buckets = stored["buckets"] if stored else buckets
+
+    def _stored(self) -> dict | None:
+        try:
+            return json.loads(storage.read_text(self.spark, f"{storage.current_folder(self.spark, self.table)}/map.json"))
+        except FileNotFoundError:
+            return None
+
+    def _of(self) -> Column:
+        return F.pmod(F.xxhash64("cdc_key"), F.lit(self.buckets)).cast("int")
+
+    def read(self, only: list[int] | None = None) -> DataFrame | None:
+        """The state, or some of its buckets; None where they hold nothing."""
+        stored = self._stored() or {"where": {}, "schema": None}
+        paths = [f"{self.table}/{version}/bucket={b}" for b, version in stored["where"].items() if only is None or int(b) in only]
+        return self.spark.read.schema(T.StructType.fromJson(json.loads(stored["schema"]))).parquet(*paths) if paths else None
+
+    def apply(self, feed: DataFrame) -> "Buckets":
+        """Fold changes into the buckets that they touch; what is stored wins ties, so that a feed applied again changes nothing."""
+        feed = storage.staged(feed, "feed")
+        touched = [r[0] for r in feed.select(self._of().alias("bucket")).distinct().collect()]  # at most all buckets
+        if not touched:
+            return self
+        old = self.read(touched)
+        folded = fold(feed if old is None else old.withColumn("cdc_tie", F.lit("")).select(*feed.columns).unionByName(feed))
+        stored = self._stored() or {"where": {}}
+        version = f"v-{uuid.uuid4().hex[:12]}"
+        folded.withColumn("bucket", self._of()).repartition(min(len(touched), 10_000), "bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.table}/{version}")
+        where = stored["where"] | {str(b): version for b in touched}
+        schema = json.dumps(feed.schema.jsonValue())
+        storage.write_text_atomically(self.spark, f"{self.table}/{version}/map.json", json.dumps({"buckets": self.buckets, "where": where, "schema": schema}))
+        storage.point(self.spark, self.table, version, needed=set(where.values()), keep=self.keep)
+        return self

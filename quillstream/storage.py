@@ -114,10 +114,15 @@ def publish_all(spark: SparkSession, parts: dict[str, DataFrame], table: str, te
         df.write.option("compression", "zstd").parquet(f"{table}/{version}/{name}".rstrip("/"))
     for name, text in (texts or {}).items():
         write_text_atomically(spark, f"{table}/{version}/{name}", text)
+    point(spark, table, version, keep=keep)
+    return f"{table}/{version}"
+
+
+def point(spark: SparkSession, table: str, version: str, needed: set[str] = frozenset(), keep: int = KEEP) -> None:
+    """Make a version current by one rename; then remove older ones that aren't ``needed``."""
     before = read_text(spark, f"{table}/CURRENT")
     write_text_atomically(spark, f"{table}/CURRENT", version)
-    _retain(spark, table, {version, before}, keep)
-    return f"{table}/{version}"
+    _retain(spark, table, {version, before, *needed}, keep)
 
 
 def _retain(spark: SparkSession, table: str, needed: set[str | None], keep: int) -> None:

@@ -17,20 +17,12 @@ def follow(spark: SparkSession, folder: str, schema: str, checkpoint: str, each:
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def fold_changes(spark: SparkSession, folder: str, schema: str, table: str, checkpoint: str, key: str, seq: str, op: str, payload: list[str], usable: Column | None = None) -> DataFrame:
-    """A table kept current from a folder of change files. A batch that is delivered again changes nothing, for equal sequences lose."""
-
-    def each(batch: DataFrame, _epoch: int) -> None:
-        new = changefeed.changes(batch, key, seq, op, payload, usable)
-        try:
-            state = storage.current(spark, table)
-        except FileNotFoundError:
-            state = spark.createDataFrame([], new.schema)
-        # What is stored wins ties.
-        changefeed.apply_changes(state.withColumn("cdc_tie", F.lit("")), new, table)
-
-    follow(spark, folder, schema, checkpoint, each)
-    return storage.current(spark, table)
+def fold_changes(spark: SparkSession, folder: str, schema: str, table: str, checkpoint: str, key: str, seq: str, op: str, payload: list[str], usable: Column | None = None, buckets: int = 256) -> DataFrame:
+    """A table kept current from a folder of change files. A micro-batch reads and writes the buckets that it touches; one that is delivered again changes nothing, for equal sequences lose."""
+    state = changefeed.Buckets(spark, table, buckets)
+    follow(spark, folder, schema, checkpoint, lambda batch, _epoch: state.apply(changefeed.changes(batch, key, seq, op, payload, usable)) and None)
+    now = state.read()
+    return changefeed.changes(spark.createDataFrame([], schema), key, seq, op, payload) if now is None else now
 
 
 def once_only(spark: SparkSession, folder: str, schema: str, table: str, checkpoint: str, keys: list[str], order: list[Column]) -> DataFrame:

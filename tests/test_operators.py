@@ -88,6 +88,30 @@ def test_changes_hot_key_and_empty(spark, skewed):
     assert _fold(spark, [], []) == {}
 
 
+def test_a_small_feed_touches_its_buckets_only(spark, tmp_path):
+    import os
+
+    table = str(tmp_path / "t")
+    schema = "k string, lsn long, op string, v string"
+    feed = lambda rows: changefeed.changes(spark.createDataFrame(rows, schema), "k", "lsn", "op", ["v"])
+    state = changefeed.Buckets(spark, table, buckets=8, keep=1)
+    assert state.read() is None and state.apply(feed([])).read() is None
+    state.apply(feed([(f"k{i}", 1, "c", f"v{i}") for i in range(200)]))
+    assert state.read().count() == 200
+    first = storage.read_text(spark, f"{table}/CURRENT")
+    again = changefeed.Buckets(spark, table, buckets=999)
+    assert again.buckets == 8
+    again.apply(feed([("k1", 2, "d", None), ("k1", 1, "u", "late")]))
+    second = storage.read_text(spark, f"{table}/CURRENT")
+    assert [f for f in os.listdir(f"{table}/{second}") if f.startswith("bucket=")] != [] and len([f for f in os.listdir(f"{table}/{second}") if f.startswith("bucket=")]) == 1
+    rows = {r["cdc_key"]: (r["cdc_seq"], r["cdc_deleted"], r["v"]) for r in again.read().collect()}
+    assert len(rows) == 200 and rows["k1"] == (2, True, None) and rows["k2"] == (1, False, "v2")
+    assert os.path.isdir(f"{table}/{first}")  # its other buckets are needed still
+    again.apply(feed([(f"k{i}", 3, "u", "w") for i in range(200)]))
+    again.apply(feed([(f"k{i}", 4, "u", "x") for i in range(200)]))
+    assert not os.path.isdir(f"{table}/{first}") and {r["v"] for r in again.read().collect()} == {"x"}
+
+
 def test_published_versions_replace_each_other_at_once(spark, tmp_path):
     table = str(tmp_path / "t")
     with pytest.raises(FileNotFoundError):
