@@ -35,8 +35,8 @@ PASSAGE, STEP = 24, 12
 COSINE = 0.5
 #: Share of an item's words that a stretch must hold in order; from this share on no answer is asked for; items that may share an answer.
 SHARE, SURE, ANSWER_ITEMS = 0.5, 0.6, 2
-#: Words of a document that are checked at once.
-PIECE_WORDS = 4_096
+#: Words of a document, and items, that are checked at once.
+PIECE_WORDS, COLUMNS = 4_096, 128
 #: Item passages that one pass compares with; more items make more passes.
 BLOCK = 8_192
 
@@ -48,6 +48,9 @@ _MORE_MARKS = re.compile("[" + "".join(chr(c) for c in range(0x483, 0x1E94B) if
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|[nrt])")
 _TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,60}>")
 _WORD = re.compile(r"[^\W_]+")
+#: Frequent signs that are no part of words; without them most Latin text is ASCII, whose words are cut faster.
+_SIGNS = "\u2019\u2018\u201c\u201d\u00ab\u00bb\u2014\u2013\u2026\u00b7\u201e\u2039\u203a"
+_ASCII = "".join(chr(c) if chr(c).isalnum() else " " for c in range(128))
 
 
 def words(text: str) -> list[str]:
@@ -62,7 +65,11 @@ def words(text: str) -> list[str]:
         text = _MARKS.sub("", unicodedata.normalize("NFKD", _INVISIBLE.sub("", text)))
         if _FURTHER.search(text):
             text = _MORE_MARKS.sub("", text)
-    return _WORD.findall(text.casefold())
+        for sign in _SIGNS:
+            if sign in text:
+                text = text.replace(sign, " ")
+    text = text.casefold()
+    return text.translate(_ASCII).split() if text.isascii() else _WORD.findall(text)
 
 
 class _Ids:
@@ -74,14 +81,14 @@ class _Ids:
     def __call__(self, text: str | None) -> list[int]:
         import xxhash
 
-        out, seen = [], self.seen
-        for w in words(text or ""):
-            n = seen.get(w)
-            if n is None:
-                if len(seen) > 500_000:
-                    seen.clear()
-                n = seen[w] = xxhash.xxh64_intdigest(w) >> 2
-            out.append(n)
+        ws = words(text or "")
+        out = list(map(self.seen.get, ws))
+        if None in out:
+            if len(self.seen) > 500_000:
+                self.seen.clear()
+            for k, w in enumerate(ws):
+                if out[k] is None:
+                    out[k] = self.seen[w] = xxhash.xxh64_intdigest(w) >> 2
         return out
 
 
@@ -306,13 +313,12 @@ class Bench:
             # Few items have half of their words anywhere in the part.
             seen, often = np.unique(at, return_counts=True)
             some = which[np.minimum(self.times[seen[:, None], which], often[:, None]).sum(axis=0) >= self.need[which]]
-            if not len(some):
-                continue
-            enough = self._enough(at, self.times[at[:, None], some], some)
-            for k in np.flatnonzero(enough.any(axis=0)):
-                item = int(some[k])
-                if item not in out and self.items[item].held(part, np.flatnonzero(enough[:, k])):
-                    out.append(item)
+            for group in np.split(some, range(COLUMNS, len(some), COLUMNS)) if len(some) else ():
+                enough = self._enough(at, self.times[at[:, None], group], group)
+                for k in np.flatnonzero(enough.any(axis=0)):
+                    item = int(group[k])
+                    if item not in out and self.items[item].held(part, np.flatnonzero(enough[:, k])):
+                        out.append(item)
         return out
 
 

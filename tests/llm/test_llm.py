@@ -195,6 +195,7 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     docs = [(i, held[i][1]) for i in range(6)] + [(9, " ".join(FILL))]
     df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(held, "item_id long, text string")
     monkeypatch.setattr(leakage, "BLOCK", 9)
+    monkeypatch.setattr(leakage, "COLUMNS", 2)
     assert {(r["doc"], r["item"]) for r in leakage.leaks(df, F.col("doc_id"), F.col("text"), it, "item_id", "text").collect()} == {(i, i) for i in range(6)}
 
 
