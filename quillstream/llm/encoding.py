@@ -5,13 +5,14 @@ Each candidate, and the sentence as it is, is compressed with the zstandard dict
 shortest description wins, where a chain costs bytes of its own and characters that no author types (controls,
 the replacement character) are charged to the reading that keeps them.  If the sentence as it is wins, it stays.
 
-The dictionaries are trained on a bounded sample of the passages themselves; known words and letters are counted
-over all of them.  Passages with a word that another reading turns into a more frequent one are left out, and so is,
-in a second round, what the first dictionaries find garbled.
+The dictionaries are trained on all sentences of the passages themselves, in parts that are merged; known words and
+letters are counted over all passages.  Passages with a word that another reading turns into a more frequent one are
+left out, and so is, in a second round, what the first dictionaries find garbled.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
@@ -22,9 +23,11 @@ from pyspark.sql import functions as F
 
 from .. import skew, storage
 
-#: Fixed parameters: passages that train the dictionaries, the longest of them in characters, bytes of a dictionary.
+#: Fixed parameters: passages of a language whose sentences train a dictionary in one task (more make further parts), characters of a sample (a longer sentence makes several), bytes of a dictionary.
 SAMPLE, SAMPLE_CHARS, DICT_BYTES = 6_000, 20_000, 1 << 17
-#: Bytes that a chain costs (its first step, each further one) and that must be gained beyond (more where single characters are mapped, which always can be); bytes charged for each character that no author types, each that the sample doesn't know, each word beyond ASCII that it doesn't know.
+#: Characters of a part at most, dictionaries that are merged at once, and the bytes of their content that make a sample then.
+PART_CHARS, MERGED, MERGED_BYTES = 1 << 24, 64, 256
+#: Bytes that a chain costs (its first step, each further one) and that must be gained beyond (more where single characters are mapped, which always can be); bytes charged for each character that no author types, each that the alphabet lacks, each word beyond ASCII that isn't known.
 STEP_COST, MORE_COST, MARGIN, PAIR_MARGIN, CHARGE, FOREIGN, UNKNOWN = 1, 2, 1, 3, 3, 2, 2
 
 #: Encodings that bytes were read in, and those that write several bytes a character. A pair with utf-8 undoes whole byte sequences.
@@ -299,8 +302,8 @@ class Reader:
 
 
 def _doubtful(words: Counter) -> set[str]:
-    """Words of three or more characters that some reading turns into a more frequent word, or that undoing utf-8 turns into any word at all: that way back is none by chance, however often the garbled word stands."""
-    return {w for w, n in words.items() if len(w) > 2 and any(words.get(r, 0) > (0 if chain.startswith("utf-8>") else n) for chain, (r, _) in candidates(w).items())}
+    """Words of three or more characters that some reading turns into a more frequent word, or that undoing utf-8 turns into any word at all: that way back is none by chance, however often the garbled word stands. A word that it leaves plain had a byte order mark before it."""
+    return {w for w, n in words.items() if len(w) > 2 and any(r.isascii() or words.get(r, 0) > 0 if chain.startswith("utf-8>") else words.get(r, 0) > n for chain, (r, _) in candidates(w).items())}
 
 
 def train(samples: list[str]) -> tuple[dict[str, bytes], frozenset[str], frozenset[str]]:
@@ -324,35 +327,81 @@ def _learn(passages: list[str]) -> tuple[dict[str, bytes], frozenset[str], froze
     return _dictionaries(passages), known, frozenset(c for c, n in letters.items() if n >= 3)
 
 
+def _pieces(text: str) -> list[str]:
+    """The sentences of a text as samples; one longer than SAMPLE_CHARS makes several."""
+    return [s[i : i + SAMPLE_CHARS] for s in _SENTENCE.split(text) for i in range(0, len(s), SAMPLE_CHARS)]
+
+
+def _languages(text: str) -> list[str]:
+    return [language(s) or "other" for s in _pieces(text)]
+
+
+def _blocks(text: str, languages: Iterable[str], met: Counter) -> list[tuple[str, int, list[str]]]:
+    """(language, place, sentences) of each stretch of SAMPLE_CHARS of a passage. The place is a hash of the text, of the stretch and of how often the text was met before, so that long and repeated passages spread."""
+    digest = hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest()
+    if len(met) >= REMEMBERED:
+        met.clear()
+    met[digest] += 1
+    by: dict[tuple[str, int], list[str]] = defaultdict(list)
+    at = 0
+    for k, s in zip(languages, _pieces(text), strict=True):
+        by[k, at // SAMPLE_CHARS].append(s)
+        at += len(s)
+    place = lambda stretch: int.from_bytes(hashlib.blake2b(digest + met[digest].to_bytes(8) + stretch.to_bytes(8), digest_size=8).digest(), signed=True)
+    return [(k, place(stretch), sentences) for (k, stretch), sentences in by.items()]
+
+
 def _dictionaries(passages: list[str]) -> dict[str, bytes]:
     by: dict[str, list[str]] = defaultdict(list)
-    for t in passages:
-        for s in _SENTENCE.split(t):
-            if s:
-                by[language(s) or "other"].append(s)
-    return {k: _dictionary(v) for k, v in sorted(by.items())}
+    met: Counter = Counter()
+    for k, _, sentences in sorted(block for t in passages for block in _blocks(t, _languages(t), met)):
+        by[k] += sentences
+    return {k: _dictionary(v) for k, v in by.items()}
 
 
 def _dictionary(sentences: list[str]) -> bytes:
-    """A trained dictionary; of few sentences their plain content. Every sentence also counts in capitals, at a lower share."""
+    """A dictionary of sentences, as often as they stand. Every third also counts in capitals."""
+    raw = [even_bytes(s) for s in sentences] + [even_bytes(s.upper()) for s in sentences[::3]]
+    return _fitted(raw, b"\n".join(dict.fromkeys(raw)))
+
+
+def _fitted(samples: list[bytes], plain: bytes) -> bytes:
+    """A dictionary trained on all samples (by default a quarter would only judge it); of few samples their plain content."""
     import zstandard
 
-    sentences = list(dict.fromkeys(sentences))
-    raw = [even_bytes(s) for s in sentences] + [even_bytes(s.upper()) for s in sentences[::3]]
     try:
-        return zstandard.train_dictionary(DICT_BYTES, raw, level=9).as_bytes()
+        return zstandard.train_dictionary(DICT_BYTES, samples, level=9, split_point=1.0).as_bytes()
     except zstandard.ZstdError:
-        return b"\n".join(raw)[-DICT_BYTES:] or b"\n"
+        return plain[-DICT_BYTES:] or b"\n"
+
+
+#: What ends the tables before a trained dictionary's content: its three first offsets, always these.
+_OFFSETS = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
+
+
+def _content(dictionary: bytes) -> bytes:
+    at = dictionary.find(_OFFSETS, 0, 1024) if dictionary.startswith(b"\x37\xa4\x30\xec") else -1
+    return dictionary[at + len(_OFFSETS) :] if at >= 0 else dictionary
+
+
+def _merged(dictionaries: list[bytes]) -> bytes:
+    """One dictionary of several parts' ones: trained on their contents, where what most parts hold counts most."""
+    if len(dictionaries) == 1:
+        return dictionaries[0]
+    contents = [_content(d) for d in dictionaries]
+    return _fitted([c[i : i + MERGED_BYTES] for c in contents for i in range(0, len(c), MERGED_BYTES)], b"\n".join(contents))
 
 
 def _scanned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
-        yield pdf.assign(words=[list(set(_WORD.findall(t))) for t in pdf["t"]], letters=[list(set(_NON_ASCII.findall(t))) for t in pdf["t"]], impossible=[bool(_IMPOSSIBLE.search(t)) for t in pdf["t"]])
+        yield pdf.assign(words=[list(set(_WORD.findall(t))) for t in pdf["t"]], letters=[list(set(_NON_ASCII.findall(t))) for t in pdf["t"]], impossible=[bool(_IMPOSSIBLE.search(t)) for t in pdf["t"]], languages=[_languages(t) for t in pdf["t"]])
 
 
 def _word_readings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
-        rows = [(w, 0 if chain.startswith("utf-8>") else n, r) for w, n in zip(pdf["word"], pdf["n"], strict=True) for chain, (r, _) in candidates(w).items() if not r.isascii()]
+        readings = [(w, n, chain.startswith("utf-8>"), r) for w, n in zip(pdf["word"], pdf["n"], strict=True) for chain, (r, _) in candidates(w).items()]
+        # Plain words aren't counted: what undoing utf-8 leaves plain meets itself.
+        rows = [(w, 0 if utf8 else n, w if r.isascii() else r) for w, n, utf8, r in readings if utf8 or not r.isascii()]
         yield pd.DataFrame(rows, columns=["word", "n", "reading"])
 
 
@@ -364,15 +413,53 @@ def _counted(passages: DataFrame, of: str, name: str) -> DataFrame:
 Model = tuple[dict[str, bytes], "frozenset[str] | DataFrame", frozenset[str]]
 
 
-def _model(kept: DataFrame) -> Model:
-    """Words and letters are counted over all passages; the SAMPLE that come first by hash of their key train the dictionaries."""
+def _samples(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    met: Counter = Counter()
+    for pdf in frames:
+        yield pd.DataFrame([block for t, languages in zip(pdf["t"], pdf["languages"], strict=True) for block in _blocks(t, languages, met)], columns=["language", "place", "sentences"])
+
+
+def _part_trained(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    sentences = [s for some in pdf.sort_values("place")["sentences"] for s in some]
+    return pd.DataFrame({"language": [key[0]], "part": [key[1]], "dictionary": [_dictionary(sentences)]})
+
+
+def _parts_merged(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"language": [key[0]], "part": [key[1]], "dictionary": [_merged(list(pdf.sort_values("part")["dictionary"]))]})
+
+
+def _parts(rows: DataFrame) -> dict[str, int]:
+    """In how many parts each language is trained, by its passages and their characters."""
+    sizes = rows.select(F.explode(F.array_distinct("languages")).alias("language"), F.length("t").alias("chars")).groupBy("language").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    return {r["language"]: max(-(-r["n"] // SAMPLE), -(-r["chars"] // PART_CHARS)) for r in sizes.collect()}
+
+
+def _dictionaries_of(kept: DataFrame, parts: dict[str, int]) -> dict[str, bytes]:
+    """Dictionaries by language of all sentences of a table: passages, long ones in stretches, are dealt to parts by hash, each part trains one on all its sentences, and those of up to MERGED parts are merged until each language has one."""
+    if not parts:
+        return {}
+
+    def share(counts: dict[str, int], place: Column) -> Column:
+        return F.pmod(place, F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, n)])[F.col("language")]).cast("long")
+
+    tasks = max(4 * kept.sparkSession.sparkContext.defaultParallelism, sum(parts.values()) // 8)
+    samples = skew.spread(kept.select("t", "languages")).mapInPandas(_samples, "language string, place long, sentences array<string>").withColumn("part", share(parts, F.col("place")))
+    result = "language string, part long, dictionary binary"
+    out = samples.repartition(tasks, "language", "part").groupBy("language", "part").applyInPandas(_part_trained, result)
+    while max(parts.values()) > 1:
+        parts = {k: -(-n // MERGED) for k, n in parts.items()}
+        out = out.withColumn("into", share(parts, F.col("part"))).repartition(max(len(parts), sum(parts.values()) // 8), "language", "into").groupBy("language", "into").applyInPandas(_parts_merged, result)
+    return {r["language"]: bytes(r["dictionary"]) for r in sorted(out.collect())}
+
+
+def _model(kept: DataFrame, parts: dict[str, int]) -> Model:
+    """Words and letters are counted over all passages, and all their sentences train the dictionaries."""
     counted = _counted(kept, "words", "word").where("n >= 3 and (length(word) > 1 or n >= 20)").where((F.length("word") > 1) | (F.col("word") == F.lower("word")))
     counted = storage.staged(counted.select("word"), "known")
     few = counted.limit(KNOWN_WORDS + 1).collect()
     letters = _counted(kept, "letters", "letter").where("n >= 3").collect()
-    sample = kept.where(F.length("t") <= SAMPLE_CHARS).select("h", "t").orderBy("h", "t").limit(SAMPLE).collect()
     known = frozenset(r["word"] for r in few) if len(few) <= KNOWN_WORDS else counted
-    return _dictionaries([r["t"] for r in sample]), known, frozenset(r["letter"] for r in letters)
+    return _dictionaries_of(kept, parts), known, frozenset(r["letter"] for r in letters)
 
 
 def _asked_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -419,9 +506,9 @@ def _with_known(rows: DataFrame, model: Model) -> tuple[DataFrame, Callable[[],
 
 
 def trained(passages: DataFrame, key: str, text: str, book: str | None = None) -> Model:
-    """Train on a table. Words, letters and both rounds of leaving out go over all passages, in parallel; the driver gets at most SAMPLE passages, for the dictionaries, and the words beyond ASCII that three passages hold. With ``book``, a word and its reading are compared by the books that hold them, so that one large book outvotes no others."""
-    rows = passages.where(F.col(text).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("t"), F.col(book).cast("string").alias("book") if book else F.lit(None).cast("string").alias("book"))
-    rows = storage.staged(skew.spread(rows).mapInPandas(_scanned, "row long, h long, t string, book string, words array<string>, letters array<string>, impossible boolean"), "passages")
+    """Train on a table. Words, letters and both rounds of leaving out go over all passages, in parallel, and all sentences train the dictionaries; the driver gets these and the words beyond ASCII that three passages hold. With ``book``, a word and its reading are compared by the books that hold them, so that one large book outvotes no others. The model doesn't depend on ``key``, nor on how the rows are spread but for which part takes a repeated passage."""
+    rows = passages.where(F.col(text).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("t"), F.col(book).cast("string").alias("book") if book else F.lit(None).cast("string").alias("book"))
+    rows = storage.staged(skew.spread(rows).mapInPandas(_scanned, "row long, t string, book string, words array<string>, letters array<string>, impossible boolean, languages array<string>"), "passages")
     # Without a book a passage stands for itself.
     by = rows.select(F.explode("words").alias("word"), F.coalesce(F.concat(F.lit("b"), "book"), F.col("row").cast("string")).alias("book")).distinct()
     words = storage.staged(by.groupBy("word").agg(F.count("*").alias("n")), "words")
@@ -429,7 +516,8 @@ def trained(passages: DataFrame, key: str, text: str, book: str | None = None) -
     doubtful = readings.join(words.select(F.col("word").alias("reading"), F.col("n").alias("m")), "reading").where("m > n").select("word").distinct()
     left_out = rows.select("row", F.explode("words").alias("word")).join(doubtful, "word", "left_semi").select("row").distinct()
     kept = rows.where(~F.col("impossible")).join(storage.staged(left_out, "left_out"), "row", "left_anti")
-    model = _model(kept)
+    parts = _parts(rows)
+    model = _model(kept, parts)
 
     texts, make = _with_known(kept.where(F.size("words") > 0).select("row", "t"), model)
 
@@ -439,7 +527,7 @@ def trained(passages: DataFrame, key: str, text: str, book: str | None = None) -
             yield pdf.loc[[bool(reader(known).passage(t)[1]) for t, known in zip(pdf["t"], pdf["known"], strict=True)], ["row"]]
 
     found = storage.staged(texts.mapInPandas(garbled, "row long"), "garbled")
-    return _model(kept.join(found, "row", "left_anti"))
+    return _model(kept.join(found, "row", "left_anti"), parts)
 
 
 def restored(passages: DataFrame, key: Column, text: Column, model: Model) -> DataFrame:

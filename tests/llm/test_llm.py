@@ -90,6 +90,30 @@ def test_words_and_letters_are_counted_over_all_passages(spark, monkeypatch):
     assert {"Frühnebel", "Köhlerhof"} <= whole[1]
 
 
+def test_all_passages_train_the_dictionaries(spark, monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("bdfglmnrst") + rng.choice("aeiou") for _ in range(6)) for _ in range(300)]
+    rare = [f"The {words[i]} of the mill was at {words[i + 1]}." for i in range(0, 300, 2)]
+    marked = ["The ledger of the mill was closed.".encode("utf-8-sig").decode("cp1252")] * 4
+    texts = [*corpus(60), *[f"{s} It was the {i} of May." for i, s in enumerate(rare * 3)], *marked]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    held = lambda dictionaries: sum(w.encode() in dictionaries["en"] for w in words)
+    whole = encoding.train(texts)
+    assert encoding.trained(df, "k", "text") == encoding.trained(df.repartition(3, F.rand(2)), "k", "text") == whole and held(whole[0]) > 290
+    assert "ï»¿The" not in whole[1] and encoding.even_bytes("ï»¿") not in whole[0]["en"]
+    monkeypatch.setattr(encoding, "SAMPLE", 60)
+    monkeypatch.setattr(encoding, "MERGED", 3)
+    merged = encoding.trained(df, "k", "text")[0]
+    assert merged.keys() == whole[0].keys() and held(merged) > 250
+    # A long passage trains as well, and a long sentence in pieces; repeated passages spread over the parts.
+    monkeypatch.setattr(encoding, "SAMPLE_CHARS", 200)
+    long = " ".join(texts[60:-4])
+    assert encoding.trained(spark.createDataFrame([(0, long)], "k long, text string"), "k", "text")[0] == encoding._dictionaries([long]) and held(encoding._dictionaries([long])) > 290
+    assert "".join(encoding._pieces("a" * 450)) == "a" * 450 and len(encoding._blocks(long, encoding._languages(long), encoding.Counter())) > 50
+    met = encoding.Counter()
+    assert len({place % 8 for _ in range(100) for _, place, _ in encoding._blocks("again", ["other"], met)}) == 8
+
+
 def test_more_known_words_than_are_sent_are_joined(spark, monkeypatch):
     texts = [*corpus(60), *[t.encode().decode("cp1252", "replace") for t in corpus(12, seed=9)], *[t.encode("cp1252", "replace").decode("mac_roman") for t in corpus(12, seed=8)], None, "", "plain words only"]
     df = spark.createDataFrame(list(enumerate(texts)), "k long, text string").withColumn("known", F.lit("clash"))
